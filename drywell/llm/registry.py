@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .packing import op5_best_fit_packing
+from .toxicity import op8_toxicity
 from .wordpiece import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {}
