@@ -83,7 +83,7 @@ def connected_components(edges: DataFrame, what: str = "components") -> DataFram
         small = large.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y"), F.col("b").alias("z"))
         step = small.select(F.col("x").alias("a"), F.explode(F.array("y", "z")).alias("b")).where("a <= b").distinct()
         after = written(step, what)
-        if after.where("a < b").exceptAll(current.where("a < b")).isEmpty() and current.where("a < b").exceptAll(after.where("a < b")).isEmpty():
+        if after.count() == current.count() and after.subtract(current).isEmpty():
             break
         current = after
     return after.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .packing import op5_best_fit_packing
+from .simhash import op10_simhash_near_dedup
 from .toxicity import op8_toxicity
 from .wordpiece import op2_token_counts
 
@@ -10,5 +11,6 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_toxicity": op8_toxicity,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
