@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .packing import op5_best_fit_packing
+from .quality import op6_quality_classifier
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op8_toxicity
 from .wordpiece import op2_token_counts
@@ -10,6 +11,7 @@ from .wordpiece import op2_token_counts
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_toxicity": op8_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
