@@ -59,9 +59,12 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def as_long_key(name: str):
-    """doc_id for ordering and grouping: null counts as the largest."""
-    return F.coalesce(F.col(name).cast("long"), F.lit(2**63 - 1))
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
 
 
 def connected_components(edges: DataFrame, what: str = "components") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import op3_source_mixing
 from .packing import op5_best_fit_packing
 from .quality import op6_quality_classifier
 from .simhash import op10_simhash_near_dedup
@@ -10,6 +11,7 @@ from .wordpiece import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_source_mixing": op3_source_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_toxicity": op8_toxicity,

@@ -212,9 +212,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that repeat that id keep one row; a null id counts as the largest.
     """
     found = near_duplicates(docs, id_col, text_col)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    keep = found.select(F.coalesce("component_id", F.lit(2**63 - 1)).alias("_keep")).distinct()
-    return docs.withColumn("_keep", key).join(keep, "_keep", "left_semi").dropDuplicates(["_keep"]).drop("_keep")
+    name = common.free(docs, "_keep")
+    keep = found.select(F.coalesce("component_id", F.lit(2**63 - 1)).alias(name)).distinct()
+    keyed = docs.withColumn(name, F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)))
+    return keyed.join(keep, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
