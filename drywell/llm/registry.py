@@ -5,11 +5,13 @@ from __future__ import annotations
 from .mixing import op3_source_mixing
 from .packing import op5_best_fit_packing
 from .quality import op6_quality_classifier
+from .repair import op1_repair_tokens
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op8_toxicity
 from .wordpiece import op2_token_counts
 
 QUERIES = {
+    "op1_repair_tokens": op1_repair_tokens,
     "op2_token_counts": op2_token_counts,
     "op3_source_mixing": op3_source_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
