@@ -8,15 +8,27 @@ from .quality import op6_quality_classifier
 from .repair import op1_repair_tokens
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op8_toxicity
+from .warc import op4_zip_warc
 from .wordpiece import op2_token_counts
 
 QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_token_counts": op2_token_counts,
     "op3_source_mixing": op3_source_mixing,
+    "op4_zip_warc": op4_zip_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_toxicity": op8_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+#: SQL where it can express an operator.
+ORACLES: dict[str, str] = {
+    "op4_zip_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest FROM p),
+        f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+        FROM f""",
+}

@@ -31,7 +31,7 @@ MAGIC, END = b"DWRP0001", 1
 #: Ids from here on are free for nonterminals (the vocabulary has 49,408 entries).
 FIRST = 49_408
 SHARD_IDS = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST = 7, 2300, 8
+ROUNDS, RULES_A_ROUND, LEAST = 5, 3000, 8
 HEADER = struct.Struct("<6q")
 
 
