@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .media import op7_media_columns
 from .mixing import op3_source_mixing
 from .packing import op5_best_fit_packing
 from .quality import op6_quality_classifier
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_zip_warc": op4_zip_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_media_columns": op7_media_columns,
     "op8_toxicity": op8_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
