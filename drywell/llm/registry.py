@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprint import op9_iblt_fingerprints
 from .media import op7_media_columns
 from .mixing import op3_source_mixing
 from .packing import op5_best_fit_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_media_columns": op7_media_columns,
     "op8_toxicity": op8_toxicity,
+    "op9_iblt_fingerprints": op9_iblt_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 #: SQL where it can express an operator.
