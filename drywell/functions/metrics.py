@@ -66,7 +66,7 @@ def fold_summary(df: DataFrame, by: str = "timescale", fold: str = "fold", obs:
 
 
 #: Drought levels by threshold.
-LEVELS = {-1.0: "moderate", -1.5: "severe", -2.0: "extreme"}
+LEVELS = {-1.0: "moderate_or_worse", -1.5: "severe_or_worse", -2.0: "extreme"}
 
 
 def detection_counts(df: DataFrame, keys: list[str], thresholds=tuple(LEVELS), obs: str = "obs", pred: str = "pred") -> DataFrame:
