@@ -4,7 +4,7 @@ Sources share the corpus's words by weight; a target stops at three times its so
 excess is shared anew. A source's target is met in two steps: every document gets the certain whole
 copies, and the rest is a sample without replacement in which long documents are likelier. Documents
 are ranked by the odds of a random number over the odds of their inclusion, and those of the lowest
-ranks are taken while they stay within the source's words; one more fills the gap. All sums are aggregates by source or by (source,
+ranks are taken while they stay within the source's words; a few more fill the gap. All sums are aggregates by source or by (source,
 bucket of ranks), so a source of any size is cut in parallel; only the bucket that holds the cut is
 summed row by row.
 """
@@ -20,6 +20,8 @@ from . import common
 WEIGHTS, MOST_COPIES, SEED = (5, 2, 1), 3, 42
 #: Ranks are cut into so many buckets, by powers of this; the bucket with the cut holds few of a source's rows.
 BUCKETS = 4096
+#: Gaps of more than this part of a target are filled, in so many rounds at most.
+FILL, ROUNDS = 0.002, 12
 
 
 def word_count(text):
@@ -114,18 +116,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     rows = rows.join(last.select("_row"), rows["row_id"] == last["_row"], "left").join(gaps, rows["source"].eqNullSafe(gaps["_g"]), "left").drop("_g")
     in_rank = F.col("rank").isNotNull() & (F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | F.col("_row").isNotNull())
     rows = rows.withColumn("more", in_rank)
-    # The gap that is left goes to the document behind the cut that fits it best, if it brings the words nearer.
-    gap = F.col("rest") - F.col("run")
-    fit = (
-        rows.where(F.col("rank").isNotNull() & F.col("cut").isNotNull() & ~F.col("more") & (F.abs(gap - F.col("size")) < gap))
-        .groupBy("source").agg(F.min_by("row_id", F.struct(F.abs(gap - F.col("size")), "rank", "doc_id", "row_id")).alias("_fit")).select("_fit")
-    )
-    rows = rows.join(fit, rows["row_id"] == fit["_fit"], "left")
+    rows = common.written(rows, "cut")
+    fits = _fill(rows)
+    rows = rows.join(fits, rows["row_id"] == fits["_fit"], "left")
     more = F.col("more") | F.col("_fit").isNotNull()
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0)).cast("long"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "row_id")
 
 
+def _fill(rows: DataFrame) -> DataFrame:
+    """(_fit) rows that fill the gaps the cuts leave: in each round, for each source, the document behind the cut that brings the words nearest.
+
+    Only sources whose gap is over FILL of their target go on, which large ones never do, so a round
+    reads the rows of small sources; it ends when no document helps.
+    """
+    spark = rows.sparkSession
+    gap = F.col("rest") - F.col("run")
+    behind = common.written(
+        rows.where(F.col("rank").isNotNull() & F.col("cut").isNotNull() & ~F.col("more") & (gap > FILL * F.col("target")) & (F.abs(gap - F.col("size")) < gap))
+        .select("source", "size", "rank", "doc_id", "row_id", "target", gap.alias("gap")), "behind",
+    )
+    fits = spark.createDataFrame([], "_fit long")
+    for _ in range(ROUNDS):
+        best = behind.where((F.col("gap") > FILL * F.col("target")) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
+        best = best.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "row_id", "size")).alias("b"))
+        best = common.written(best.select(F.col("source").alias("_s"), F.col("b.row_id").alias("_fit"), F.col("b.size").alias("_size")), "fit")
+        if best.isEmpty():
+            break
+        fits = fits.unionByName(best.select("_fit"))
+        # Sources without a fit are done; in the others the document leaves and the gap shrinks.
+        behind = behind.join(best, behind["source"].eqNullSafe(best["_s"])).where("row_id <> _fit")
+        behind = common.written(behind.withColumn("gap", F.col("gap") - F.col("_size")).drop("_s", "_fit", "_size"), "behind")
+    return fits
+
+
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs in the mix: each row as often as it is taken, with all its columns. Rows are told apart by their place in the input.
 
