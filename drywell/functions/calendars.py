@@ -76,3 +76,19 @@ def parse_period(text: str) -> tuple[int, int]:
 
 def season_angle(month: Column) -> Column:
     return F.lit(2 * 3.141592653589793) * month / 12.0
+
+
+def target_months(spark: SparkSession, scale: int, first: str = "1979-01", start: str | None = None, end: str = "2018-12") -> DataFrame:
+    """Months of a grid for which the scale's window is complete, within start..end; position counts from `first`."""
+    months = month_range(spark, first, end).where(F.col("position") >= scale - 1)
+    return months if start is None else months.where(F.col("month") >= start)
+
+
+def scale_label(scale: Column) -> Column:
+    """3 to 'SPEI-3'."""
+    return F.format_string("SPEI-%d", scale)
+
+
+def scale_code(scale: Column) -> Column:
+    """3 to 'spei03'."""
+    return F.format_string("spei%02d", scale)

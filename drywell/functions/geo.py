@@ -57,3 +57,45 @@ def grid_plan(position: Column, n: int) -> dict[str, Column]:
         "low": low,
         "weight": F.least(F.greatest(position - low, F.lit(0.0)), F.lit(1.0)),
     }
+
+
+#: Homolosine: below this latitude the sinusoidal, above it the Mollweide projection, moved by a constant.
+GOODE_SPLIT = math.radians(40 + 44 / 60 + 11.8 / 3600)
+GOODE_SHIFT = 0.0528035274542
+GOODE_RADIUS = 6378137.0
+
+
+def goode_centre(lon: Column, lat: Column) -> Column:
+    """Central meridian, in degrees, of the lobe that a place lies in (land interruptions)."""
+    north = F.when(lon < -40, F.lit(-100.0)).otherwise(F.lit(30.0))
+    south = F.when(lon < -100, F.lit(-160.0)).when(lon < -20, F.lit(-60.0)).when(lon < 80, F.lit(20.0)).otherwise(F.lit(140.0))
+    return F.when(lat >= 0, north).otherwise(south)
+
+
+def goode(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Interrupted homolosine x and y in metres on the sphere."""
+    phi, centre = F.radians(lat), goode_centre(lon, lat)
+    d = F.radians(lon - centre)
+    # Newton's steps for the auxiliary angle t: 2t + sin 2t = pi sin(phi), as u = 2t.
+    want = F.lit(math.pi) * F.sin(phi)
+    u = F.aggregate(F.sequence(F.lit(1), F.lit(25)), 2 * phi, lambda u, _: u - (u + F.sin(u) - want) / F.greatest(1 + F.cos(u), F.lit(1e-12)))
+    t = u / 2
+    low = F.abs(phi) <= GOODE_SPLIT
+    x = F.when(low, d * F.cos(phi)).otherwise(2 * math.sqrt(2) / math.pi * d * F.cos(t))
+    y = F.when(low, phi).otherwise(math.sqrt(2) * F.sin(t) - GOODE_SHIFT * F.signum(phi))
+    return GOODE_RADIUS * (F.radians(centre) + x), GOODE_RADIUS * y
+
+
+def goode_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a place in the interrupted homolosine projection; null outside its lobes."""
+    x, y = x / GOODE_RADIUS, y / GOODE_RADIUS
+    low = F.abs(y) <= GOODE_SPLIT
+    s = F.least(F.greatest((y + GOODE_SHIFT * F.signum(y)) / math.sqrt(2), F.lit(-1.0)), F.lit(1.0))
+    t = F.asin(s)
+    phi = F.when(low, y).otherwise(F.asin(F.least(F.greatest((2 * t + F.sin(2 * t)) / math.pi, F.lit(-1.0)), F.lit(1.0))))
+    lon = F.degrees(x)
+    centre = goode_centre(lon, y)
+    width = F.when(low, F.cos(phi)).otherwise(2 * math.sqrt(2) / math.pi * F.cos(t))
+    found = centre + F.degrees((x - F.radians(centre)) / F.nullif(width, F.lit(0.0)))
+    inside = (goode_centre(found, y) == centre) & found.between(-180.0, 180.0)
+    return F.when(inside, found), F.when(inside, F.degrees(phi))

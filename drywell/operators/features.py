@@ -116,3 +116,11 @@ def select_features(df: DataFrame, drop_soil: bool = True, drop_terrain: bool =
 def expected_feature_count(scale: int, variables: int = 7) -> int:
     """Features of a full table: per variable current, lags, mean, two climatologies and anomalies; sums; calendar and place."""
     return variables * (scale + 5) + 3 + 9
+
+
+def assert_no_soil(columns: list[str]) -> list[str]:
+    """columns; raises if a soil predictor is among them."""
+    soil = [c for c in columns if c.startswith("soil_")]
+    if soil:
+        raise ValueError(f"soil predictors {soil[:10]}")
+    return columns

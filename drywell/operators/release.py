@@ -65,3 +65,10 @@ def reuse_checksums(listing: DataFrame, manifest: DataFrame) -> DataFrame:
 def metadata_json(summary: DataFrame) -> DataFrame:
     """One row with all summary rows as a JSON array, in order; summary has a row per timescale."""
     return summary.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*summary.columns)))).alias("json"))
+
+
+def assert_aligned(inventory: DataFrame) -> None:
+    """Raises unless all rasters share one geometry."""
+    n = geometry_counts(inventory, []).first()["n_geometries"]
+    if n > 1:
+        raise ValueError(f"rasters have {n} geometries")

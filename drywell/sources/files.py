@@ -115,3 +115,27 @@ def url_manifest(lines: DataFrame) -> DataFrame:
     """(url, file_name, scale) of a list of download addresses, by their fileName parameter."""
     name = F.try_parse_url(F.col("value"), F.lit("QUERY"), F.lit("fileName"))
     return lines.select(F.col("value").alias("url"), name.alias("file_name"), F.regexp_extract(name, r"(?i)spei[_-]?(\d{1,2})", 1).try_cast("int").alias("scale")).where("file_name IS NOT NULL")
+
+
+def retried(call, attempts: int = 6, first: float = 30.0, sleep=None):
+    """call(), again after a failure to read, with waits that double from `first` seconds; the last failure is raised."""
+    import time
+
+    for k in range(attempts):
+        try:
+            return call()
+        except OSError:
+            if k == attempts - 1:
+                raise
+            (sleep or time.sleep)(first * 2**k)
+
+
+def one_per_variable(files: DataFrame, variables: list[str]) -> DataFrame:
+    """(variable, path) of the files whose names begin with a variable; raises unless each has exactly one."""
+    name = F.element_at(F.split("path", "/"), -1)
+    known = files.sparkSession.createDataFrame([(v,) for v in variables], "variable string")
+    rows = files.select("path", name.alias("name")).join(F.broadcast(known), F.expr("startswith(lower(name), lower(variable) || '_')"), "right")
+    wrong = rows.groupBy("variable").agg(F.count("path").alias("n")).where("n <> 1").collect()
+    if wrong:
+        raise ValueError(f"files by variable: {[tuple(r) for r in wrong]}, need one each")
+    return rows.select("variable", "path")

@@ -185,3 +185,10 @@ def to_geotiff(values: np.ndarray, transform: tuple, nodata: float | None = -999
             out += struct.pack("<HHII", t, k, count, at + len(extra))
             extra += d + b"\0" * (len(d) % 2)
     return out + bytes(4) + extra + b"".join(blocks)
+
+
+def scaled(value, nodata: float = -99999.0, factor: float = 0.0001):
+    """Integer bands to values: nodata is null, the rest times the factor."""
+    from ..functions.clean import without
+
+    return without(value, nodata) * factor

@@ -85,3 +85,14 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
     if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         df = df.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
     df.write.mode("append").parquet(path)
+
+
+def cached(spark: SparkSession, path: str, build, key: str) -> DataFrame:
+    """The table build() makes, stored under path and a key of its inputs, so a changed input is never served an old table."""
+    import hashlib
+
+    target = f"{path}/{hashlib.sha256(key.encode()).hexdigest()[:16]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)

@@ -255,3 +255,29 @@ def test_aliases(spark):
         clean.rename_first(df.drop("longitude"), clean.STATION_ALIASES)
     both = spark.createDataFrame([("1", "2")], "station_id string, ID string")
     assert clean.rename_first(both, {"station_id": ["station_id", "ID"]}).columns == ["station_id", "ID"]
+
+
+def test_homolosine_round_trip(spark):
+    places = [(float(lon), float(lat)) for lon in (-150, -60, 10, 73, 105, 135) for lat in (-60, -20, 0, 18, 40, 41, 54, 80)]
+    df = spark.createDataFrame(places, "lon double, lat double")
+    x, y = geo.goode(F.col("lon"), F.col("lat"))
+    lon, lat = geo.goode_to_lonlat(F.col("x"), F.col("y"))
+    for r in df.withColumn("x", x).withColumn("y", y).withColumn("a", lon).withColumn("b", lat).collect():
+        assert (r["a"], r["b"]) == pytest.approx((r["lon"], r["lat"]), abs=1e-6)
+    # Both projections meet at the latitude where they change.
+    edge = math.degrees(geo.GOODE_SPLIT)
+    a, b = geo.goode(F.lit(105.0), F.lit(edge - 1e-9)), geo.goode(F.lit(105.0), F.lit(edge + 1e-9))
+    r = spark.range(1).select(*(c.alias(n) for c, n in zip((*a, *b), "abcd"))).first()
+    assert abs(r["a"] - r["c"]) < 5 and abs(r["b"] - r["d"]) < 5
+
+
+def test_small_guards(spark):
+    assert [r["month"] for r in calendars.target_months(spark, 3, end="1979-04").collect()] == ["1979-03", "1979-04"]
+    r = spark.range(1).select(calendars.scale_label(F.lit(3)), calendars.scale_code(F.lit(3))).first()
+    assert tuple(r) == ("SPEI-3", "spei03")
+    with pytest.raises(ValueError):
+        features.assert_no_soil(["a", "soil_x"])
+    inv = spark.createDataFrame([(1, "a"), (2, "a")], "width int, crs string")
+    with pytest.raises(ValueError):
+        release.assert_aligned(inv)
+    release.assert_aligned(inv.limit(1))

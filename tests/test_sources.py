@@ -151,3 +151,37 @@ def test_stream_resumes(spark, tmp_path):
     months.accumulate(spark, src, out, state)
     r = months.state(spark, out).first()
     assert r["n"] == 7 and r["Pearson_r"] == pytest.approx(1.0) and r["Bias"] == pytest.approx(-9 / 7)
+
+
+def test_retries_and_caches(spark, tmp_path):
+    waits, calls = [], []
+
+    def fails():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return "done"
+
+    assert files.retried(fails, sleep=waits.append) == "done" and waits == [30.0, 60.0]
+    with pytest.raises(OSError):
+        files.retried(lambda: (_ for _ in ()).throw(OSError("gone")), attempts=2, sleep=waits.append)
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(4)
+
+    for key in ("a", "a", "b"):
+        assert stations.cached(spark, str(tmp_path / "cache"), build, key).count() == 4
+    assert len(made) == 2
+    paths = spark.createDataFrame([("/d/prec_x.nc",), ("/d/temp_x.nc",), ("/d/temp_y.nc",)], "path string")
+    assert files.one_per_variable(paths, ["prec"]).first()["path"] == "/d/prec_x.nc"
+    with pytest.raises(ValueError):
+        files.one_per_variable(paths, ["prec", "temp"])
+
+
+def test_scaled_bands(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(-99999.0,), (12345.0,), (float("nan"),)], "v double")
+    assert [r[0] for r in df.select(raster.scaled(F.col("v"))).collect()] == [None, pytest.approx(1.2345), None]
