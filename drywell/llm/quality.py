@@ -179,10 +179,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
                 cut = np.searchsorted(text[order], np.arange(len(stats) + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x[order].astype(t))) for x, t in ((dim, np.int32), (value, np.float32))]
                 target = np.array([posterior[p] for p in pattern_of(votes(stats, n)).tolist()])
-                yield pa.RecordBatch.from_arrays([*lists, pa.array(target)], names=["dim", "value", "target"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, length), *lists, pa.array(target)], names=["key", "dim", "value", "target"])
 
     drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else texts
-    rows = drawn.mapInArrow(sample, "dim array<int>, value array<float>, target double").orderBy("target", "dim").toArrow()
+    # Sorted here, where the bounded sample comes together, so the fit doesn't depend on the order of tasks.
+    rows = drawn.withColumn("key", F.xxhash64("text")).mapInArrow(sample, "key long, dim array<int>, value array<float>, target double").toArrow().sort_by("key")
     sizes = np.asarray(rows["dim"].combine_chunks().value_lengths()) if len(rows) else np.zeros(0, int)
     flat = [np.asarray(rows[c].combine_chunks().flatten()) if len(rows) else np.zeros(0) for c in ("dim", "value")]
     weights = train(np.repeat(np.arange(len(rows)), sizes), flat[0].astype(np.int64), flat[1].astype(float), np.asarray(rows["target"], dtype=float))
