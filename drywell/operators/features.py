@@ -78,7 +78,7 @@ def build_training(
         if validate:
             assert_unique(static, ["station_id"], "static predictors")
         shared = [c for c in static.columns if c in rows.columns and c != "station_id"]
-        small = len(static.take(broadcast_rows + 1)) <= broadcast_rows
+        small = static.limit(broadcast_rows + 1).count() <= broadcast_rows
         rows = rows.drop(*shared).join(F.broadcast(static) if small else static, "station_id", "left")
     for extra in extras:
         keys = [k for k in KEYS if k in extra.columns]

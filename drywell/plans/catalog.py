@@ -595,3 +595,72 @@ def gbt_predict(spark, d):
     train, test = folds.period_split(rows, 2000, 2001)
     fitted = model.fit(train, params={"maxIter": 5, "minInstancesPerNode": 5})
     return fitted.predict(test, ["station_id", "year", "month"])
+
+
+# --- names, bands and resumption -------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN printf('/d/spei_%02dmo_%d-%02d.tif', s_suppkey % 24 + 1, 1979 + s_suppkey % 40, s_suppkey % 12 + 1) ELSE printf('/d/Prod_spei%02d_%d-%02d.tif', s_suppkey % 24 + 1, 1979 + s_suppkey % 40, s_suppkey % 12 + 1) END AS path, * FROM supplier)
+    SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'own' ELSE 'prod' END AS product, CAST(s_suppkey % 24 + 1 AS INTEGER) AS scale, printf('%d-%02d', 1979 + s_suppkey % 40, s_suppkey % 12 + 1) AS month, path FROM f""")
+def product_catalog(spark, d):
+    from ..sources import files
+
+    k = F.col("s_suppkey")
+    scale, year, month = k % 24 + 1, 1979 + k % 40, k % 12 + 1
+    path = F.when(k % 3 == 0, F.format_string("/d/spei_%02dmo_%d-%02d.tif", scale, year, month)).otherwise(F.format_string("/d/Prod_spei%02d_%d-%02d.tif", scale, year, month))
+    listed = table(spark, d, "supplier").select(path.alias("path"))
+    own = files.own_months(listed).select(F.lit("own").alias("product"), "scale", "month", "path")
+    return own.unionByName(files.products(listed))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 3 THEN NULL ELSE round(l_quantity * CAST(0.0001 AS DOUBLE), 6) END AS value FROM lineitem")
+def scaled_bands(spark, d):
+    from ..sources import raster
+
+    band = F.when(F.col("l_linenumber") == 3, F.lit(-99999.0)).otherwise(F.col("l_quantity"))
+    return rounded(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", raster.scaled(band).alias("value")))
+
+
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS product, s_suppkey AS timescale FROM supplier WHERE s_suppkey % 4 <> 0")
+def resume_remaining(spark, d):
+    catalog = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("product"), F.col("s_suppkey").alias("timescale"))
+    return consistency.remaining(catalog, catalog.where("timescale % 4 = 0"))
+
+
+@query("""WITH g AS (SELECT CAST(p_partkey // 50 AS INTEGER) AS "row", CAST(p_partkey % 50 AS INTEGER) AS col FROM part) SELECT "row", col, -2600000 + (col + CAST(0.5 AS DOUBLE)) * 1000 AS x, 5900000 - ("row" + CAST(0.5 AS DOUBLE)) * 1000 AS y FROM g""")
+def cell_centres(spark, d):
+    cells = grid(spark, d).select(F.col("lat_idx").alias("row"), F.col("lon_idx").alias("col"))
+    x, y = regions.cell_centre(F.col("row"), F.col("col"), 1000.0, 0.0, -2600000.0, 0.0, -1000.0, 5900000.0)
+    return cells.select("row", "col", x.alias("x"), y.alias("y"))
+
+
+@query("SELECT strftime(m, '%Y-%m') AS month, CAST((year(m) - 1979) * 12 + month(m) - 1 AS INTEGER) AS position FROM generate_series(DATE '1980-12-01', DATE '2018-12-01', INTERVAL 1 MONTH) g(m)")
+def target_months(spark, d):
+    return calendars.target_months(spark, 24).select("month", "position")
+
+
+@query("SELECT l_returnflag AS k, count(*) AS n_rows, count(*) FILTER (WHERE l_linenumber > 2 AND l_quantity > 0) AS n_valid FROM lineitem GROUP BY ALL")
+def nan_boundary(spark, d):
+    """NaN, infinities and null count alike as missing."""
+    bad = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).when(F.col("l_linenumber") == 2, F.lit(float("inf"))).otherwise(F.col("l_quantity"))
+    from ..functions.clean import finite
+
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(F.count("*").alias("n_rows"), F.count(finite(bad)).alias("n_valid"))
+
+
+@query()
+def forward_validation(spark, d):
+    rows = history(spark, d).withColumn("spei", F.col("dyn_prec") / 100).drop("dyn_temp", "dyn_temp_lag1", "dyn_temp_lag2", "dyn_temp_roll3_mean")
+    # Station-months that every training period has, so each test value has a climatology.
+    seen = rows.where("year < 1999").select("station_id", "month").distinct()
+    rows = rows.join(seen, ["station_id", "month"], "left_semi")
+    _, each, _ = model.validate_periods(rows, "SPEI-3", 3, periods=((1999, 1999), (2000, 2000)), params={"maxIter": 3, "minInstancesPerNode": 5})
+    return each
+
+
+@query()
+def homolosine_projection(spark, d):
+    x, y = geo.goode(F.col("lon"), F.col("lat"))
+    lon, lat = geo.goode_to_lonlat(F.col("x"), F.col("y"))
+    rows = coords(spark, d).withColumn("x", x).withColumn("y", y)
+    return rounded(rows.select("station_id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), lon.alias("lon"), lat.alias("lat")))
