@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import finite
 from ..functions.geo import grid_plan
+from ..functions.store import settled
 
 
 def corner_weights(points: DataFrame, n_lon: int, n_lat: int, lon: str = "lon_pos", lat: str = "lat_pos") -> DataFrame:
@@ -59,15 +60,16 @@ def nearest(queries: DataFrame, targets: DataFrame, id_col: str, axes: list[str]
     in the cells around; queries whose best is farther go on with cells of twice the size. Each round
     is an equi-join on the cell over the queries left.
     """
-    found, left = None, queries
+    found, left = None, queries.select(id_col, *axes, *same)
     targets = targets.select(*(F.col(a).alias(f"_t{i}") for i, a in enumerate(axes)), *dict.fromkeys([*take, *ties, *same]))
     t_axes = [f"_t{i}" for i in range(len(axes))]
     while True:
         d = F.sqrt(reduce(lambda a, b: a + b, ((F.col(a) - F.col(t)) ** 2 for a, t in zip(axes, t_axes))))
-        met = _dealt(left.select(id_col, *axes, *same), axes, size, True).join(_dealt(targets, t_axes, size, False), ["_c", *same]).withColumn("_d", d).where(F.col("_d") <= size)
+        met = _dealt(left, axes, size, True).join(_dealt(targets, t_axes, size, False), ["_c", *same]).withColumn("_d", d).where(F.col("_d") <= size)
         best = met.groupBy(id_col).agg(F.min(F.struct("_d", *ties, *take)).alias("_b")).select(id_col, F.col("_b._d").alias("distance"), *(F.col(f"_b.{c}").alias(c) for c in take))
+        best = settled(best)
         found = best if found is None else found.unionByName(best)
-        left = left.join(best.select(id_col), id_col, "left_anti")
+        left = settled(left.join(best.select(id_col), id_col, "left_anti"))
         if size >= reach or left.isEmpty():
             return found
         size *= 2
@@ -103,8 +105,9 @@ def nearest_tiered(points: DataFrame, grid: DataFrame, id_col: str, tiers: tuple
         near = near.where((F.abs(F.col("row") - F.col("lat_idx")) <= r) & (F.abs(F.col("col") - F.col("lon_idx")) <= r))
         d2 = (F.col("row") - F.col("lat_idx")) ** 2 + (F.col("col") - F.col("lon_idx")) ** 2
         best = near.groupBy(id_col).agg(F.min(F.struct(d2.alias("d2"), "lat_idx", "lon_idx", "value")).alias("b")).select(id_col, F.col("b.value").alias("value"), F.sqrt("b.d2").alias("distance"))
+        best = settled(best)
         found = best if found is None else found.unionByName(best)
-        left = left.join(best.select(id_col), id_col, "left_anti")
+        left = settled(left.join(best.select(id_col), id_col, "left_anti"))
         if left.isEmpty():
             break
     return points.select(id_col).join(found, id_col, "left")

@@ -281,3 +281,33 @@ def test_small_guards(spark):
     with pytest.raises(ValueError):
         release.assert_aligned(inv)
     release.assert_aligned(inv.limit(1))
+
+
+def test_validation_designs(spark):
+    rows = [(f"s{i}", 2000 + m // 12, m % 12 + 1, 75.0 + 6 * (i % 5), 20.0 + 5 * (i // 5), float((i * 7 + m) % 11), ((i * 7 + m) % 11) / 3) for i in range(15) for m in range(8)]
+    df = spark.createDataFrame(rows, "station_id string, year int, month int, lon double, lat double, dyn_a double, spei double").cache()
+    few = {"maxIter": 1, "minInstancesPerNode": 1}
+    assert one(model.validate_random(df, "SPEI-1", k=2, params=few)[2])["n_folds"] == 2
+    pred, each, total = model.validate_stations(df, "SPEI-1", k=2, params=few)
+    assert pred.groupBy("station_id").agg(F.count_distinct("fold").alias("n")).where("n > 1").isEmpty()
+    pred, each, total, blocks, distances = model.validate_blocks(df, "SPEI-1", k=2, block_km=300, buffer_km=50, params=few)
+    assert blocks.count() == 15 and distances.where("nearest_training_station_km < 50").isEmpty() and distances.count() == 15
+    with pytest.raises(ValueError):
+        model.validate_blocks(df, "SPEI-1", k=2, block_km=300, buffer_km=9000, params=few)
+    assert folds.split_counts(df.where("month < 3"), df.where("month > 5"))["n_test_samples"] == 45
+    df.unpersist()
+
+
+def test_land_is_filled(spark):
+    values = spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (1, 0, None), (1, 1, 9.0)], "row int, col int, value double")
+    land = spark.createDataFrame([(0, 1), (1, 1)], "row int, col int")
+    assert {(r["row"], r["col"]): r["value"] for r in regions.fill_land(values, land).collect()} == {(0, 1): 1.0, (1, 1): 9.0}
+
+
+def test_summary_of_pairs(spark):
+    ours = spark.createDataFrame([("2000-01", 0, 0, 1.0), ("2000-01", 0, 1, float("nan")), ("2000-02", 0, 0, 2.0)], "month string, row int, col int, value double")
+    ref = spark.createDataFrame([("2000-01", 0, 0, 2.0), ("2000-01", 0, 1, 5.0), ("2000-03", 0, 0, 2.0)], ours.schema)
+    pairs = consistency.valid_pairs(ours, ref, ["month", "row", "col"]).withColumn("product", F.lit("p"))
+    r = one(consistency.summary(pairs, ["product"]))
+    assert (r["n"], r["Bias"], r["n_months"], r["n_valid_pixels"], r["Pearson_r"]) == (1, -1.0, 1, 1, None)
+    assert consistency.valid_pairs(ours, ref, ["month", "row", "col"], spark.createDataFrame([(0, 1)], "row int, col int")).isEmpty()
