@@ -104,11 +104,12 @@ def own_months(files: DataFrame) -> DataFrame:
     return rows.where("scale IS NOT NULL AND month <> ''")
 
 
-def products(files: DataFrame, skip: str = "zhang") -> DataFrame:
-    """(product, scale, month, path) of other products' rasters by name."""
+def products(files: DataFrame, skip: str | None = None) -> DataFrame:
+    """(product, scale, month, path) of other products' rasters by name, but for products whose name begins with `skip` (those that are read from a cube)."""
     name = F.col("path")
     rows = files.select(F.lower(F.regexp_extract(name, PRODUCT_NAME, 1)).alias("product"), F.regexp_extract(name, PRODUCT_NAME, 2).try_cast("int").alias("scale"), F.regexp_extract(name, PRODUCT_NAME, 3).alias("month"), "path")
-    return rows.where((F.col("month") != "") & ~F.col("product").startswith(skip))
+    rows = rows.where(F.col("month") != "")
+    return rows.where(~F.col("product").startswith(skip.lower())) if skip else rows
 
 
 def url_manifest(lines: DataFrame) -> DataFrame:

@@ -132,8 +132,8 @@ def test_boundaries_and_names(spark, tmp_path):
     assert [(r["region_id"], r["name"], len(r["rings"])) for r in rows] == [(1, "A", 1), (2, "region_2", 2)]
     (tmp_path / "g.json").write_text(json.dumps({"type": "Polygon", "coordinates": square}))
     assert files.boundary(spark, str(tmp_path / "g.json")).first()["name"] == "region_1"
-    paths = spark.createDataFrame([("/x/GPR_spei03_1991-01.tif",), ("/x/zhang_spei03_1991-01.tif",), ("/x/other.tif",)], "path string")
-    assert [(r["product"], r["scale"], r["month"]) for r in files.products(paths).collect()] == [("gpr", 3, "1991-01")]
+    paths = spark.createDataFrame([("/x/ABC_spei03_1991-01.tif",), ("/x/cube1_spei03_1991-01.tif",), ("/x/other.tif",)], "path string")
+    assert [(r["product"], r["scale"], r["month"]) for r in files.products(paths, "Cube").collect()] == [("abc", 3, "1991-01")]
     urls = spark.createDataFrame([("https://h/f?fileName=spei06.zip&x=1",), ("https://h/f",)], "value string")
     assert [(r["file_name"], r["scale"]) for r in files.url_manifest(urls).collect()] == [("spei06.zip", 6)]
 
