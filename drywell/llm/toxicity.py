@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .words import blocks, owners, split_words, sums
+from .words import blocks, owners, split_words
 
 #: Bounds: labelled rows that the fit reads, terms in the lexicon, terms tried for it, and how far a context reaches.
 FIT_ROWS, MOST_TERMS, CANDIDATES, WINDOW = 20_000, 500, 20_000, 8
