@@ -4,7 +4,7 @@ Sources share the corpus's words by weight; a target stops at three times its so
 excess is shared anew. A source's target is met in two steps: every document gets the certain whole
 copies, and the rest is a sample without replacement in which long documents are likelier. Documents
 are ranked by the odds of a random number over the odds of their inclusion, and those of the lowest
-ranks are taken while they stay within the source's words; a few more fill the gap. All sums are aggregates by source or by (source,
+ranks are taken while they stay within the source's words; those behind that still fit fill the gap. All sums are aggregates by source or by (source,
 bucket of ranks), so a source of any size is cut in parallel; only the bucket that holds the cut is
 summed row by row.
 """
@@ -20,8 +20,8 @@ from . import common
 WEIGHTS, MOST_COPIES, SEED = (5, 2, 1), 3, 42
 #: Ranks are cut into so many buckets, by powers of this; the bucket with the cut holds few of a source's rows.
 BUCKETS = 4096
-#: Gaps of more than this part of a target are filled, in so many rounds at most.
-FILL, ROUNDS = 0.002, 12
+#: Gaps of more than this part of a target are filled.
+FILL = 0.002
 
 
 def word_count(text):
@@ -125,28 +125,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 
 
 def _fill(rows: DataFrame) -> DataFrame:
-    """(_fit) rows that fill the gaps the cuts leave: in each round, for each source, the document behind the cut that brings the words nearest.
+    """(_fit) rows that fill the gaps the cuts leave: of the documents behind the cut, the largest that fit, or one that goes over if that brings the words nearer, until none does.
 
-    Only sources whose gap is over FILL of their target go on, which large ones never do, so a round
-    reads the rows of small sources; it ends when no document helps.
+    Only sources whose gap is over FILL of their target go on. A round takes all of the largest that
+    fit together; the next one is larger than what is left of the gap, so each round halves it at
+    least. Rows that no later round can use leave.
     """
-    spark = rows.sparkSession
-    gap = F.col("rest") - F.col("run")
-    behind = common.written(
-        rows.where(F.col("rank").isNotNull() & F.col("cut").isNotNull() & ~F.col("more") & (gap > FILL * F.col("target")) & (F.abs(gap - F.col("size")) < gap))
-        .select("source", "size", "rank", "doc_id", "row_id", "target", gap.alias("gap")), "behind",
+    gap, size = F.col("gap"), F.col("size")
+    live = common.written(
+        rows.where(F.col("rank").isNotNull() & F.col("cut").isNotNull() & ~F.col("more"))
+        .select("source", "size", "rank", "doc_id", "row_id", "target", (F.col("rest") - F.col("run")).alias("gap")).where((gap > FILL * F.col("target")) & (size < 2 * gap)), "behind",
     )
-    fits = spark.createDataFrame([], "_fit long")
-    for _ in range(ROUNDS):
-        best = behind.where((F.col("gap") > FILL * F.col("target")) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
-        best = best.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "row_id", "size")).alias("b"))
-        best = common.written(best.select(F.col("source").alias("_s"), F.col("b.row_id").alias("_fit"), F.col("b.size").alias("_size")), "fit")
-        if best.isEmpty():
-            break
-        fits = fits.unionByName(best.select("_fit"))
-        # Sources without a fit are done; in the others the document leaves and the gap shrinks.
-        behind = behind.join(best, behind["source"].eqNullSafe(best["_s"])).where("row_id <> _fit")
-        behind = common.written(behind.withColumn("gap", F.col("gap") - F.col("_size")).drop("_s", "_fit", "_size"), "behind")
+    fits = live.select(F.col("row_id").alias("_fit")).limit(0)
+    while not live.isEmpty():
+        sums = live.groupBy("source", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))
+        whole = W.partitionBy("source")
+        sums = sums.withColumn("fit", F.max(F.when(size <= gap, size)).over(whole)).withColumn("over", F.min(F.when(size > gap, size)).over(whole))
+        beyond = F.col("over").isNotNull() & (F.col("fit").isNull() | (F.col("over") - gap < gap - F.col("fit")))
+        sums = sums.withColumn("beyond", beyond)
+        down = F.sum(F.when(size <= gap, size * F.col("n")).otherwise(0)).over(whole.orderBy(F.desc("size")))
+        sums = sums.withColumn("below", down - size * F.col("n"))
+        # Of each size: all, or as many as still fit; none behind the first size that does not fit whole.
+        most = F.when(F.col("beyond"), F.when(size == F.col("over"), F.lit(1)).otherwise(F.lit(0)))
+        most = most.when(size > gap, F.lit(0)).otherwise(F.least("n", F.floor((gap - F.col("below")) / size)))
+        sums = sums.withColumn("most", most).where("most > 0")
+        some = live.join(sums.select(F.col("source").alias("_s"), F.col("size").alias("_n"), "most", "beyond"), live["source"].eqNullSafe(F.col("_s")) & (live["size"] == F.col("_n")))
+        place = F.row_number().over(W.partitionBy("source", "size").orderBy("rank", "doc_id", "row_id"))
+        took = common.written(some.withColumn("place", place).where("place <= most").select("source", "size", F.col("row_id").alias("_fit"), "beyond"), "fit")
+        fits = fits.unionByName(took.select("_fit"))
+        # Sources without a fit, or whose words go over, are done; in the others the documents leave and the gap shrinks.
+        got = took.groupBy("source").agg(F.sum("size").alias("got"), F.max("beyond").alias("beyond")).where("not beyond").select(F.col("source").alias("_s"), "got")
+        live = live.join(got, live["source"].eqNullSafe(got["_s"])).join(took.select("_fit"), F.col("row_id") == F.col("_fit"), "left_anti")
+        live = live.withColumn("gap", gap - F.col("got")).drop("_s", "got").where((gap > FILL * F.col("target")) & (size < 2 * gap))
+        live = common.written(live, "behind")
     return fits
 
 
