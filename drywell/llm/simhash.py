@@ -21,12 +21,21 @@ from . import common
 from .tokens import blocks
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
-#: Blocks of bits (from the top): one more than the differing bits allowed, so one of them agrees.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
 FANOUT, QUERIES = 8, 4096
 U = np.uint64
 
 
+def bit_blocks(limit: int) -> tuple[tuple[int, int], ...]:
+    """Blocks of bits (place from the top, width): one more than the differing bits allowed, so one of them agrees."""
+    if not 0 <= limit < 64:
+        raise ValueError("limit must be 0 to 63")
+    ends = [64 * k // (limit + 1) for k in range(limit + 2)]
+    return tuple((a, b - a) for a, b in zip(ends, ends[1:]))
+
+
+BLOCKS = bit_blocks(LIMIT)
+
+
 def shingle_hashes(text: str | None, n: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """XXH64 of each run of n words, repeats included; of all words if there are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -164,19 +173,19 @@ def local_links(fps: np.ndarray, shift: int, lead: int, limit: int = LIMIT) -> t
 
 def link_fingerprints(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(a, b) links that join the distinct fingerprints `fp` into the components of all links within the limit."""
-    spark = distinct.sparkSession
+    spark, cuts = distinct.sparkSession, bit_blocks(limit)
     fp = F.col("fp")
-    dealt = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft(fp, shift), 64 - width).alias("value")) for k, (shift, width) in enumerate(BLOCKS)))).alias("g"))
+    dealt = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft(fp, shift), 64 - width).alias("value")) for k, (shift, width) in enumerate(cuts)))).alias("g"))
     dealt = dealt.select("fp", "g.block", "g.value")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches):
-        held: list[list[np.ndarray]] = [[] for _ in BLOCKS]
+        held: list[list[np.ndarray]] = [[] for _ in cuts]
         for batch in batches:
             f, b = np.asarray(batch.column(0)).view(U), np.asarray(batch.column(1))
-            for k in range(len(BLOCKS)):
+            for k in range(len(cuts)):
                 held[k].append(f[b == k])
-        for (shift, width), own in zip(BLOCKS, held):
+        for (shift, width), own in zip(cuts, held):
             fps = np.concatenate(own) if own else np.zeros(0, U)
             if len(fps) > 1:
                 a, b = local_links(fps, shift, width, limit)

@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
-from drywell.llm import common, mixing
+import numpy as np
+import pytest
+
+from drywell.llm import common, mixing, simhash
 
 
 def off(sizes, names, gap, target):
@@ -38,3 +41,22 @@ def test_one_long_document_does_not_empty_the_mix(spark):
         by.setdefault(r["target"], []).append(r["taken"])
     for target, taken in by.items():
         assert abs(sum(taken) - target) <= 0.002 * target + 100
+
+
+def test_links_are_whole_at_any_limit(spark):
+    assert simhash.BLOCKS == ((0, 21), (21, 21), (42, 22))
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for n in (1, 2, 3, 4, 6, 7)]
+    # A bit in each of three blocks: no block of the limit 2 agrees.
+    prints = np.unique(np.concatenate([base, *(base[k::7] ^ np.uint64(f) for k, f in enumerate([*flips, 1 | 1 << 30 | 1 << 60]))]))
+    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    apart = np.bitwise_count(prints[:, None] ^ prints[None])
+    for limit in (0, 2, 3, 6):
+        start = np.arange(len(prints))
+        want = simhash.merged(start.copy(), *np.nonzero(apart <= limit))
+        links = np.array([(r["a"], r["b"]) for r in simhash.link_fingerprints(table, limit).collect()], np.int64).reshape(-1, 2).view(np.uint64)
+        assert (simhash.merged(start.copy(), *np.searchsorted(prints, links.T)) == want).all()
+    for limit in (-1, 64):
+        with pytest.raises(ValueError):
+            simhash.link_fingerprints(table, limit)
