@@ -137,23 +137,48 @@ class ZipReader:
 
 
 def decisions(pages: DataFrame) -> DataFrame:
-    """(digest, least) of payloads of LEAST_BYTES or more that several rows have; least: page_id and row of the response."""
-    return pages.where(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")).alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    """(digest, least, ties) of payloads of LEAST_BYTES or more that several rows have: the response's page_id (null last) and how many rows have it."""
+    by_page = pages.where(F.col("n") >= LEAST_BYTES).groupBy("digest", "page_id").agg(F.count("*").alias("rows"))
+    found = by_page.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "rows")).alias("least"), F.sum("rows").alias("rows"))
+    return found.where("rows > 1").select("digest", F.struct("least.page_id").alias("least"), F.col("least.rows").alias("ties"))
+
+
+def with_decisions(rows: DataFrame) -> DataFrame:
+    """rows (page_id, url, html, digest, n) with `again` and `first`, for revisits the response's page_id.
+
+    What a row becomes follows from its page_id and digest alone, so nothing depends on its place in
+    a read. Only where several rows share the smallest page_id of a digest are these rows stored with
+    a number of their own, and that with the smallest number is the response.
+    """
+    # Only digests that repeat are joined; Spark broadcasts them if they are few, else deals both sides by digest.
+    chosen = common.written(decisions(rows.drop("url", "html")), "repeats")
+    joined = rows.join(chosen, "digest", "left")
+    own = F.col("least").isNotNull() & F.col("page_id").eqNullSafe(F.col("least.page_id"))
+    tied = own & (F.col("ties") > 1)
+    names = ["page_id", "url", "html", "digest"]
+    out = joined.where(~F.coalesce(tied, F.lit(False))).select(*names, (F.col("least").isNotNull() & ~own).alias("again"), F.col("least.page_id").alias("first"))
+    if chosen.where("ties > 1").isEmpty():
+        return out
+    alike = common.written(joined.where(tied).select(*names, F.monotonically_increasing_id().alias("row")), "alike")
+    heads = alike.groupBy("digest").agg(F.min("row").alias("head"))
+    alike = alike.join(heads, "digest").select(*names, (F.col("row") != F.col("head")).alias("again"), F.col("page_id").alias("first"))
+    return out.unionByName(alike)
 
 
 def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", zip64: bool = False) -> DataFrame:
     """Writes a record for every row into packages under folder; the stored manifest (path, records).
 
-    Null payloads are empty; rows of one page_id are ordered by their place in the input; null ids
-    come last. Names are new in each attempt, and the manifest has those of ended attempts only.
+    Null payloads are empty; of rows that repeat page_id and payload one is the response and the
+    others revisit it; null ids come last. An empty table gives an empty manifest; other columns,
+    whatever their names, are not read. Names are new in each attempt, and the manifest has those of
+    ended attempts only.
     """
     spark = pages.sparkSession
+    common.prepare(spark)
     rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html")
+        pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html")
     ).withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("n", F.octet_length("html"))
-    # Only digests that repeat are joined; Spark broadcasts them if they are few, else deals both sides by digest.
-    rows = rows.join(common.written(decisions(rows.drop("url", "html")), "repeats"), "digest", "left")
-    rows = rows.select("page_id", "url", "html", "digest", (F.col("least").isNotNull() & (F.col("least.row") != F.col("row"))).alias("again"), F.col("least.page_id").alias("first"))
+    rows = with_decisions(rows)
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -206,9 +231,11 @@ def read_packages(manifest: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the packages.
 
     A response's size and digest are those of the payload read; a revisit has its digest from its
-    header and its size from the response with that digest.
+    header and its size from the response with that digest. A revisit whose response is in none of
+    the packages raises an error.
     """
     spark = manifest.sparkSession
+    common.prepare(spark)
 
     def run(batches):
         for batch in batches:
@@ -230,7 +257,9 @@ def read_packages(manifest: DataFrame) -> DataFrame:
     again = found.where("record_type = 'revisit'").drop("payload_bytes")
     wanted = again.select("payload_digest").distinct()
     sizes = own.join(wanted, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    return own.unionByName(again.join(sizes, "payload_digest").select(*own.columns))
+    missing = F.raise_error(F.concat(F.lit("no response for the revisit of "), F.col("payload_digest"))).cast("long")
+    again = again.join(sizes, "payload_digest", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", missing))
+    return own.unionByName(again.select(*own.columns))
 
 
 def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

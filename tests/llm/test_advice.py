@@ -60,3 +60,51 @@ def test_links_are_whole_at_any_limit(spark):
     for limit in (-1, 64):
         with pytest.raises(ValueError):
             simhash.link_fingerprints(table, limit)
+
+
+def test_no_record_is_lost_when_splits_change(spark, tmp_path):
+    import random
+
+    from drywell.llm import warc
+
+    rng = random.Random(3)
+    rows = [(k, f"u{k}", "<p>one</p>" * 20 if k % 6 else f"<p>other {k % 30}</p>" * 20) for k in range(600)]
+    rows += [(7, "again", "<p>one</p>" * 20), (1, "u1", "<p>one</p>" * 20), (1, "u1", "<p>one</p>" * 20), (None, "n", "<p>one</p>" * 20), (None, "n", "<p>none</p>" * 20), (None, "n", "<p>none</p>" * 20)]
+    rng.shuffle(rows)
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8).write.parquet(path)
+    least = {}
+    for page, _, html in rows:
+        least[html] = min(least.get(html, 10**9), 10**9 if page is None else page)
+    before = warc.decisions
+
+    def moved(pages):  # the splits of every later read differ
+        spark.conf.set("spark.sql.files.minPartitionNum", "1" if spark.conf.get("spark.sql.files.minPartitionNum", "16") == "16" else "16")
+        return before(pages)
+
+    try:
+        warc.decisions = moved
+        spark.conf.set("spark.sql.files.minPartitionNum", "16")
+        manifest = warc.write_packages(spark.read.parquet(path), common.fresh(spark, "w"))
+        got = warc.read_packages(manifest).collect()
+    finally:
+        warc.decisions = before
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted((r["page_id"] is None, r["page_id"] or 0) for r in got) == sorted((r[0] is None, r[0] or 0) for r in rows)
+    heads = [r for r in got if r["record_type"] == "response"]
+    assert len(heads) == len(least) and sorted(10**9 if r["page_id"] is None else r["page_id"] for r in heads) == sorted(least.values())
+    assert all(r["refers_to"] in (None, *least.values()) for r in got if r["record_type"] == "revisit")
+
+
+def test_a_revisit_without_response_is_an_error(spark):
+    from drywell.llm import warc
+
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200)], "page_id long, url string, html string")
+    before = warc.with_decisions
+    try:
+        warc.with_decisions = lambda rows: before(rows).where("again")
+        manifest = warc.write_packages(pages, common.fresh(spark, "w"))
+    finally:
+        warc.with_decisions = before
+    with pytest.raises(Exception, match="no response for the revisit"):
+        warc.read_packages(manifest).collect()
