@@ -7,6 +7,10 @@ builds nodes over runs of the order: a node holds the bits that all its members
 node does not hold yet. A search goes down with the differences so far and leaves a node out, with
 all its members, once they exceed the limit. Links are merged in the task, and only each member's
 link to the smallest fingerprint of its part goes on to the search for components.
+
+Near copies by similarity (`near_copies`) use the same index at a wider limit: fingerprints of four
+words of 64 bits find the candidates, and each is confirmed by the Jaccard similarity of the texts'
+five-word shingles.
 """
 
 from __future__ import annotations
@@ -21,8 +25,14 @@ from . import common
 from .tokens import blocks
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
-FANOUT, QUERIES = 8, 4096
+FANOUT, QUERIES, PAIRS = 8, 4096, 1_000_000
 U = np.uint64
+#: Near copies: words to a shingle and the similarity from which texts are copies.
+NEAR_WORDS, NEAR = 5, 0.8
+#: Their candidates: 64-bit words of a fingerprint, of each word five blocks, and the bits that one word and all of them may differ in.
+PRINT_WORDS, PRINT_CUTS, WORD_LIMIT, PRINT_LIMIT = 4, 4, 13, 52
+#: Odd factors that make further hashes of one (fixed values of common mixers; the first word takes the hash itself).
+FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def bit_blocks(limit: int) -> tuple[tuple[int, int], ...]:
@@ -120,6 +130,17 @@ class GrayIndex:
             mask, value, group = up, ones, group[first]
         self.levels.append(Node(None, None, mask, value))
 
+    def steps(self):
+        """(start, stop) of queries, few enough that their pairs with whole groups stay within PAIRS."""
+        n = np.bincount(self.group)[self.group]
+        start = run = 0
+        for k, m in enumerate(n.tolist()):
+            if run and (run + m > PAIRS or k - start >= QUERIES):
+                yield start, k
+                start, run = k, 0
+            run += m
+        yield start, len(n)
+
     def links(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, other) of places, other > query, within the limit; queries are start..stop."""
         query = np.arange(start, stop)
@@ -165,14 +186,45 @@ def local_links(fps: np.ndarray, shift: int, lead: int, limit: int = LIMIT) -> t
     order = np.argsort(gray_rank(codes))
     fps = fps[order]
     index, parent = GrayIndex(codes[order], lead, limit), np.arange(len(fps))
-    for a in range(0, len(fps), QUERIES):
-        parent = merged(parent, *index.links(a, min(len(fps), a + QUERIES)))
+    for a, b in index.steps():
+        parent = merged(parent, *index.links(a, b))
     own = np.flatnonzero(parent != np.arange(len(fps)))
     return fps[own], fps[parent[own]]
 
 
+def dealt_groups(batches, columns: int, held: int = 1 << 20):
+    """Arrow batches sorted by (block, value), the last two columns, as arrays (block, *columns) of whole groups, about `held` rows at a time."""
+    kept: list[list[np.ndarray]] = []
+
+    def out(parts):
+        joined = [np.concatenate(x) for x in zip(*parts)]
+        for block in np.unique(joined[-2]).tolist():
+            own = joined[-2] == block
+            yield block, [x[own] for x in joined[:columns]]
+
+    for batch in batches:
+        arrays = [np.asarray(batch.column(k)) for k in range(columns + 2)]
+        while len(arrays[0]) and sum(len(x[0]) for x in kept) + len(arrays[0]) > held and kept:
+            # What is held ends where the last group of it ends, which may be in this batch.
+            last = (kept[-1][-2][-1], kept[-1][-1][-1])
+            same = (arrays[-2] == last[0]) & (arrays[-1] == last[1])
+            cut = int(same.sum())  # sorted, so these come first
+            if cut == len(same):
+                break
+            yield from out([*kept, [x[:cut] for x in arrays]])
+            kept, arrays = [], [x[cut:] for x in arrays]
+        if len(arrays[0]):
+            kept.append(arrays)
+    if kept:
+        yield from out(kept)
+
+
 def link_fingerprints(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(a, b) links that join the distinct fingerprints `fp` into the components of all links within the limit."""
+    """(a, b) links that join the distinct fingerprints `fp` into the components of all links within the limit.
+
+    Tasks get their groups sorted by (block, value) and hold about a million fingerprints at a time,
+    or one group.
+    """
     spark, cuts = distinct.sparkSession, bit_blocks(limit)
     fp = F.col("fp")
     dealt = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft(fp, shift), 64 - width).alias("value")) for k, (shift, width) in enumerate(cuts)))).alias("g"))
@@ -180,19 +232,12 @@ def link_fingerprints(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches):
-        held: list[list[np.ndarray]] = [[] for _ in cuts]
-        for batch in batches:
-            f, b = np.asarray(batch.column(0)).view(U), np.asarray(batch.column(1))
-            for k in range(len(cuts)):
-                held[k].append(f[b == k])
-        for (shift, width), own in zip(cuts, held):
-            fps = np.concatenate(own) if own else np.zeros(0, U)
-            if len(fps) > 1:
-                a, b = local_links(fps, shift, width, limit)
-                for i in range(0, len(a), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000].view(np.int64)), pa.array(b[i : i + 100_000].view(np.int64))], names=["a", "b"])
+        for block, (fps,) in dealt_groups(batches, 1):
+            a, b = local_links(fps.view(U), *cuts[block], limit)
+            for i in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000].view(np.int64)), pa.array(b[i : i + 100_000].view(np.int64))], names=["a", "b"])
 
-    return dealt.repartition(parts, "block", "value").select("fp", "block").mapInArrow(run, "a long, b long")
+    return dealt.repartition(parts, "block", "value").sortWithinPartitions("block", "value").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,16 +260,162 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def long_print(hashes: np.ndarray) -> list[int]:
+    """PRINT_WORDS SimHashes of the same shingles, each by another hash of theirs; the first is `simhash`."""
+    out = [simhash(hashes)]
+    for factor in FACTORS[1:PRINT_WORDS]:
+        x = (hashes ^ (hashes >> U(32))) * U(factor)
+        out.append(simhash(x ^ (x >> U(29))))
+    return out
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Numbers of the links a-b that make a spanning forest of least differences d over n places."""
+    live = np.argsort(d, kind="stable")
+    parent, kept = np.arange(n), [np.zeros(0, np.int64)]
+    while len(live):
+        x, y = parent[a[live]], parent[b[live]]
+        live, x, y = live[x != y], x[x != y], y[x != y]
+        least = np.full(n, len(live))  # of each part, the place of its first link in the order
+        for end in (x, y):
+            np.minimum.at(least, end, np.arange(len(live)))
+        pick = live[np.unique(least[least < len(live)])]
+        kept.append(pick)
+        parent = merged(parent, a[pick], b[pick])
+    return np.concatenate(kept)
+
+
+def local_candidates(part: np.ndarray, words: np.ndarray, word: int, shift: int, lead: int, sparse: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, differing bits) of places in groups of equal lead bits of a word, within both limits, of different parts; sparse: a spanning forest of them only."""
+    order = np.argsort(gray_rank(rotated(words[word], shift)))
+    index = GrayIndex(rotated(words[word], shift)[order], lead, WORD_LIMIT)
+    held, n = [np.zeros(0, np.int64)] * 3, len(order)
+    for start, stop in index.steps():
+        a, b = (order[x] for x in index.links(start, stop))
+        a, b = a[part[a] != part[b]], b[part[a] != part[b]]
+        d = np.bitwise_count(words[:, a] ^ words[:, b]).sum(0, dtype=np.int64)
+        near = d <= PRINT_LIMIT
+        held = [np.concatenate(x) for x in zip(held, (a[near], b[near], d[near]))]
+        if sparse and len(held[0]) > PAIRS:
+            own = forest(n, *held)
+            held = [x[own] for x in held]
+    if sparse:
+        own = forest(n, *held)
+        held = [x[own] for x in held]
+    return held[0], held[1], held[2]
+
+
+def candidates(nodes: DataFrame, sparse: bool) -> DataFrame:
+    """(a, b, d) with a < b: nodes (node, part, w0, w1, ...) of different parts whose fingerprints are near."""
+    spark, cuts = nodes.sparkSession, bit_blocks(PRINT_CUTS)
+    words = [f"w{k}" for k in range(PRINT_WORDS)]
+    groups = [
+        F.struct(F.lit(w * len(cuts) + k).alias("block"), F.shiftrightunsigned(F.shiftleft(F.col(words[w]), shift), 64 - width).alias("value"))
+        for w in range(PRINT_WORDS) for k, (shift, width) in enumerate(cuts)
+    ]
+    dealt = nodes.select("node", "part", *words, F.explode(F.array(*groups)).alias("g")).select("node", "part", *words, "g.block", "g.value")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def run(batches):
+        for block, (node, part, *prints) in dealt_groups(batches, 2 + PRINT_WORDS, 1 << 18):
+            a, b, d = local_candidates(part, np.array(prints).view(U), block // len(cuts), *cuts[block % len(cuts)], sparse)
+            for i in range(0, len(a), 100_000):
+                x, y = node[a[i : i + 100_000]], node[b[i : i + 100_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d[i : i + 100_000])], names=["a", "b", "d"])
+
+    return dealt.repartition(parts, "block", "value").sortWithinPartitions("block", "value").mapInArrow(run, "a long, b long, d long").distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, alike) of each pair of texts (row, text): whether the sets of their shingles have Jaccard similarity NEAR or more."""
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+
+    def run(batches):
+        for batch in batches:
+            for start, length in blocks(batch.column(1)):
+                sets = [np.unique(shingle_hashes(t, NEAR_WORDS)).view(np.int64) for t in batch.column(1).slice(start, length).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, length), lists.cast(pa.list_(pa.int64()))], names=["row", "shingles"])
+
+    sets = common.written(texts.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, shingles array<long>"), "shingles")
+    x, y = (sets.select(F.col("row").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "x"), ("b", "y")))
+    both = F.size(F.array_intersect("x", "y"))
+    found = pairs.select("a", "b").join(x, "a").join(y, "b")
+    return common.written(found.select("a", "b", (both >= F.lit(NEAR) * (F.size("x") + F.size("y") - both)).alias("alike")), "confirmed")
+
+
+def with_parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with `part`, the smallest node that links reach; nodes without links are their own part."""
+    roots = common.connected_components(links.select("a", "b"), "near-links")
+    return common.written(nodes.drop("part").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "near-parts")
+
+
+def crossing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose nodes are of different parts."""
+    x, y = (nodes.select(F.col("node").alias(k), F.col("part").alias(p)) for k, p in (("a", "_x"), ("b", "_y")))
+    return pairs.join(x, "a").join(y, "b").where("_x != _y").drop("_x", "_y")
+
+
+def near_copies(rows: DataFrame) -> DataFrame:
+    """(row, keep) of a stored table (row, id, text), `row` unique: keep is the row that stays of those that links join, that with the smallest id (null last), then row.
+
+    Texts are linked if the sets of their five-word shingles (lower-cased A-Z; fewer words: the whole
+    sequence) have Jaccard similarity 0.8 or more; texts without words are alike. Candidates are
+    texts whose four-word fingerprints agree in one of twenty blocks and differ in few bits, so a
+    link may be missed by chance (README has the measured share); every candidate is decided. Texts
+    of the same words are one node. Tasks pass on a spanning forest of their groups' candidates; first
+    each node's nearest is confirmed, then what still joins different parts. Where some were turned
+    down, all candidates between the parts of that neighbourhood are searched and confirmed.
+    """
+    common.prepare(rows.sparkSession)
+    words = [f"w{k}" for k in range(PRINT_WORDS)]
+
+    def run(batches):
+        for batch in batches:
+            for start, length in blocks(batch.column(2)):
+                texts = batch.column(2).slice(start, length).to_pylist()
+                keys = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
+                prints = np.array([long_print(shingle_hashes(t)) for t in texts], U).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, length) for k in range(2)] + [pa.array(keys, pa.binary()), *(pa.array(prints[:, k].copy()) for k in range(PRINT_WORDS))], names=["row", "id", "key", *words])
+
+    prints = common.written(rows.select("row", "id", "text").mapInArrow(run, "row long, id long, key binary, " + ", ".join(f"{w} long" for w in words)), "prints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    nodes = prints.groupBy("key").agg(first.alias("first"), *(F.min(w).alias(w) for w in words)).select("key", F.col("first.row").alias("node"), F.col("first.row").alias("part"), F.struct("first.none", "first.id", "first.row").alias("rank"), *words)
+    nodes = common.written(nodes, "nodes")
+    edges = common.written(candidates(nodes, True), "candidates")
+    ends = edges.select("a", "b", "d").union(edges.select("b", "a", "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    nearest = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    told = confirmed(nearest, rows)
+    nodes = with_parts(nodes, told.where("alike"))
+    more = confirmed(crossing(edges.join(told, ["a", "b"], "left_anti"), nodes), rows)
+    told = told.unionByName(more)
+    if not more.where("alike").isEmpty():
+        nodes = with_parts(nodes, told.where("alike"))
+    refused = common.written(crossing(told.where("not alike"), nodes), "refused")
+    if not refused.isEmpty():
+        near = common.connected_components(edges.select("a", "b"), "near-all")
+        open_ = near.join(refused.join(near, refused["a"] == near["node"]).select("root").distinct(), "root", "left_semi").select("node")
+        again = candidates(nodes.join(open_, "node", "left_semi"), False).join(told, ["a", "b"], "left_anti")
+        told = told.unionByName(confirmed(common.written(again, "again"), rows))
+        nodes = with_parts(nodes, told.where("alike"))
+    heads = nodes.groupBy("part").agg(F.min("rank").alias("head"))
+    kept = nodes.join(heads, "part").select("key", F.col("head.row").alias("keep"))
+    return common.written(prints.join(kept, "key").select("row", "keep"), "kept")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without all but one document of each component: that with the smallest id.
+    """The rows of docs, all columns, without all but one of each group of `near_copies`: that with the smallest id.
 
-    Rows that repeat that id keep one row; a null id counts as the largest.
+    Rows are stored with a number of their own first and told apart by it, so rows that share an id,
+    or have none, stay if their texts differ. Null and empty texts are alike: one of them stays. An
+    empty table stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    name = common.free(docs, "_keep")
-    keep = found.select(F.coalesce("component_id", F.lit(2**63 - 1)).alias(name)).distinct()
-    keyed = docs.withColumn(name, F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)))
-    return keyed.join(keep, name, "left_semi").dropDuplicates([name]).drop(name)
+    row = common.free(docs, "_row")
+    stored = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_copies(stored.select(F.col(row).alias("row"), stored[id_col].cast("long").alias("id"), stored[text_col].cast("string").alias("text")))
+    gone = found.where("row != keep").select(F.col("row").alias(row))
+    return stored.join(gone, row, "left_anti").drop(row)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

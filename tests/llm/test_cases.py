@@ -162,3 +162,13 @@ def test_simhash(odd, none):
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and [r["doc_id"] for r in kept.where("doc_id = 5").collect()] == [5]
     assert simhash.drop_near_duplicates(none).count() == 0
+    # Rows 5 and 5 are copies; 3, 7 and 9 have no words; the two rows without an id differ.
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 2), (False, 3), (False, 5), (False, 11), (True, 0), (True, 0)]
+
+
+def test_simhash_rows_that_share_an_id_or_have_none(spark):
+    a, b, c = PROSE, "Quite another text with words of its own that no one else has, all of it.", "A third one, unlike the others in each and every word that it is made of."
+    docs = spark.createDataFrame([(None, a), (None, b), (None, c), (None, c)], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.drop_near_duplicates(docs).collect()) == sorted([a, b, c])
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.drop_near_duplicates(docs).collect())) == [(3, a), (5, b)]
