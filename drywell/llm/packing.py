@@ -114,7 +114,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end: int, id_col: str,
                 flat, ends = enc.encode(batch.column(2).slice(start, length))
                 out, at = [], 0
                 for row, doc, stop in zip(rows, ids, ends.tolist()):
-                    own = np.append(flat[at:stop], np.uint16(end)).astype("<u4")
+                    own = np.append(flat[at:stop], flat.dtype.type(end)).astype("<u4")
                     at = stop
                     for k, a in enumerate(range(0, len(own), capacity)):
                         cut = own[a : a + capacity]

@@ -1,14 +1,16 @@
 """Token ids in files by Re-Pair grammar compression.
 
-Documents go in ascending id order into shards. A shard's sequence is rewritten in rounds: the most
-frequent pairs of neighbours become nonterminals, with rules that name their two parts. Pairs never
-reach across the end of a document. Rules are stored with the number of ids they expand to, so any
-range of a document's ids can be decoded without the rest.
-
-A shard file, little-endian: magic, then (first nonterminal, end id, rules, documents, symbols, ids)
-as 64-bit integers, then arrays: left and right parts of the rules (16 bits), expansion lengths of
-the rules (32), document ids (64), null flags (8), where each document's symbols start (64), the
-symbols (16), and a CRC-32 of all before it.
+Documents go in ascending id order into shards. A shard's sequence is rewritten in rounds: pairs of
+neighbours that occur more than once become nonterminals, the more frequent before the less where
+they overlap, with rules that name their two parts, until no pair occurs twice. Pairs never reach
+across the end of a document. Rules are stored with the number of ids they expand to, so any range of
+a document's ids can be decoded without the rest.
+
+A shard file, little-endian: magic, then (first nonterminal, end id, rules, documents, symbols, ids,
+bits of a symbol, bits of a length) as 64-bit integers, then arrays: left and right parts of the
+rules and their expansion lengths (in as many bits as needed, high bits first), document ids (64),
+null flags (8), where each document's symbols start (64), the symbols (packed like the parts), and a
+CRC-32 of all before it.
 """
 
 from __future__ import annotations
@@ -27,84 +29,103 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import blocks, encoder, tokenizer_path
 
-MAGIC, END = b"DWRP0001", 1
-#: Ids from here on are free for nonterminals (the vocabulary has 49,408 entries).
+MAGIC, END = b"DWRP0002", 1
+#: Without another number given, ids from here on are free for nonterminals (the vocabulary has 49,408 entries).
 FIRST = 49_408
 SHARD_IDS = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST = 5, 3000, 8
-HEADER = struct.Struct("<6q")
-
-
-def compress(ids: np.ndarray, end: int = END, first: int = FIRST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, left, right): symbols from `first` on are rules; left and right are their parts."""
-    seq, left, right = ids.astype(np.uint16), [], []
-    slots = 1 << 18
-    for _ in range(ROUNDS):
-        used = sum(map(len, left))
-        room = min(RULES_A_ROUND, 65_536 - first - used)
-        if len(seq) < 2 or room <= 0:
-            break
-        key = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-        open_ = (seq[:-1] != end) & (seq[1:] != end)
+HEADER = struct.Struct("<8q")
+
+
+def alternate(key: np.ndarray) -> np.ndarray:
+    """False at every second place of a run of equal keys: pairs that overlap themselves count once."""
+    place = np.arange(len(key))
+    start = np.ones(len(key), bool)
+    start[1:] = key[1:] != key[:-1]
+    return (place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0
+
+
+def compress(ids: np.ndarray, end: int = END, first: int = FIRST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, left, right, lengths): symbols from `first` on are rules of two parts that expand to so many ids; no pair occurs twice."""
+    seq = ids.astype(np.uint32)
+    left, right, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], np.zeros(0, np.int64)
+    while len(seq) > 1:
+        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        open_ = alternate(key) & (seq[:-1] != end) & (seq[1:] != end)
         ordered = np.sort(key[open_])
         start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(ordered)))
-        often = np.flatnonzero(count >= LEAST)
+        often = np.flatnonzero(count > 1)
         if not len(often):
             break
-        often = often[np.argsort(-count[often], kind="stable")[:room]]
+        often = often[np.argsort(-count[often], kind="stable")]
         pairs = ordered[start[often]]
         # A table by hash finds a position's pair; of pairs with one slot the more frequent stays for this round.
-        slot = lambda k: (k * np.uint32(2_654_435_761)) >> np.uint32(14)
-        held_key, held_rank = np.full(slots, 0xFFFFFFFF, np.uint32), np.full(slots, -1, np.int32)
-        at = slot(pairs)
-        held_key[at[::-1]], held_rank[at[::-1]] = pairs[::-1], np.arange(len(pairs), dtype=np.int32)[::-1]
-        at = slot(key)
-        none = np.int32(1 << 30)
-        rank = np.where((held_key[at] == key) & open_, held_rank[at], none)
-        take = rank < none
+        bits = max(12, int(len(pairs)).bit_length() + 2)
+        slot = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)  # noqa: E731, B023
+        held = np.full(1 << bits, len(pairs), np.int32)
+        held[slot(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        where = np.flatnonzero(open_)
+        own = held[slot(key[where])]
+        hit = (own < len(pairs)) & (pairs[np.minimum(own, len(pairs) - 1)] == key[where])
+        rank = np.full(len(key), len(pairs), np.int32)
+        rank[where[hit]] = own[hit]
+        take = rank < len(pairs)
         take[1:] &= rank[1:] < rank[:-1]
         take[:-1] &= rank[:-1] <= rank[1:]
-        often = np.bincount(rank[take], minlength=len(pairs)) >= 4
-        if not often.any():
-            break
-        take[take] = often[rank[take]]
-        number = np.cumsum(often) - 1 + first + used
+        # The most frequent pair of all always takes all its places, so every round makes rules.
+        used = np.bincount(rank[take], minlength=len(pairs)) > 1
+        take[take] = used[rank[take]]
+        number = np.cumsum(used) - 1 + first + len(lengths)
         where = np.flatnonzero(take)
-        left.append((pairs[often] >> np.uint32(16)).astype(np.uint16))
-        right.append((pairs[often] & np.uint32(0xFFFF)).astype(np.uint16))
-        seq = seq.copy()
-        seq[where] = number[rank[where]].astype(np.uint16)
+        parts = [(pairs[used] >> np.uint64(32)).astype(np.uint32), pairs[used].astype(np.uint32)]
+        left.append(parts[0])
+        right.append(parts[1])
+        lengths = np.concatenate([lengths, sum(np.where(x < first, 1, np.append(lengths, 0)[np.maximum(x.astype(np.int64) - first, -1)]) for x in parts)])
+        seq[where] = number[rank[where]].astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq = seq[keep]
-    empty = [np.zeros(0, np.uint16)]
-    return seq, np.concatenate(left or empty), np.concatenate(right or empty)
+    return seq, np.concatenate(left), np.concatenate(right), lengths
 
 
-def expansions(left: np.ndarray, right: np.ndarray, first: int = FIRST) -> tuple[np.ndarray, np.ndarray]:
-    """(flat, lengths): the ids of every symbol, one symbol after the other; terminals expand to themselves."""
-    parts: list[np.ndarray] = []
-    get = lambda s: parts[s - first] if s >= first else np.array([s], np.uint16)
-    for a, b in zip(left.tolist(), right.tolist()):
-        parts.append(np.concatenate([get(a), get(b)]))
-    lengths = np.concatenate([np.ones(first, np.int64), np.array([len(x) for x in parts], np.int64)])
-    return np.concatenate([np.arange(first, dtype=np.uint16), *parts]), lengths
+def expanded(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
+    """The ids of symbols in order: rules are put in place of all nonterminals at once, level by level."""
+    out = symbols.astype(np.uint32)
+    while (rule := out >= first).any():
+        n = 1 + rule.astype(np.int64)
+        at = np.cumsum(n) - n
+        longer = np.empty(int(n.sum()), np.uint32)
+        longer[at[~rule]] = out[~rule]
+        of = out[rule] - np.uint32(first)
+        longer[at[rule]], longer[at[rule] + 1] = left[of], right[of]
+        out = longer
+    return out
+
+
+def to_bits(values: np.ndarray, bits: int) -> bytes:
+    return np.packbits(np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - bits :]).tobytes()
+
+
+def from_bits(data: np.ndarray, n: int, bits: int) -> np.ndarray:
+    out = np.zeros((n, 32), np.uint8)
+    out[:, 32 - bits :] = np.unpackbits(data, count=n * bits).reshape(n, bits)
+    return np.packbits(out, axis=1).view(">u4").ravel().astype(np.uint32)
 
 
 def pack_shard(doc_ids: list[int | None], lens: list[int], ids: np.ndarray, end: int = END, first: int = FIRST) -> bytes:
-    """The file of one shard: documents of lens[i] ids each, the last of them the end id."""
-    symbols, left, right = compress(ids, end, first)
-    _, lengths = expansions(left, right, first)
+    """The file of one shard: documents of lens[i] ids each, the last of them the end id. All ids are below `first`."""
+    if len(ids) and (int(ids.max()) >= first or end >= first):
+        raise ValueError("an id is among the nonterminals")
+    symbols, left, right, lengths = compress(ids, end, first)
     # No pair holds an end id, so a document starts at a symbol of its own.
-    upto = np.cumsum(lengths[symbols])
+    upto = np.cumsum(np.append(lengths, 1)[np.where(symbols < first, len(lengths), symbols.astype(np.int64) - first)])
     starts = np.searchsorted(upto, np.cumsum(lens) - np.asarray(lens, np.int64), "right").astype(np.int64)
     known = np.array([d if d is not None else 0 for d in doc_ids], np.int64)
     null = np.array([d is None for d in doc_ids], np.uint8)
+    wide, deep = int(first + len(left)).bit_length(), int(max(lengths, default=0)).bit_length() or 1
     body = b"".join([
-        MAGIC, HEADER.pack(first, end, len(left), len(doc_ids), len(symbols), len(ids)),
-        left.astype("<u2").tobytes(), right.astype("<u2").tobytes(), lengths[first:].astype("<u4").tobytes(),
-        known.astype("<i8").tobytes(), null.tobytes(), starts.astype("<i8").tobytes(), symbols.astype("<u2").tobytes(),
+        MAGIC, HEADER.pack(first, end, len(left), len(doc_ids), len(symbols), len(ids), wide, deep), to_bits(left, wide), to_bits(right, wide), to_bits(lengths, deep),
+        known.astype("<i8").tobytes(), null.tobytes(), starts.astype("<i8").tobytes(), to_bits(symbols, wide),
     ])
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -115,7 +136,7 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC or struct.unpack("<I", data[-4:])[0] != zlib.crc32(data[:-4]):
             raise ValueError("not a whole shard file")
-        self.first, self.end, rules, self.docs, symbols, self.total = HEADER.unpack_from(data, 8)
+        self.first, self.end, rules, self.docs, symbols, self.total, wide, deep = HEADER.unpack_from(data, 8)
         at = 8 + HEADER.size
 
         def take(n, kind):
@@ -124,17 +145,17 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.left, self.right, self.lengths = take(rules, "<u2"), take(rules, "<u2"), take(rules, "<u4")
-        self.doc_ids, self.null, self.starts, self.symbols = take(self.docs, "<i8"), take(self.docs, "u1"), take(self.docs, "<i8"), take(symbols, "<u2")
+        def packed(n, bits):
+            return from_bits(take(-(-n * bits // 8), np.uint8), n, bits)
+
+        self.left, self.right, self.lengths = packed(rules, wide), packed(rules, wide), packed(rules, deep)
+        self.doc_ids, self.null, self.starts, self.symbols = take(self.docs, "<i8"), take(self.docs, "u1"), take(self.docs, "<i8"), packed(symbols, wide)
 
     def everything(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, where each document ends)."""
-        flat, lengths = expansions(self.left, self.right, self.first)
-        offsets = np.cumsum(lengths) - lengths
-        n = lengths[self.symbols]
-        stop = np.cumsum(n)
-        out = flat[np.arange(self.total) + np.repeat(offsets[self.symbols] - (stop - n), n)]
-        return out, np.append((stop - n)[self.starts[1:]], self.total)[: self.docs]
+        out = expanded(self.symbols, self.left, self.right, self.first)
+        n = np.append(self.lengths, 1).astype(np.int64)[np.where(self.symbols < self.first, len(self.lengths), self.symbols.astype(np.int64) - self.first)]
+        return out, np.append((np.cumsum(n) - n)[self.starts[1:]], self.total)[: self.docs]
 
     def length(self, symbol: int) -> int:
         return 1 if symbol < self.first else int(self.lengths[symbol - self.first])
@@ -161,12 +182,15 @@ class Shard:
 def write_shards(docs: DataFrame, folder: str, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes and stores all rows; the manifest (part, shard, path, docs, ids, bytes), itself stored.
 
-    Rows go in ascending id order, null ids first, rows of one id by text. Files get a name of their
-    own in each attempt; only those of attempts that ended are in the manifest. Null texts are empty.
+    Rows go in ascending id order, null ids first, rows of one id by the hash of their text, then text. Files get a name of their
+    own in each attempt; only those of attempts that ended are in the manifest. Null texts are empty;
+    an empty table gives an empty manifest; other columns, whatever their names, are not read. Rows
+    without an id, or rows of one id, may be dealt over many tasks by that hash. `path` may be any tokenizer file whose ids end below 2**31.
     """
     spark = docs.sparkSession
+    common.prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
 
     def run(batches):
         enc, part = encoder(path), TaskContext.get().partitionId()
@@ -176,7 +200,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end: int = END, id_col
 
         def flush():
             name = f"part-{part:05d}-{shard:05d}-{uuid.uuid4().hex}.repair"
-            data = pack_shard(ids, lens, np.concatenate(flat), end)
+            data = pack_shard(ids, lens, np.concatenate(flat), end, enc.size)
             with files.open_output_stream(f"{base}/{name}") as out:
                 out.write(data)
             row = [part, shard, f"{folder}/{name}", len(ids), sum(lens), len(data)]
@@ -187,7 +211,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end: int = END, id_col
                 own, ends = enc.encode(batch.column(1).slice(start, length))
                 at = 0
                 for doc, stop in zip(batch.column(0).slice(start, length).to_pylist(), ends.tolist()):
-                    flat += [own[at:stop], np.array([end], np.uint16)]
+                    flat += [own[at:stop], np.array([end], own.dtype)]
                     ids.append(doc)
                     lens.append(stop - at + 1)
                     size, at = size + stop - at + 1, stop
@@ -197,7 +221,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end: int = END, id_col
         if ids:
             yield flush()
 
-    sorted_ = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    sorted_ = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return common.written(sorted_.mapInArrow(run, "part int, shard int, path string, docs long, ids long, bytes long"), "manifest")
 
 

@@ -2,11 +2,14 @@
 
 The tokenizer of word_bpe_49k.json composes, lower-cases, splits at white space and then into
 contractions, runs of letters, single numbers and runs of other signs, and joins pairs within each
-of those only. No step looks beyond those parts, so the ids of a text are those of its parts in order.
+of those only. No step looks beyond those parts, so the ids of a text are those of its parts in order. With any
+other tokenizer all texts go to the library whole.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +48,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        #: Ids are below this.
+        self.size = max(self.whole.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.in_parts = os.path.basename(path) == NAME
         self.model = self.whole.model
         self.alphabet = byte_alphabet()
         self.parts: dict[str, bytes] = {"": b""}
@@ -74,8 +81,11 @@ class Encoder:
         return gather(flat, lens, np.asarray(parts.indices), ends)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """ids (uint16) of all texts, one after the other, and the end of each text's ids. Null is empty."""
+        """ids (16 bits, 32 for large vocabularies) of all texts, one after the other, and the end of each text's ids. Null is empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not self.in_parts:
+            found = [x.ids for x in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in found for i in x], self.kind), np.cumsum([len(x) for x in found], dtype=np.int64)
         plain = np.asarray(pc.and_(pc.match_substring_regex(texts, PLAIN), pc.invert(pc.match_substring(texts, "<|"))))
         if plain.all():
             return self._plain(texts)

@@ -65,10 +65,34 @@ def test_grammar_round_trip_and_random_access():
     for k, x in enumerate(own):
         assert shard.ids(k) == x.tolist() and shard.ids(k, 3, 40) == x[3:40].tolist()
     assert (shard.lengths >= 2).all()
+    for k in range(0, 900, 37):
+        assert shard.ids(80, k, k + 5) == own[80][k : k + 5].tolist()
+    # Only a pair that occurs once is left between ends.
+    seq = shard.symbols.astype(np.int64)
+    pairs = [(a, b) for a, b in zip(seq[:-1].tolist(), seq[1:].tolist()) if 1 not in (a, b)]
+    pairs = [p for p, q in zip(pairs, [None, *pairs]) if p != q]  # three like symbols are one pair
+    assert len(pairs) == len(set(pairs))
+    with pytest.raises(ValueError):
+        repair.pack_shard([0], [2], np.array([50_000, 1], np.uint32))
     with pytest.raises(ValueError):
         repair.Shard(data_[:-9] + bytes([data_[-9] ^ 1]) + data_[-8:])
 
 
+def test_other_tokenizers_and_wide_ids(spark):
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    whole = tokens.Encoder(path)
+    texts = ["It's a test, of 12 things.", "", None, "a  b\n\nc é 你好"]
+    ids, ends = whole.encode(pa.array(texts, pa.string()))
+    want = [whole.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repair.read_shards(repair.write_shards(docs, common.fresh(spark, "t"), path, end=50_256)).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in got} == {k: crc([*x, 50_256]) for k, x in enumerate(want)}
+    wide = np.array([3_000_000, 2_999_999, 3_000_000, 2_999_999, 7], np.uint32)
+    shard = repair.Shard(repair.pack_shard([1], [5], wide, 7, 3_000_001))
+    assert len(shard.symbols) == 3 and shard.everything()[0].tolist() == wide.tolist()
+
+
 @data
 def test_op2(spark, docs):
     pieces = set(wordpiece.load_pieces(tokens.tokenizer_path(wordpiece.VOCABULARY)))
@@ -327,46 +351,73 @@ def test_quotation_lowers_a_score():
     assert s[0] > s[1] > s[3] and s[0] > s[2] > s[3] and s[3] == s[4]
 
 
+def paragraphs(text):
+    """Runs of up to sixteen words within a sentence and a line, by plain loops."""
+    out = set()
+    for line in re.split(r"[\n\x0b\x0c\r]", text):
+        run = []
+        for word in re.findall(r"[^ \t]+", line):
+            run.append(word)
+            if len(run) == 16 or word[-1] in ".!?":
+                out.add(tuple(run))
+                run = []
+        if run:
+            out.add(tuple(run))
+    return out
+
+
+def alike(a, b):
+    x, y = paragraphs(a), paragraphs(b)
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+
 @data
 def test_op9(spark, docs):
     got = {r["doc_id"]: r for r in registry.QUERIES["op9_iblt_fingerprints"](spark, SMALL).collect()}
     follows = {a[0]: b[1] for a, b in zip(docs, docs[1:] + docs[:1])}
-
-    def pieces(t):
-        if t.count("\n") < 4:
-            own = set(re.split(r" +|\n" if len(t) <= 100 else r"(?<=[.!?]) +|\n", t))
-            if len(own) <= 24:
-                return own
-        return None
-
-    def like(a, b):
-        x, y = pieces(a), pieces(b)
-        if x is None or y is None:
-            x, y = set(a.split("\n")), set(b.split("\n"))
-        return 2 * len(x & y) / (len(x) + len(y))
-
     for i, text in docs:
         r, k = got[i], len(text) // 4
         edited = text[: len(text) - k] + follows[i][:k]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["near_edited"] == pytest.approx(like(text, edited)) and r["near_next"] == pytest.approx(like(text, follows[i]))
+        assert r["near_edited"] == pytest.approx(alike(text, edited)) and r["near_next"] == pytest.approx(alike(text, follows[i]))
+        own, new = paragraphs(text), paragraphs(edited)
+        assert (r["paragraphs_left"], r["paragraphs_new"]) == (len(own - new), len(new - own))
     assert len({r["fingerprint"] for r in got.values()}) == len({t for _, t in docs})
 
 
+def test_one_unit_whatever_the_size(spark):
+    texts = ["Short one. And two here. Then three.", "Short one. And two here. Then three. Four is long enough to pass a hundred signs, which this does.", "a b c d", ""]
+    texts += ["line %d of many" % k for k in range(1)] + ["\n".join(f"line {k} of this text" for k in range(100_000)), "one " * 60_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.compare_versions(docs).collect()}
+    assert got[0]["near_next"] == pytest.approx(6 / 7)
+    for i, (text, after) in enumerate(zip(texts, texts[1:] + texts[:1])):
+        k = len(text) // 4
+        assert got[i]["near_edited"] == pytest.approx(alike(text, text[: len(text) - k] + after[:k])) and got[i]["near_next"] == pytest.approx(alike(text, after))
+
+
 def test_peeling_recovers_differences_and_retries(spark):
-    rows = spark.createDataFrame([(0, list(range(50)), list(range(3, 52))), (1, list(range(300)), list(range(500, 900))), (2, [], []), (3, [1], [])], "id int, a array<long>, b array<long>")
-    rows = rows.selectExpr("id", "a", "b", "cast(null as array<long>) fa", "cast(null as array<long>) fb")
-    for r in fingerprint.differences(rows, "d", "a", "fa", "b", "fb").collect():
-        assert r["d"]["ok"] and sorted(r["d"]["added"]) == sorted(set(r["a"]) - set(r["b"])) and sorted(r["d"]["removed"]) == sorted(set(r["b"]) - set(r["a"]))
+    rows = [(0, list(range(50)), list(range(3, 52))), (1, list(range(300)), list(range(500, 900))), (2, [], []), (3, [1], []), (4, list(range(5000)), list(range(2, 4000)))]
+    rows += [(k, [k * 7 + j for j in range(k % 9)], [k * 7 + j + k % 3 for j in range(k % 7)]) for k in range(5, 60)]
+    rows = spark.createDataFrame(rows, "id int, a array<long>, b array<long>")
+    rows = rows.selectExpr("id", "a", "b", f"{fingerprint.sketch('a')} AS sa", f"{fingerprint.sketch('b')} AS sb")
+    # A larger sketch that stalled, and none.
+    stalled = rows.selectExpr("*", "named_struct('ok', false, 'added', array(1L), 'removed', array(2L)) AS more")
+    for table, larger in ((rows, None), (stalled, "more")):
+        for r in fingerprint.differences(table, "d", "a", "b", "sa", "sb", larger).collect():
+            assert r["d"]["ok"] and sorted(r["d"]["added"]) == sorted(set(r["a"]) - set(r["b"])) and sorted(r["d"]["removed"]) == sorted(set(r["b"]) - set(r["a"]))
 
 
 def test_next_rows_over_sparse_and_repeated_ids(spark):
     rng = random.Random(6)
     rows = [(rng.choice([k, k * k * k, 10**15 + k, -k]), f"t{k}") for k in range(500)] + [(None, "n1"), (None, "n2"), (7, "a"), (7, "a")]
+    rows += [(77, f"same{k}") for k in range(300)] + [(None, f"none{k}") for k in range(300)]
     got = fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    signed = lambda t: int.from_bytes(xxhash.xxh64_intdigest(t, 42).to_bytes(8, "big"), "big", signed=True)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed(r[1]), r[1]))
     want = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, order[1:] + order[:1]))
     assert sorted((str(r["doc_id"]), r["text"], r["next"]) for r in got) == want
+    assert len({(r["bucket"], r["number"]) for r in got}) == len(rows)
 
 
 @data

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from drywell.llm import common, fingerprint, media, mixing, packing, quality, repair, simhash, tokens, toxicity, warc, wordpiece
 
@@ -43,9 +44,10 @@ def crc(ids):
 
 def test_repair(spark, odd, none, encode):
     got = repair.read_shards(repair.write_shards(odd, common.fresh(spark, "t"), tokens.tokenizer_path(), shard_ids=50)).collect()
-    want = sorted(((r[0] is not None, r[0] or 0), r[1] or "") for r in rows())
+    hashed = lambda t: None if t is None else int.from_bytes(xxhash.xxh64_intdigest(t.encode(), 42).to_bytes(8, "big"), "big", signed=True)
+    want = sorted(((r[0] is not None, r[0] or 0), hashed(r[1]) if r[1] is not None else 42, r[1] or "") for r in rows())
     at, expected = 0, []
-    for (_, i), text in want:
+    for (_, i), _, text in want:
         ids = encode(text) + [1]
         expected.append((at, len(ids), crc(ids)))
         at += len(ids)
