@@ -9,6 +9,7 @@ and a logistic model over the hits of a text, fitted to the labels, gives the sc
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .words import blocks, owners, split_words
+from .words import blocks, owners, split_words, words_of
 
-#: Bounds: labelled rows that the fit reads, terms in the lexicon, terms tried for it, and how far a context reaches.
-FIT_ROWS, MOST_TERMS, CANDIDATES, WINDOW = 20_000, 500, 20_000, 8
+#: The bound of the fit, labelled rows that it reads, and how far a context reaches. Terms and misspellings are bounded by those rows alone.
+FIT_ROWS, WINDOW = 20_000, 8
+#: Fewest toxic rows that a term must stand in, whatever chance says, and the signs of the shortest and longest stem.
+LEAST_ROWS, STEMS = 4, range(4, 9)
 THRESHOLD = 0.3
 MARKS = "\"'«»“”„‘’‹›`"
 STRIP = ".,;:!?()[]{}<>*#$%&|~^+=/\\_-" + MARKS
@@ -165,31 +168,33 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     """At most FIT_ROWS labelled rows' (text, toxic), never of the held-out part, stored in the shared folder.
 
     The labels are drawn by a hash of their id first; so few that they can be broadcast. Labels that
-    repeat an id count once, as toxic if any is; a null label or id counts not at all.
+    repeat an id count once, as toxic if any is; a null label or id counts not at all. Of documents
+    that repeat an id the text with the smallest hash counts.
     """
     drawn = (
         labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("_id is not null and toxic is not null").where(~held_out(F.col("_id")))
         .groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS)
     )
-    rows = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("text"))
-    return common.written(rows.join(F.broadcast(drawn), "_id").select("text", "toxic"), "labelled")
+    rows = docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    own = rows.join(F.broadcast(drawn), "_id").groupBy("_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "toxic")).alias("m"))
+    return common.written(own.select("m.text", "m.toxic"), "labelled")
+
+
+def stems_of(word: str) -> list[str]:
+    return [word[:k] + "*" for k in STEMS if k < len(word)]
 
 
 def learn_terms(rows: DataFrame) -> list[tuple[str, bool]]:
-    """Words and stems that toxic rows share beyond chance and clean rows all but lack; at most MOST_TERMS."""
+    """Words and stems that toxic rows share beyond chance and clean rows all but lack: all that pass, however many."""
 
     def count(batches):
         for batch in batches:
             pos: Counter = Counter()
             neg: Counter = Counter()
-            seen = set()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if (text or "", toxic) in seen:
-                    continue
-                seen.add((text or "", toxic))
-                own = {w for w in map(core_of, set((text or "").split())) if 2 < len(w) < 40 and not w.isnumeric()}
-                stems = {w[:k] + "*" for w in own for k in range(4, min(9, len(w)))}
+                own = {w for w in map(core_of, set(words_of(text))) if len(w) > 2 and not w.isnumeric()}
+                stems = {x for w in own for x in stems_of(w)}
                 (pos if toxic else neg).update(own)
                 (pos if toxic else neg).update(stems)
             terms = [t for t in pos | neg]
@@ -209,17 +214,17 @@ def learn_terms(rows: DataFrame) -> list[tuple[str, bool]]:
         if chance >= 0.5:
             break
         least = r["n"]
-    least = max(4, least)
-    wanted = {r["term"] for r in table.where((F.col("pos") >= least) & (F.col("pos") >= 19 * F.col("neg"))).orderBy(F.desc("pos"), "term").limit(CANDIDATES).collect()}
+    least = max(LEAST_ROWS, least)
+    wanted = {r["term"] for r in table.where((F.col("pos") >= least) & (F.col("pos") >= 19 * F.col("neg"))).select("term").collect()}
 
     def contexts(batches):
         for batch in batches:
             out = set()
             for text in batch.column(0).to_pylist():
                 found = {}
-                own = [core_of(w) for w in (text or "").split()]
+                own = [core_of(w) for w in words_of(text)]
                 for k, w in enumerate(own):
-                    for term in (w, *(w[:n] + "*" for n in range(4, min(9, len(w))))):
+                    for term in (w, *stems_of(w)):
                         if term in wanted and term not in found:
                             found[term] = " ".join(own[max(0, k - 1) : k] + own[k + 1 : k + 2])
                 out.update(found.items())
@@ -227,17 +232,32 @@ def learn_terms(rows: DataFrame) -> list[tuple[str, bool]]:
 
     # Near copies repeat a word with its neighbours; what counts is in how many surroundings a term stands.
     found = texts.where("toxic > 0").select("text").mapInArrow(contexts, "term string, context string").distinct().groupBy("term").count().where(F.col("count") >= least).collect()
-    count = {r["term"]: r["count"] for r in found}
-    chosen: dict[str, int] = {}
+    return chosen_terms({r["term"]: r["count"] for r in found})
+
+
+def chosen_terms(count: dict[str, int]) -> list[tuple[str, bool]]:
+    """Of terms with their numbers of surroundings those that no other stands for, the frequent before the rare."""
+    stems = sorted(t for t in count if t.endswith("*"))
+    held: set[str] = set()  # chosen stems
+    begins: dict[str, int] = {}  # of each beginning of a chosen term, its largest number
+    chosen: list[str] = []
     for term, n in sorted(count.items(), key=lambda x: (-x[1], x[0].endswith("*"), -len(x[0]), x[0])):
         stem = term.endswith("*")
         if stem:  # the longest stem that stands in all but the same places is the least likely to hit other words
-            term = max((t for t, m in count.items() if t.endswith("*") and t.startswith(term[:-1]) and m >= 0.95 * n), key=lambda t: (len(t), t))
+            at, head, like = bisect_left(stems, term[:-1]), term[:-1], [term]
+            while at < len(stems) and stems[at].startswith(head):
+                if count[stems[at]] >= 0.95 * n:
+                    like.append(stems[at])
+                at += 1
+            term = max(like, key=lambda t: (len(t), t))
         core = term.rstrip("*")
-        held = any(t.endswith("*") and core.startswith(t[:-1]) for t in chosen)
-        same = stem and any(t.startswith(core) and m >= 0.9 * n for t, m in chosen.items())
-        if not held and not same and len(chosen) < MOST_TERMS:
-            chosen[term] = n
+        if any(core[:k] in held for k in range(1, len(core) + 1)) or (stem and begins.get(core, 0) >= 0.9 * n):
+            continue
+        chosen.append(term)
+        if stem:
+            held.add(core)
+        for k in range(1, len(term) + 1):
+            begins[term[:k]] = max(n, begins.get(term[:k], 0))
     return [(t.rstrip("*"), t.endswith("*")) for t in chosen]
 
 
@@ -254,10 +274,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             out = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(w, toxic) for w in {core_of(w) for w in set((text or "").split())} if w and (m := lexicon.match(w)) and m[1]]
+                out += [(w, toxic) for w in {core_of(w) for w in set(words_of(text))} if w and (m := lexicon.match(w)) and m[1]]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["word", "toxic"])
 
-    counted = rows.mapInArrow(near, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20_000).collect()
+    counted = rows.mapInArrow(near, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()
     base = 0.1
     seen = {r["word"]: (r["pos"] + 2 * 0.6) / (r["n"] + 2) for r in counted}
     # A misspelling found in clean rows about as often as in any is a word of its own.
@@ -309,7 +329,11 @@ def score_toxicity(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(docs: DataFrame, model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that score below the threshold."""
+    """The rows of docs, with all their columns, that score below the threshold.
+
+    Null and empty texts hold no term and stay; rows alike in text go or stay together; an empty table
+    stays empty.
+    """
     common.prepare(docs.sparkSession)
     terms, seen, weights = model
     at = docs.columns.index(text_col)

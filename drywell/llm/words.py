@@ -23,6 +23,11 @@ def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, index, ends
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of one text as `split_words` finds them: runs without ASCII white space."""
+    return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()]
+
+
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sum of each text's values."""
     total = np.concatenate([[0], np.cumsum(values)])
@@ -34,4 +39,4 @@ def owners(ends: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
 
 
-__all__ = ["blocks", "owners", "split_words", "sums"]
+__all__ = ["blocks", "owners", "split_words", "sums", "words_of"]
