@@ -2,15 +2,23 @@
 
 Sources share the corpus's words by weight; a target stops at three times its source's words and the
 excess is shared anew. A source's target is met in two steps: every document gets the certain whole
-copies, and the rest is a sample without replacement in which long documents are likelier. Documents
-are ranked by the odds of a random number over the odds of their inclusion, and those of the lowest
-ranks are taken while they stay within the source's words; those behind that still fit fill the gap. All sums are aggregates by source or by (source,
-bucket of ranks), so a source of any size is cut in parallel; only the bucket that holds the cut is
-summed row by row.
+copies, and the rest is a sample of fixed size without replacement in which long documents are
+likelier: its inclusion probabilities go by size, at most 1, and their expected words are the rest. The
+sample is fixed in strata of like sizes (steps of a twelfth of a doubling), whose numbers add up to the
+source's words; in a stratum documents are ranked by the odds of a random number over the odds of
+their inclusion, and as many of the lowest ranks as the stratum's number are taken. Strata are
+filled from the long documents to the short in three bands, and what a band's documents came to is
+counted before the next is shared out, so that the last words to fill are those of short documents.
+All sums are aggregates by source, stratum or bucket of ranks; only the bucket that holds a stratum's
+cut is ranked row by row.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,10 +26,12 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS, MOST_COPIES, SEED = (5, 2, 1), 3, 42
-#: Ranks are cut into so many buckets, by powers of this; the bucket with the cut holds few of a source's rows.
-BUCKETS = 4096
-#: Gaps of more than this part of a target are filled.
-FILL = 0.002
+#: Strata to a doubling of size, and the sizes, as parts of a source's largest, at which the bands end.
+STRATA, BANDS = 12, (16, 256)
+#: The part of a source's words in the sample that may be left open rather than draw short documents beyond their odds.
+SLACK = 0.01
+#: Rows of a stratum for each bucket of ranks; a stratum has at least so many buckets.
+BUCKET_ROWS, BUCKETS = 50_000, 64
 
 
 def word_count(text):
@@ -30,7 +40,7 @@ def word_count(text):
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """(source, source_size, target): by_source has (source, source_size), a row for each source.
+    """by_source (source, source_size, ...), a row for each source, with target.
 
     Sources go by code point, null last. In closed form: ordered by source_size / weight, a prefix of
     sources stops at `most` times its size and the others share what is left by weight; the prefix is
@@ -50,7 +60,7 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     t = t.withColumn("stops", F.col("level") * F.col("weight") >= F.col("limit"))
     t = t.withColumn("stops", F.min(F.col("stops").cast("int")).over(up.rowsBetween(W.unboundedPreceding, 0)) == 1)
     final = F.max(F.when(~F.col("stops"), F.struct((-F.col("limit") / F.col("weight")).alias("k"), F.col("level").alias("level")))).over(everything)["level"]
-    return t.withColumn("target", F.when(F.col("stops"), F.col("limit")).otherwise(final * F.col("weight"))).select("source", "source_size", "target")
+    return t.withColumn("target", F.when(F.col("stops"), F.col("limit")).otherwise(final * F.col("weight"))).select(*by_source.columns, "target")
 
 
 def _inclusion(rows: DataFrame) -> DataFrame:
@@ -72,21 +82,48 @@ def _inclusion(rows: DataFrame) -> DataFrame:
     return rows.join(settled, rows["source"].eqNullSafe(settled["_s"]), "left").drop("_s").withColumn("lam", F.when(F.col("size") <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("factor"), F.lit(1.0)) * F.col("size")))).drop("factor")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def numbers(strata: pd.DataFrame, seed: int) -> np.ndarray:
+    """How many documents each stratum of one source gives: strata (stratum, n, expected, words, need, hope, capacity, rest), ordered from large to small.
+
+    rest are the words that the source's sample is to have, expected is the sum of the inclusion probabilities, words what a document of the sample is
+    expected to have, need the words the source still wants, hope the expected words of its further bands, capacity all theirs.
+    Expected numbers are scaled to what is still wanted, at most doubled, and rounded up or down at
+    random, but so that the strata to come can give the rest but for SLACK of it and none goes beyond.
+    """
+    n, expected, words = (strata[c].to_numpy(float) for c in ("n", "expected", "words"))
+    need, beyond, slack = float(strata["need"].iloc[0]), float(strata["capacity"].iloc[0]), SLACK * float(strata["rest"].iloc[0])
+    to_come = np.append(np.cumsum((n * words)[::-1])[::-1][1:], 0.0) + beyond
+    hoped = np.append(np.cumsum((expected * words)[::-1])[::-1], 0.0) + float(strata["hope"].iloc[0])
+    out = np.zeros(len(n), np.int64)
+    for k, stratum in enumerate(strata["stratum"]):
+        u = (zlib.crc32(f"{seed} {strata['name'].iloc[0]} {stratum}".encode()) + 0.5) / 2**32
+        wish = np.floor(expected[k] * min(2.0, max(0.0, need) / max(hoped[k], 1e-9)) + u)
+        low, high = np.ceil((need - slack - to_come[k]) / words[k]), np.floor((need + slack) / words[k])
+        if low > high:  # no number fits: the nearer
+            wish = np.floor(need / words[k] + 0.5)
+        out[k] = int(np.clip(np.clip(wish, low, max(low, high)), 0, n[k]))
+        need -= out[k] * words[k]
+    return out
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, row_id) of every row.
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own, a
-    null id stays null. Rows that repeat an id draw with the same random number and are ordered by
-    their place in the input, so ties are broken alike in reruns over the same table. An empty table
-    gives no rows; other columns are not read.
+    null id stays null. Random numbers go by id, text and seed, so reruns agree; rows alike in id and
+    text are ordered by row_id: `row_col`, a unique number, or their place in this one read. An empty
+    table gives no rows; other columns are not read.
     """
+    common.prepare(docs.sparkSession)
+    text = docs[text_col].cast("string")
+    row = docs[row_col].cast("long") if row_col else F.monotonically_increasing_id()
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col].cast("string")).alias("size"),
-        # A number in (0, 1) by the document's id and the seed.
-        ((F.pmod(F.xxhash64(docs[id_col].cast("long"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))).alias("u"),
+        row.alias("row_id"), docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(text).alias("size"),
+        # A number in (0, 1).
+        ((F.pmod(F.xxhash64(docs[id_col].cast("long"), text, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))).alias("u"),
     )
     rows = common.written(rows, "sizes")
-    by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("largest")), weights, most)
     by_source = common.written(
         by_source.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))),
@@ -95,80 +132,64 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     rows = rows.join(by_source, rows["source"].eqNullSafe(by_source["_source"])).drop("_source")
     rows = _inclusion(rows)
     # Odds of the random number over the odds of inclusion; certain documents rank first.
-    odds = F.col("u") / (1 - F.col("u"))
-    rank = F.when(F.col("lam") >= 1, F.lit(0.0)).when(F.col("lam") <= 0, F.lit(None).cast("double")).otherwise(odds * (1 - F.col("lam")) / F.col("lam"))
-    rows = rows.withColumn("rank", rank)
-    bucket = F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int")
-    rows = common.written(rows.withColumn("bucket", bucket), "ranked")
-    sums = rows.where("rank is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("words").over(upto))
-    cut = sums.where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct((F.col("upto") - F.col("words")).alias("below"), F.col("bucket").alias("cut")), "bucket").alias("c"))
-    cut = cut.select(F.col("source").alias("_source"), "c.below", "c.cut")
-    cut = common.written(cut, "cuts")
-    rows = rows.join(cut, rows["source"].eqNullSafe(cut["_source"]), "left").drop("_source")
-    last = rows.where("bucket = cut")
-    run = F.sum("size").over(W.partitionBy("source").orderBy("rank", "doc_id", "row_id").rowsBetween(W.unboundedPreceding, 0)) + F.col("below")
-    last = last.withColumn("run", run).where(F.col("run") <= F.col("rest")).select(F.col("row_id").alias("_row"), "run", F.col("source").alias("_s"))
-    last = common.written(last, "last")
-    gaps = last.groupBy("_s").agg(F.max("run").alias("run"))
-    gaps = cut.join(gaps, cut["_source"].eqNullSafe(gaps["_s"]), "left").select(F.col("_source").alias("_g"), F.coalesce("run", "below").alias("run"))
-    rows = rows.join(last.select("_row"), rows["row_id"] == last["_row"], "left").join(gaps, rows["source"].eqNullSafe(gaps["_g"]), "left").drop("_g")
-    in_rank = F.col("rank").isNotNull() & (F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | F.col("_row").isNotNull())
-    rows = rows.withColumn("more", in_rank)
-    rows = common.written(rows, "cut")
-    fits = _fill(rows)
-    rows = rows.join(fits, rows["row_id"] == fits["_fit"], "left")
-    more = F.col("more") | F.col("_fit").isNotNull()
-    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0)).cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "row_id")
-
-
-def _fill(rows: DataFrame) -> DataFrame:
-    """(_fit) rows that fill the gaps the cuts leave: of the documents behind the cut, the largest that fit, or one that goes over if that brings the words nearer, until none does.
-
-    Only sources whose gap is over FILL of their target go on. A round takes all of the largest that
-    fit together; the next one is larger than what is left of the gap, so each round halves it at
-    least. Rows that no later round can use leave.
-    """
-    gap, size = F.col("gap"), F.col("size")
-    live = common.written(
-        rows.where(F.col("rank").isNotNull() & F.col("cut").isNotNull() & ~F.col("more"))
-        .select("source", "size", "rank", "doc_id", "row_id", "target", (F.col("rest") - F.col("run")).alias("gap")).where((gap > FILL * F.col("target")) & (size < 2 * gap)), "behind",
-    )
-    fits = live.select(F.col("row_id").alias("_fit")).limit(0)
-    while not live.isEmpty():
-        sums = live.groupBy("source", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))
-        whole = W.partitionBy("source")
-        sums = sums.withColumn("fit", F.max(F.when(size <= gap, size)).over(whole)).withColumn("over", F.min(F.when(size > gap, size)).over(whole))
-        beyond = F.col("over").isNotNull() & (F.col("fit").isNull() | (F.col("over") - gap < gap - F.col("fit")))
-        sums = sums.withColumn("beyond", beyond)
-        down = F.sum(F.when(size <= gap, size * F.col("n")).otherwise(0)).over(whole.orderBy(F.desc("size")))
-        sums = sums.withColumn("below", down - size * F.col("n"))
-        # Of each size: all, or as many as still fit; none behind the first size that does not fit whole.
-        most = F.when(F.col("beyond"), F.when(size == F.col("over"), F.lit(1)).otherwise(F.lit(0)))
-        most = most.when(size > gap, F.lit(0)).otherwise(F.least("n", F.floor((gap - F.col("below")) / size)))
-        sums = sums.withColumn("most", most).where("most > 0")
-        some = live.join(sums.select(F.col("source").alias("_s"), F.col("size").alias("_n"), "most", "beyond"), live["source"].eqNullSafe(F.col("_s")) & (live["size"] == F.col("_n")))
-        place = F.row_number().over(W.partitionBy("source", "size").orderBy("rank", "doc_id", "row_id"))
-        took = common.written(some.withColumn("place", place).where("place <= most").select("source", "size", F.col("row_id").alias("_fit"), "beyond"), "fit")
-        fits = fits.unionByName(took.select("_fit"))
-        # Sources without a fit, or whose words go over, are done; in the others the documents leave and the gap shrinks.
-        got = took.groupBy("source").agg(F.sum("size").alias("got"), F.max("beyond").alias("beyond")).where("not beyond").select(F.col("source").alias("_s"), "got")
-        live = live.join(got, live["source"].eqNullSafe(got["_s"])).join(took.select("_fit"), F.col("row_id") == F.col("_fit"), "left_anti")
-        live = live.withColumn("gap", gap - F.col("got")).drop("_s", "got").where((gap > FILL * F.col("target")) & (size < 2 * gap))
-        live = common.written(live, "behind")
-    return fits
+    odds, size = F.col("u") / (1 - F.col("u")), F.col("size")
+    rank = F.when(F.col("lam") >= 1, F.lit(0.0)).when(F.col("lam") > 0, odds * (1 - F.col("lam")) / F.col("lam"))
+    stratum = F.floor(F.log2("size") * STRATA + F.lit(1e-9)).cast("int")
+    band = sum((size * edge <= F.col("largest")).cast("int") for edge in BANDS)
+    rows = common.written(rows.withColumn("rank", rank).withColumn("stratum", F.when(size > 0, stratum)).withColumn("band", band), "ranked")
+    live = rows.where("rank is not null and rest > 0")
+    n, s, lam = F.count("*"), F.sum(F.col("lam") * size), F.sum("lam")
+    strata = live.groupBy("source", "band", "stratum").agg(n.cast("double").alias("n"), lam.alias("expected"), (s / lam).alias("words"), F.sum("size").alias("all"), F.first("rest").alias("rest"))
+    strata = common.written(strata, "strata")
+    taken = None
+    for k in range(len(BANDS) + 1):
+        own = strata.where(F.col("band") == k)
+        later = strata.where(F.col("band") > k).groupBy("source").agg(F.sum("all").cast("double").alias("capacity"), F.sum(F.col("expected") * F.col("words")).alias("hope")).withColumnRenamed("source", "_s")
+        own = own.join(later, own["source"].eqNullSafe(later["_s"]), "left").drop("_s").fillna(0.0, ["capacity", "hope"])
+        if taken is None:
+            own = own.withColumn("need", F.col("rest"))
+        else:
+            had = taken.groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("had"))
+            own = own.join(had, own["source"].eqNullSafe(had["_s"]), "left").drop("_s").withColumn("need", F.col("rest") - F.coalesce("had", F.lit(0)))
+        got = _band(live.where(F.col("band") == k), own, seed)
+        taken = got if taken is None else taken.unionByName(got)
+    more = taken.select(F.col("row_id").alias("_row"))
+    rows = rows.join(more, rows["row_id"] == more["_row"], "left")
+    rows = rows.withColumn("copies", F.when(size > 0, F.col("whole") + F.col("_row").isNotNull().cast("long")).otherwise(F.lit(0)).cast("long"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * size).alias("taken"), "copies", "row_id")
+
+
+def _band(rows: DataFrame, strata: DataFrame, seed: int) -> DataFrame:
+    """(row_id, source, size) of the rows that a band's strata give, stored: of each stratum as many of the lowest ranks as its number."""
+
+    def share(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("stratum", ascending=False, ignore_index=True)
+        return pd.DataFrame({"_s": own["source"], "_t": own["stratum"], "rows": own["n"].astype("int64"), "number": numbers(own.assign(name=own["source"]), seed)})
+
+    # A few rows for each source.
+    given = strata.groupBy("source").applyInPandas(share, "_s string, _t int, rows long, number long").where("number > 0")
+    given = common.written(given, "numbers")
+    rows = rows.join(given, rows["source"].eqNullSafe(given["_s"]) & (rows["stratum"] == given["_t"])).drop("_s", "_t")
+    buckets = F.greatest(F.lit(BUCKETS), (F.col("rows") / BUCKET_ROWS).cast("long"))
+    rows = rows.withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * buckets))
+    each = rows.groupBy("source", "stratum", "bucket").agg(F.count("*").alias("n"), F.first("number").alias("number"))
+    upto = F.sum("n").over(W.partitionBy("source", "stratum").orderBy("bucket"))
+    each = each.withColumn("left", F.col("number") - (upto - F.col("n"))).where("left > 0").select(F.col("source").alias("_s"), F.col("stratum").alias("_t"), F.col("bucket").alias("_b"), "left", (F.col("left") >= F.col("n")).alias("all"))
+    rows = rows.join(each, rows["source"].eqNullSafe(F.col("_s")) & (F.col("stratum") == F.col("_t")) & (F.col("bucket") == F.col("_b")))
+    cut = rows.where("not all").withColumn("place", F.row_number().over(W.partitionBy("source", "stratum").orderBy("rank", "doc_id", "row_id"))).where("place <= left")
+    return common.written(rows.where("all").select("row_id", "source", "size").unionByName(cut.select("row_id", "source", "size")), "taken")
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs in the mix: each row as often as it is taken, with all its columns. Rows are told apart by their place in the input.
+    """docs in the mix: each row as often as it is taken, with all its columns.
 
-    docs must be a stored table, so that places are the same in both reads.
+    Rows are stored with a number of their own first and told apart by it, so null and repeated ids
+    lose nothing. Rows without words are never taken; an empty table stays empty.
     """
     row, n, copy = (common.free(docs, x) for x in ("_row", "_copies", "_copy"))
-    copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(n))
-    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(copies, row)
+    stored = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    copies = mix(stored, id_col=id_col, text_col=text_col, source_col=source_col, row_col=row).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(n))
+    rows = stored.join(copies, row)
     return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*(rows[c] for c in docs.columns))
 
 
