@@ -2,8 +2,8 @@
 
 HTML becomes an ordered sequence of text and media references (position, caption); a media table
 holds each payload once under its digest, as an image of 8-bit samples; a join by digest resolves the
-references, and every element keeps its position and caption. Only digests and short features pass
-through the join, never payloads.
+references, and each page comes back as one array of structs in which every element keeps its position
+and caption. Only digests and short features pass through the join, never payloads.
 """
 
 from __future__ import annotations
@@ -78,16 +78,24 @@ def feature_of(payload: bytes) -> str:
 
 
 class Interleaver(HTMLParser):
-    """Elements of a page in order: runs of text, and images with their caption (of the figure, else the alt text)."""
+    """Elements of a page in order: runs of text, and images with their caption (of the figure, before or after them, else the alt text).
+
+    A caption ends with its tag or its figure, or where a heading, a section or another figure begins;
+    what is then left of the page is text. A caption without a figure is text.
+    """
 
     SKIP = frozenset({"script", "style", "template", "noscript"})
-    BLOCK = frozenset("p div article section li ul ol table tr h1 h2 h3 h4 h5 h6 br hr blockquote pre figure nav header footer main aside title td th".split())
+    BLOCK = frozenset("p div article section li ul ol table tr h1 h2 h3 h4 h5 h6 br hr blockquote pre figure figcaption nav header footer main aside title td th".split())
+    #: Nothing of these begins in a caption.
+    APART = frozenset("article section h1 h2 h3 h4 h5 h6 nav header footer main aside figure table figcaption".split())
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[list] = []
         self.text: list[str] = []
-        self.skip, self.caption, self.figure = 0, None, None
+        self.skip = 0
+        self.caption: list[str] | None = None
+        self.figures: list[list] = []  # of each open figure: its first element, its caption
 
     def flush(self):
         text = " ".join("".join(self.text).split())
@@ -95,41 +103,60 @@ class Interleaver(HTMLParser):
         if text:
             self.out.append(["text", text, None, None])
 
+    def end_caption(self):
+        if self.caption is not None:
+            text = " ".join("".join(self.caption).split())
+            self.figures[-1][1] = " ".join(x for x in (self.figures[-1][1], text) if x)
+            self.caption = None
+
+    def end_figure(self):
+        self.end_caption()
+        if self.figures:
+            start, caption = self.figures.pop()
+            for x in self.out[start:]:
+                if x[0] == "media" and caption and not x[4:]:
+                    x[3] = caption
+                    x.append(True)  # a figure inside keeps its own caption
+
     def handle_starttag(self, tag, attrs):
+        if tag in self.APART:
+            self.end_caption()
         if tag in self.SKIP:
             self.skip += 1
         elif tag in self.BLOCK:
             self.flush()
         if tag == "figure":
-            self.figure = len(self.out)
-        elif tag == "figcaption":
-            self.flush()
+            self.figures.append([len(self.out), ""])
+        elif tag == "figcaption" and self.figures:
             self.caption = []
         elif tag in ("img", "audio", "video", "source"):
             found = dict(attrs)
             if found.get("src"):
                 self.flush()
                 self.out.append(["media", None, found["src"], found.get("alt") or None])
+        elif self.caption is not None and tag in self.BLOCK:
+            self.caption.append(" ")
 
     def handle_endtag(self, tag):
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
         elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for x in self.out[self.figure or 0 :]:
-                if x[0] == "media" and text:
-                    x[3] = text
-            self.caption = None
+            self.end_caption()
         elif tag in self.BLOCK:
             self.flush()
         if tag == "figure":
-            self.figure = None
+            self.end_figure()
 
     def handle_data(self, data):
-        if self.caption is not None:
-            self.caption.append(data)
-        elif not self.skip:
-            self.text.append(data)
+        if self.skip:
+            return
+        (self.text if self.caption is None else self.caption).append(data)
+
+    def close(self):
+        super().close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
 
 
 def interleave(html: str | None) -> list[tuple]:
@@ -137,12 +164,11 @@ def interleave(html: str | None) -> list[tuple]:
     parser = Interleaver()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
-    return [(k, *x) for k, x in enumerate(parser.out)]
+    return [(k, *x[:4]) for k, x in enumerate(parser.out)]
 
 
 def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(doc_id, row_id, position, kind, text, src, digest, caption): a row per element. Repeated rows keep sequences of their own."""
+    """(doc_id, row_id, position, kind, text, src, digest, caption): a row per element, one with nulls for a page without any. Repeated rows keep sequences of their own."""
     common.prepare(pages.sparkSession)
 
     def run(batches):
@@ -150,7 +176,7 @@ def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
             for start, length in blocks(batch.column(2)):
                 out = []
                 for row, doc, html in zip(*(batch.column(k).slice(start, length).to_pylist() for k in range(3))):
-                    out += [(row, doc, *x, x[3].removeprefix(SCHEME) if (x[3] or "").startswith(SCHEME) else None) for x in interleave(html)]
+                    out += [(row, doc, *x, x[3].removeprefix(SCHEME) if (x[3] or "").startswith(SCHEME) else None) for x in interleave(html) or [(None,) * 5]]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
                 columns = list(zip(*out)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["row_id", "doc_id", "position", "kind", "text", "src", "caption", "digest"])
@@ -208,6 +234,25 @@ def resolve(elements: DataFrame, features: DataFrame) -> DataFrame:
     return elements.join(features, "digest", "left")
 
 
+def assembled(elements: DataFrame) -> DataFrame:
+    """(doc_id, elements): a row per page with its elements as array<struct<position, kind, text, src, digest, caption, ...>> in order; empty for a page without any.
+
+    A page's elements come together in one row, as its HTML was; rows are told apart by row_id.
+    """
+    names = ["position", *(c for c in elements.columns if c not in ("row_id", "doc_id", "position"))]
+    each = F.when(F.col("position").isNotNull(), F.struct(*names))  # collect_list leaves nulls out
+    return elements.groupBy("row_id", "doc_id").agg(F.sort_array(F.collect_list(each)).alias("elements")).select("doc_id", "elements")
+
+
+def interleaved(pages: DataFrame, media: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
+    """(doc_id, elements) of every page, with the references to payloads of the media table (digest, media) resolved.
+
+    Null and empty pages have no elements; a null id stays null; repeated rows each give a row; other
+    columns are not read; an empty table gives none.
+    """
+    return assembled(resolve(sequences(pages, id_col, html_col), media_features(media)))
+
+
 def wrap(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, html): a page that shows each text's payload as a figure."""
 
@@ -229,10 +274,20 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts are empty and stored as one row of spaces; a null id stays null; repeated rows each
     give a row; other columns are not read; an empty table gives none.
     """
-    features = media_features(store_media(docs, text_col))
-    found = resolve(sequences(wrap(docs, id_col, text_col), "doc_id", "html").where("kind = 'media'"), features)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    pages = interleaved(wrap(docs, id_col, text_col), store_media(docs, text_col))
+    shown = pages.select("doc_id", F.size("elements").alias("n_elements"), F.filter("elements", lambda x: x["kind"] == "media")[0].alias("m"))
+    return shown.select("doc_id", "n_elements", "m.*").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_elements")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(common.table(spark, sf_dir, "documents"))
+
+
+def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, n_text, n_media, sequence_sha256): every page as an interleaved sequence, with the digest of its elements in order."""
+    pages = common.table(spark, sf_dir, "pages")
+    none = spark.createDataFrame([], MEDIA)
+    found = interleaved(pages, none, "page_id", "html")
+    line = F.transform("elements", lambda x: F.concat_ws("\t", x["position"], x["kind"], F.coalesce(x["text"], F.lit("")), F.coalesce(x["src"], F.lit("")), F.coalesce(x["caption"], F.lit(""))))
+    many = lambda kind: F.size(F.filter("elements", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(F.col("doc_id").alias("page_id"), many("text").alias("n_text"), many("media").alias("n_media"), F.sha2(F.encode(F.array_join(line, "\n"), "UTF-8"), 256).alias("sequence_sha256"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .fingerprint import op9_iblt_fingerprints
-from .media import op7_media_columns
+from .media import op7_media_columns, pages_interleaved
 from .mixing import op3_source_mixing
 from .packing import op5_best_fit_packing
 from .quality import op6_quality_classifier
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_iblt_fingerprints": op9_iblt_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "pages_interleaved": pages_interleaved,
 }
 #: SQL where it can express an operator.
 ORACLES: dict[str, str] = {
