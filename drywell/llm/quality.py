@@ -2,8 +2,9 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation
 over the counts of their joint votes estimates how accurate each is, without any given label, and so
-the posterior of each vote pattern. A hashed linear scorer over word shapes is then fitted to the
-posteriors of a bounded sample and scores every document.
+the posterior of each vote pattern. A hashed linear scorer over words, word shapes and their pairs,
+none of them a labeller's statistic, is then fitted to the posteriors of a bounded sample of distinct
+texts and scores every document.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 from .words import blocks, owners, split_words, sums
 
-#: Bounds: documents that the linear scorer is fitted to (an expected number), and hashed dimensions.
-FIT_ROWS, DIMENSIONS = 8_000, 1 << 14
+#: Bounds: distinct texts that the linear scorer is fitted to at most, and hashed dimensions.
+FIT_ROWS, DIMENSIONS = 8_000, 1 << 16
 THRESHOLD = 0.3
 GOOD, BAD, NONE = 1, 2, 0
 SIGNS = re.compile(r"[#$%&*!|@^~<>{}=\\_]")
@@ -50,7 +51,7 @@ def shape(word: str) -> str:
 
 
 def statistics(texts: pa.Array):
-    """(statistics by text and STATS, n words, distinct words' shape numbers, word numbers, ends)."""
+    """(statistics by text and STATS, n words, distinct words, their shapes, word numbers, ends)."""
     words, index, ends = split_words(texts)
     n = np.maximum(1, np.diff(ends, prepend=0))
     signs = np.fromiter((bool(SIGNS.search(w)) for w in words), float, len(words))
@@ -75,8 +76,7 @@ def statistics(texts: pa.Array):
     out[:, 5] = top / n
     out[:, 6] = sums(marks[index], ends) / n
     out[:, 7] = sums(unlike[index], ends) / n
-    numbers = np.fromiter((zlib.crc32(s.encode("utf-8", "surrogatepass")) % (DIMENSIONS - 256) for s in shapes), np.int64, len(shapes))
-    return out, np.diff(ends, prepend=0), numbers, index, ends
+    return out, np.diff(ends, prepend=0), words, shapes, index, ends
 
 
 def votes(stats: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -121,24 +121,28 @@ def estimate(patterns: dict[int, int], rounds: int = 200) -> tuple[dict[int, flo
         post = now
         if done:
             break
-    # Without a vote for bad a document is not held to be bad.
-    post = np.where(bad == 0, np.maximum(post, 0.5), post)
     return dict(zip(keys.tolist(), post.tolist())), table, share
 
 
-def document_features(stats: np.ndarray, n: np.ndarray, numbers: np.ndarray, index: np.ndarray, ends: np.ndarray):
-    """Hashed features as (text, dimension, value): shares of word shapes, and a step for each decile of each statistic."""
+def hashed(names: list[str], salt: str) -> np.ndarray:
+    return np.fromiter((zlib.crc32(f"{salt}{x}".encode("utf-8", "surrogatepass")) for x in names), np.int64, len(names))
+
+
+def document_features(words: list[str], shapes: list[str], index: np.ndarray, ends: np.ndarray):
+    """Hashed features as (text, dimension, value), roots of shares of a text's words: words in lower case, shapes, pairs of neighbouring shapes that say whether the words are the same, and a bias."""
     own = owners(ends)
-    pairs, counts = np.unique(own * DIMENSIONS + numbers[index], return_counts=True) if len(index) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    of = pairs // DIMENSIONS
-    text, dim, value = [of], [pairs % DIMENSIONS], [np.sqrt(counts / np.maximum(1, n)[of])]
-    for k in range(stats.shape[1]):
-        text.append(np.arange(len(stats)))
-        dim.append(DIMENSIONS - 256 + 16 * k + np.minimum(10, (stats[:, k] * 10).astype(np.int64)))
-        value.append(np.ones(len(stats)))
-    text.append(np.arange(len(stats)))
-    dim.append(np.full(len(stats), DIMENSIONS - 1))
-    value.append(np.ones(len(stats)))
+    shape = hashed(shapes, "s ")[index]
+    follows = own[1:] == own[:-1]
+    pairs = ((shape[:-1] * 31 + shape[1:]) * 2 + (index[1:] == index[:-1]) + 7)[follows]
+    text, dim, value = [], [], []
+    for of, number in ((own, hashed([w.lower() for w in words], "w ")[index]), (own, shape), (own[1:][follows], pairs)):
+        keys, counts = np.unique(of * DIMENSIONS + number % (DIMENSIONS - 1), return_counts=True)
+        text.append(keys // DIMENSIONS)
+        dim.append(keys % DIMENSIONS)
+        value.append(np.sqrt(counts / np.bincount(of, minlength=len(ends))[text[-1]]))
+    text.append(np.arange(len(ends)))
+    dim.append(np.full(len(ends), DIMENSIONS - 1))
+    value.append(np.ones(len(ends)))
     return np.concatenate(text), np.concatenate(dim), np.concatenate(value)
 
 
@@ -153,10 +157,20 @@ def train(text: np.ndarray, dim: np.ndarray, value: np.ndarray, target: np.ndarr
     return w
 
 
+def sample(texts: DataFrame, most: int) -> DataFrame:
+    """(key, text): at most `most` distinct texts of (text), those with the smallest hashes; all if there are fewer."""
+    keyed = texts.select(F.xxhash64("text").alias("key"), "text")
+    drawn = keyed.select("key").distinct().orderBy("key").limit(most)
+    return keyed.join(F.broadcast(drawn), "key").dropDuplicates(["key"])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[int, float], np.ndarray]:
-    """(posterior by pattern, weights). Votes are counted over all documents; the weights are fitted to about FIT_ROWS of them."""
+    """(posterior by pattern, weights). Votes are counted over all documents; the weights are fitted to at most FIT_ROWS distinct texts.
+
+    Null texts are empty. Without documents there are no posteriors and all weights are zero.
+    """
     common.prepare(docs.sparkSession)
-    texts = docs.select(docs[text_col].cast("string").alias("text"))
+    texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -167,23 +181,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
 
     patterns = {r["pattern"]: r["n"] for r in texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # 3 ** labellers at most
     posterior, _, _ = estimate(patterns)
-    total = sum(patterns.values())
-    share = min(1.0, FIT_ROWS / max(1, total))
 
-    def sample(batches):
+    def features(batches):
         for batch in batches:
-            for start, length in blocks(batch.column(0)):
-                stats, n, numbers, index, ends = statistics(batch.column(0).slice(start, length))
-                text, dim, value = document_features(stats, n, numbers, index, ends)
+            for start, length in blocks(batch.column(1)):
+                stats, n, *own = statistics(batch.column(1).slice(start, length))
+                text, dim, value = document_features(*own)
                 order = np.lexsort((dim, text))
                 cut = np.searchsorted(text[order], np.arange(len(stats) + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x[order].astype(t))) for x, t in ((dim, np.int32), (value, np.float32))]
                 target = np.array([posterior[p] for p in pattern_of(votes(stats, n)).tolist()])
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, length), *lists, pa.array(target)], names=["key", "dim", "value", "target"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, length), *lists, pa.array(target)], names=["key", "dim", "value", "target"])
 
-    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else texts
     # Sorted here, where the bounded sample comes together, so the fit doesn't depend on the order of tasks.
-    rows = drawn.withColumn("key", F.xxhash64("text")).mapInArrow(sample, "key long, dim array<int>, value array<float>, target double").toArrow().sort_by("key")
+    rows = sample(texts, FIT_ROWS).mapInArrow(features, "key long, dim array<int>, value array<float>, target double").toArrow().sort_by("key")
     sizes = np.asarray(rows["dim"].combine_chunks().value_lengths()) if len(rows) else np.zeros(0, int)
     flat = [np.asarray(rows[c].combine_chunks().flatten()) if len(rows) else np.zeros(0) for c in ("dim", "value")]
     weights = train(np.repeat(np.arange(len(rows)), sizes), flat[0].astype(np.int64), flat[1].astype(float), np.asarray(rows["target"], dtype=float))
@@ -191,10 +202,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
 
 
 def scored(texts: pa.Array, posterior: dict[int, float], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior, score) of each text; the score is the linear scorer's."""
-    stats, n, numbers, index, ends = statistics(texts)
+    """(posterior, score) of each text; the score is the linear scorer's. Null is empty."""
+    stats, n, *own = statistics(texts)
     post = np.array([posterior.get(p, 0.5) for p in pattern_of(votes(stats, n)).tolist()])
-    text, dim, value = document_features(stats, n, numbers, index, ends)
+    text, dim, value = document_features(*own)
     return post, 1 / (1 + np.exp(-np.clip(np.bincount(text, value * weights[dim], len(stats)), -30, 30)))
 
 
@@ -202,7 +213,7 @@ def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
     """(doc_id, posterior, score, keep) of every row, by its text only.
 
     Null and empty texts have no words and no votes; they get the scorer's value for a text without
-    signs of either kind. A null id stays null, repeated rows score alike, other columns are not read.
+    words. A null id stays null, repeated rows score alike, other columns are not read.
     """
     common.prepare(docs.sparkSession)
     posterior, weights = model
@@ -217,7 +228,11 @@ def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that score at least the threshold."""
+    """The rows of docs, with all their columns, that score at least the threshold.
+
+    Null texts score as empty ones; rows alike in text go or stay together, null and repeated ids make
+    no difference; an empty table stays empty.
+    """
     common.prepare(docs.sparkSession)
     posterior, weights = model
     at = docs.columns.index(text_col)
