@@ -4,9 +4,9 @@ A paragraph is a run of up to RUN words that ends where a sentence or a line end
 size. A sketch is an array of cells (count, XOR of digests, XOR of check values); a paragraph's
 digest falls into one cell of each of three thirds. Two versions' sketches subtract cell by cell, and
 only the digests that differ are left; peeling takes digests from cells that hold a single one until
-no cell is left. Where that stalls, a larger sketch takes its place: digests are dealt by value into
-small groups with cells and a seed of their own. If a group stalls, its text is sketched again with
-other groups, seeds and sizes. The work grows with the text, not its square.
+no cell is left. Where that stalls, a larger sketch takes its place: the digests are dealt by value
+into groups of a dozen, each with cells of its own, and a group that stalls is sketched again with more
+cells and another seed. The work grows with the text, not its square; all of a row's stays in the row.
 """
 
 from __future__ import annotations
@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Cells of the stored sketch (a multiple of three), and rounds of peeling after which a larger sketch is tried, of it and of small groups.
-CELLS, ROUNDS, FEW_ROUNDS = 24, 12, 6
-#: Words of a paragraph at most; digests of both versions in a group of the larger sketch, and the group's cells, few of which are ever set.
-RUN, GROUP, GROUP_CELLS = 16, 4, 96
-#: Digests of a group, and of a first deal before the groups, in further sketches.
-MORE, DEAL = 12, 1024
+#: Cells of the stored sketch (a multiple of three), and rounds of peeling after which a larger sketch is tried, of it and of groups.
+CELLS, ROUNDS, FEW_ROUNDS = 24, 10, 6
+#: Words of a paragraph at most; digests of both versions in a group, and in a first deal before the groups.
+RUN, GROUP, DEAL = 16, 12, 1024
 CHECK = "(xxhash64({k}, 77) & 4294967295L)"
 #: Quantiles of the ids that the buckets of the order are made of: at least, at most, and rows for each; and rows of a bucket.
 KNOTS, MOST_KNOTS, KNOT_ROWS, BUCKET_ROWS = 64, 4096, 250_000, 20_000
@@ -59,13 +57,9 @@ def sketch(keys: str, cells: str = str(CELLS), seed: str = "0") -> str:
     return let(placed, "es", f"concat({parts})")
 
 
-def peeled(a: str, b: str, cells: str = str(CELLS), seed: str = "0") -> str:
-    """`peel` of sketch a less sketch b."""
-    return peel(f"transform({a}, (u, i) -> named_struct('i', i, 'c', u.c - {b}[i].c, 'k', u.k ^ {b}[i].k, 'x', u.x ^ {b}[i].x))", cells, seed)
-
-
-def peel(start: str, cells: str, seed: str, rounds: int = ROUNDS) -> str:
-    """(ok, added, removed) of a difference's cells (i, c, k, x), empty ones may be left out: digests of the first and of the second version only; ok if all cells came empty."""
+def peeled(a: str, b: str, cells: str = str(CELLS), seed: str = "0", rounds: int = ROUNDS) -> str:
+    """(ok, added, removed): digests of sketch a only and of sketch b only; ok if all cells came empty."""
+    start = f"transform({a}, (u, i) -> named_struct('i', i, 'c', u.c - {b}[i].c, 'k', u.k ^ {b}[i].k, 'x', u.x ^ {b}[i].x))"
     pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.c) = 1 AND c.x = {CHECK.format(k='c.k')}), c -> named_struct('s', c.c, 'k', c.k)))"
     places = ", ".join(f"'p{j}', {place('p.k', j, cells, seed)}" for j in range(3))
     taken = f"transform(ps, p -> named_struct('s', p.s, 'k', p.k, 'x', {CHECK.format(k='p.k')}, {places}))"
@@ -73,28 +67,29 @@ def peel(start: str, cells: str, seed: str, rounds: int = ROUNDS) -> str:
         "transform(s.cells, c -> aggregate(filter(qs, q -> q.p0 = c.i OR q.p1 = c.i OR q.p2 = c.i), c, "
         "(t, q) -> named_struct('i', t.i, 'c', t.c - q.s, 'k', t.k ^ q.k, 'x', t.x ^ q.x)))"
     )
-    go_on = let(taken, "qs", f"named_struct('cells', {left}, 'got', concat(s.got, ps), 'done', false)")
+    some = "c -> c.c != 0 OR c.k != 0 OR c.x != 0"
+    go_on = let(taken, "qs", f"named_struct('cells', filter({left}, {some}), 'got', concat(s.got, ps), 'done', false)")
     step = f"CASE WHEN s.done THEN s ELSE {let(pure, 'ps', f"CASE WHEN size(ps) = 0 THEN named_struct('cells', s.cells, 'got', s.got, 'done', true) ELSE {go_on} END")} END"
-    zero = f"named_struct('cells', {start}, 'got', cast(array() as array<struct<s:int,k:bigint>>), 'done', false)"
+    zero = f"named_struct('cells', filter({start}, {some}), 'got', cast(array() as array<struct<s:int,k:bigint>>), 'done', false)"
     finish = (
-        "s -> named_struct('ok', forall(s.cells, c -> c.c = 0 AND c.k = 0 AND c.x = 0), "
+        "s -> named_struct('ok', size(s.cells) = 0, "
         "'added', transform(filter(s.got, g -> g.s = 1), g -> g.k), 'removed', transform(filter(s.got, g -> g.s = -1), g -> g.k))"
     )
     return f"aggregate(sequence(1, {rounds}), {zero}, (s, r) -> {step}, {finish})"
 
 
 def dealt(a: str, b: str) -> str:
-    """Two digest arrays of any size as an array of groups (a, b), dealt by value, of about MORE digests each."""
+    """Two digest arrays of any size as an array of groups (a, b), dealt by value, of about GROUP digests each."""
     own = lambda x, by, n, of: f"filter({x}, k -> pmod({by}, {n}) = {of})"
     first = let(f"greatest(1, (size({a}) + size({b})) div {DEAL})", "many", f"transform(sequence(0, many - 1), i -> struct({own(a, 'k', 'many', 'i')} AS a, {own(b, 'k', 'many', 'i')} AS b))")
-    second = let(f"greatest(1, (size(u.a) + size(u.b)) div {MORE})", "many", f"transform(sequence(0, many - 1), i -> struct({own('u.a', 'shiftright(k, 24)', 'many', 'i')} AS a, {own('u.b', 'shiftright(k, 24)', 'many', 'i')} AS b))")
+    second = let(f"greatest(1, (size(u.a) + size(u.b)) div {GROUP})", "many", f"transform(sequence(0, many - 1), i -> struct({own('u.a', 'shiftright(k, 24)', 'many', 'i')} AS a, {own('u.b', 'shiftright(k, 24)', 'many', 'i')} AS b))")
     return f"flatten(transform({first}, u -> {second}))"
 
 
 def again(groups: str, times: int) -> str:
     """groups (a, b, d) with d, (ok, added, removed), from sketches of `times` half as many cells again as digests where it isn't ok yet."""
     cells = f"{times} * 3 * (4 + (size(p.a) + size(p.b)) div 2)"
-    found = let(cells, "m", let(f"struct({sketch('p.a', 'm', str(times))} AS u, {sketch('p.b', 'm', str(times))} AS v)", "both", peeled("both.u", "both.v", "m", str(times))))
+    found = let(cells, "m", let(f"struct({sketch('p.a', 'm', str(times))} AS u, {sketch('p.b', 'm', str(times))} AS v)", "both", peeled("both.u", "both.v", "m", str(times), FEW_ROUNDS)))
     return f"transform({groups}, p -> CASE WHEN coalesce(p.d.ok, false) THEN p ELSE named_struct('a', p.a, 'b', p.b, 'd', {found}) END)"
 
 
@@ -103,18 +98,16 @@ def as_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda u: F.concat(F.lpad(F.hex(u["c"]), 3, "0"), F.lpad(F.hex(u["k"]), 16, "0"), F.lpad(F.hex(u["x"]), 8, "0"))), "")
 
 
-def differences(rows: DataFrame, name: str, a: str, b: str, sa: str, sb: str, larger: str | None = None) -> DataFrame:
+def differences(rows: DataFrame, name: str, a: str, b: str, sa: str, sb: str) -> DataFrame:
     """rows with `name`, (ok, added, removed) between two digest arrays a and b, whose stored sketches are sa and sb.
 
-    First the stored sketches, then what a `larger` sketch gave, if there is one. Where neither
-    peels, the digests are dealt into groups, which are sketched with more and more cells; a group that
-    stalls four times is told apart by its digests. All differences are recovered: ok is always true.
+    First the stored sketches. Where they don't peel, the digests are dealt into groups, which are
+    sketched with more and more cells; a group that stalls four times is told apart by its digests.
+    All differences are recovered: ok is always true.
     """
     none = "cast(null as struct<ok:boolean,added:array<bigint>,removed:array<bigint>>)"
     # Sketches whose sizes alone differ by more than their cells can't peel.
     own = rows.withColumns({"_a": F.col(a), "_b": F.col(b), "_u": F.col(sa), "_v": F.col(sb)}).withColumn("_d", F.expr(f"CASE WHEN abs(size(_a) - size(_b)) <= {CELLS} THEN {peeled('_u', '_v')} END"))
-    if larger:
-        own = own.withColumn("_d", F.expr(f"CASE WHEN coalesce(_d.ok, false) THEN _d ELSE {larger} END"))
     own = own.withColumn("_g", F.expr(f"CASE WHEN NOT coalesce(_d.ok, false) THEN transform({dealt('_a', '_b')}, p -> named_struct('a', p.a, 'b', p.b, 'd', {none})) END"))
     for times in (1, 2, 4, 8):
         own = own.withColumn("_g", F.expr(again("_g", times)))
@@ -131,7 +124,7 @@ def likeness(name: str, a: str, b: str) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, number, doc_id, text, next), dealt by bucket, `number` telling its rows apart: each row with the text of the row after it by doc_id (null last), then the hash of its text and the text; after the last the first.
+    """(doc_id, text, next): each row with the text of the row after it by doc_id (null last), then the hash of its text and the text; after the last the first.
 
     Rows go into buckets of the id order, as many as the rows ask for; rows of one id that is a
     quantile, and rows without an id, are dealt on by the hash of their text. Each bucket's first
@@ -156,51 +149,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     bucket = (F.col("_k") * (2 * fine) + sub).cast("long")
     rows = rows.withColumn("bucket", bucket).drop("_k")
     order = (F.col("doc_id").asc_nulls_last(), F.col("_h"), F.col("text"))
-    heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("head"))  # a row for each bucket
+    # A text for each bucket, stored; only the buckets' numbers are ordered in one task.
+    heads = common.written(rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "text")).alias("head")), "heads").select("bucket", "head.text")
     by_bucket = W.orderBy("bucket")
-    back = F.coalesce(F.lag("bucket").over(by_bucket), F.max("bucket").over(W.partitionBy()))
-    heads = heads.select("head", F.col("bucket").alias("_b"), back.alias("before"))
-    first = rows.join(heads, (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("_h") == F.col("head._h"))).groupBy("before").agg(F.min("text").alias("text"))
-    ends = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("_h"), F.col("before").alias("bucket"), F.lit(1).alias("_end"))
+    before = heads.select("bucket", F.coalesce(F.lag("bucket").over(by_bucket), F.max("bucket").over(W.partitionBy())).alias("before"))
+    ends = heads.join(before, "bucket").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("_h"), F.col("before").alias("bucket"), F.lit(1).alias("_end"))
     both = rows.select("doc_id", "text", "_h", "bucket", F.lit(0).alias("_end")).unionByName(ends)
     w = W.partitionBy("bucket").orderBy("_end", *order)
-    return both.withColumn("next", F.lead("text").over(w)).withColumn("number", F.row_number().over(w)).where("_end = 0").select("bucket", "number", "doc_id", "text", "next")
-
-
-def sketched(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """rows (bucket, number, own, changed, following and `keep`) with their three stored sketches and the differences that larger sketches recover of own to changed, and of own to following.
-
-    rows are dealt by bucket, and all groupings begin with it, so that none of this is shuffled:
-    digests fall into cells in generated code, cells that cancel vanish, and what is left of each
-    group is peeled. A row that carries what is kept, and empty cells, goes along.
-    """
-    a, b, n = F.size("own"), F.size("changed"), F.size("following")
-    rows = rows.select("*", a.alias("_a"), b.alias("_b"), n.alias("_n"), F.greatest(F.lit(1), F.expr(f"cast((size(own) + size(changed)) div {GROUP} as int)")).alias("_ge"), F.greatest(F.lit(1), F.expr(f"cast((size(own) + size(following)) div {GROUP} as int)")).alias("_gn"))
-    each = rows.select("*", F.posexplode(F.concat("own", "changed", "following", F.array(F.lit(0).cast("long")))).alias("_p", "k"))
-    each = each.withColumn("side", F.expr("CASE WHEN _p < _a THEN 0 WHEN _p < _a + _b THEN 1 WHEN _p < _a + _b + _n THEN 2 ELSE 3 END"))
-    each = each.withColumn("x", F.expr(f"CASE WHEN side = 3 THEN 0L ELSE {CHECK.format(k='k')} END"))
-
-    def cells(kind: str, group: str, many: int, seed: str, sign: int) -> list[str]:
-        return [f"struct({kind} AS kind, {group} AS g, {place('k', j, str(many), seed)} AS i, {sign} AS c)" for j in range(3)]
-
-    stored = cells("side", "0", CELLS, "0", 1)
-    edit, step = (lambda sign, kind=kind, of=of: cells(kind, f"cast(pmod(shiftright(k, 24), {of}) as int)", GROUP_CELLS, "1", sign) for kind, of in (("3", "_ge"), ("4", "_gn")))
-    sides = [[*stored, *edit(1), *step(1)], [*stored, *edit(-1)], [*stored, *step(-1)]]
-    last = ["struct(9 AS kind, 0 AS g, 0 AS i, 0 AS c)"] + [f"struct({kind} AS kind, 0 AS g, {i} AS i, 0 AS c)" for kind in range(3) for i in range(CELLS)]
-    choice = " ".join(f"WHEN side = {k} THEN array({', '.join(x)})" for k, x in enumerate(sides))
-    each = each.withColumn("e", F.explode(F.expr(f"CASE {choice} ELSE array({', '.join(last)}) END")))
-    names = [*keep, "own", "changed", "following"]
-    each = each.select("bucket", "number", "e.kind", "e.g", "e.i", "e.c", "k", "x", F.when(F.col("e.kind") == 9, F.struct(*names)).alias("kept"))
-    cell = each.groupBy("bucket", "number", "kept", "kind", "g", "i").agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("x").alias("x"))
-    cell = cell.where("kind NOT IN (3, 4) OR c != 0 OR k != 0 OR x != 0")
-    group = cell.groupBy("bucket", "number", "kept", "kind", "g").agg(F.sort_array(F.collect_list(F.struct("i", "c", "k", "x"))).alias("cells"))
-    group = group.withColumn("d", F.expr(f"CASE WHEN kind IN (3, 4) THEN {peel('cells', str(GROUP_CELLS), '1', FEW_ROUNDS)} END"))
-    of = lambda kind, what: F.when(F.col("kind") == kind, F.col(what))
-    whole = group.groupBy("bucket", "number").agg(
-        F.first("kept", True).alias("kept"), *(F.first(of(k, "cells"), True).alias(f"sketch{k}") for k in range(3)),
-        *(F.struct(F.coalesce(F.min(of(k, "d.ok")), F.lit(True)).alias("ok"), *(F.flatten(F.collect_list(of(k, f"d.{x}"))).alias(x) for x in ("added", "removed"))).alias(f"larger{k}") for k in (3, 4)),
-    )
-    return whole.select("kept.*", *(f"sketch{k}" for k in range(3)), F.col("larger3").alias("edit_larger"), F.col("larger4").alias("step_larger"))
+    return both.withColumn("next", F.lead("text").over(w)).where("_end = 0").select("doc_id", "text", "next")
 
 
 def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,12 +172,12 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), substring(next, 1, cast(n_chars div 4 as int)))"))
     rows = rows.select(
-        "bucket", "number", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         *(digests(F.col(text)).alias(name) for text, name in (("text", "own"), ("edited", "changed"), ("next", "following"))),
     )
-    rows = sketched(rows, ["doc_id", "n_chars", "edited_sha256"])
-    rows = differences(rows, "edit", "own", "changed", "sketch0", "sketch1", "edit_larger")
-    rows = differences(rows, "step", "own", "following", "sketch0", "sketch2", "step_larger")
+    rows = rows.withColumns({f"sketch{k}": F.expr(sketch(name)) for k, name in enumerate(("own", "changed", "following"))})
+    rows = differences(rows, "edit", "own", "changed", "sketch0", "sketch1")
+    rows = differences(rows, "step", "own", "following", "sketch0", "sketch2")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch0")).alias("fingerprint"), as_text(F.col("sketch1")).alias("edited_fingerprint"),
         likeness("edit", "own", "changed").alias("near_edited"), likeness("step", "own", "following").alias("near_next"),
