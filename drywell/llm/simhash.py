@@ -30,9 +30,9 @@ U = np.uint64
 #: Near copies: words to a shingle and the similarity from which texts are copies.
 NEAR_WORDS, NEAR = 5, 0.8
 #: Their candidates: 64-bit words of a fingerprint, of each word five blocks, and the bits that one word and all of them may differ in.
-PRINT_WORDS, PRINT_CUTS, WORD_LIMIT, PRINT_LIMIT = 4, 4, 13, 52
-#: Odd factors that make further hashes of one (fixed values of common mixers; the first word takes the hash itself).
-FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+PRINT_WORDS, PRINT_CUTS, WORD_LIMIT, PRINT_LIMIT = 4, 4, 13, 50
+#: An odd factor whose odd multiples make further hashes of one (fixed value of a common mixer).
+FACTOR = 0x9E3779B97F4A7C15
 
 
 def bit_blocks(limit: int) -> tuple[tuple[int, int], ...]:
@@ -260,11 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def long_print(hashes: np.ndarray) -> list[int]:
-    """PRINT_WORDS SimHashes of the same shingles, each by another hash of theirs; the first is `simhash`."""
-    out = [simhash(hashes)]
-    for factor in FACTORS[1:PRINT_WORDS]:
-        x = (hashes ^ (hashes >> U(32))) * U(factor)
+def long_print(hashes: np.ndarray, turn: int = 0) -> list[int]:
+    """PRINT_WORDS SimHashes of the same shingles, each by another hash of theirs; each turn takes other hashes."""
+    out = []
+    for k in range(turn * PRINT_WORDS, (turn + 1) * PRINT_WORDS):
+        x = (hashes ^ (hashes >> U(32))) * U((FACTOR * (2 * k + 1)) % 2**64)
         out.append(simhash(x ^ (x >> U(29))))
     return out
 
@@ -285,8 +285,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.concatenate(kept)
 
 
-def local_candidates(part: np.ndarray, words: np.ndarray, word: int, shift: int, lead: int, sparse: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, differing bits) of places in groups of equal lead bits of a word, within both limits, of different parts; sparse: a spanning forest of them only."""
+def local_candidates(part: np.ndarray, words: np.ndarray, word: int, shift: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, differing bits) of places in groups of equal lead bits of a word: a spanning forest of those within both limits and of different parts."""
     order = np.argsort(gray_rank(rotated(words[word], shift)))
     index = GrayIndex(rotated(words[word], shift)[order], lead, WORD_LIMIT)
     held, n = [np.zeros(0, np.int64)] * 3, len(order)
@@ -296,17 +296,15 @@ def local_candidates(part: np.ndarray, words: np.ndarray, word: int, shift: int,
         d = np.bitwise_count(words[:, a] ^ words[:, b]).sum(0, dtype=np.int64)
         near = d <= PRINT_LIMIT
         held = [np.concatenate(x) for x in zip(held, (a[near], b[near], d[near]))]
-        if sparse and len(held[0]) > PAIRS:
+        if len(held[0]) > PAIRS:
             own = forest(n, *held)
             held = [x[own] for x in held]
-    if sparse:
-        own = forest(n, *held)
-        held = [x[own] for x in held]
-    return held[0], held[1], held[2]
+    own = forest(n, *held)
+    return held[0][own], held[1][own], held[2][own]
 
 
-def candidates(nodes: DataFrame, sparse: bool) -> DataFrame:
-    """(a, b, d) with a < b: nodes (node, part, w0, w1, ...) of different parts whose fingerprints are near."""
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b, d) with a < b: nodes (node, part, w0, w1, ...) of different parts whose fingerprints are near; of each group of equal bits a spanning forest."""
     spark, cuts = nodes.sparkSession, bit_blocks(PRINT_CUTS)
     words = [f"w{k}" for k in range(PRINT_WORDS)]
     groups = [
@@ -318,7 +316,7 @@ def candidates(nodes: DataFrame, sparse: bool) -> DataFrame:
 
     def run(batches):
         for block, (node, part, *prints) in dealt_groups(batches, 2 + PRINT_WORDS, 1 << 18):
-            a, b, d = local_candidates(part, np.array(prints).view(U), block // len(cuts), *cuts[block % len(cuts)], sparse)
+            a, b, d = local_candidates(part, np.array(prints).view(U), block // len(cuts), *cuts[block % len(cuts)])
             for i in range(0, len(a), 100_000):
                 x, y = node[a[i : i + 100_000]], node[b[i : i + 100_000]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d[i : i + 100_000])], names=["a", "b", "d"])
@@ -326,96 +324,132 @@ def candidates(nodes: DataFrame, sparse: bool) -> DataFrame:
     return dealt.repartition(parts, "block", "value").sortWithinPartitions("block", "value").mapInArrow(run, "a long, b long, d long").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, alike) of each pair of texts (row, text): whether the sets of their shingles have Jaccard similarity NEAR or more."""
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles), one row per node of texts (node, text), stored: the sorted hashes of each text's distinct shingles."""
 
     def run(batches):
         for batch in batches:
             for start, length in blocks(batch.column(1)):
                 sets = [np.unique(shingle_hashes(t, NEAR_WORDS)).view(np.int64) for t in batch.column(1).slice(start, length).to_pylist()]
-                ends = np.cumsum([0, *map(len, sets)])
-                lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, length), lists.cast(pa.list_(pa.int64()))], names=["row", "shingles"])
+                lists = pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)])), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, length), lists.cast(pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    sets = common.written(texts.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, shingles array<long>"), "shingles")
-    x, y = (sets.select(F.col("row").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "x"), ("b", "y")))
+    return common.written(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, alike) of each pair of nodes, stored: whether the sets of their shingles have Jaccard similarity NEAR or more."""
+    pairs = common.written(pairs.select("a", "b"), "pairs")
+    # Only sets that the pairs name are moved.
+    x, y = (sets.join(pairs.select(F.col(k).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
-    found = pairs.select("a", "b").join(x, "a").join(y, "b")
+    found = pairs.join(x, "a").join(y, "b")
     return common.written(found.select("a", "b", (both >= F.lit(NEAR) * (F.size("x") + F.size("y") - both)).alias("alike")), "confirmed")
 
 
-def with_parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes with `part`, the smallest node that links reach; nodes without links are their own part."""
-    roots = common.connected_components(links.select("a", "b"), "near-links")
-    return common.written(nodes.drop("part").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "near-parts")
+def nearest(edges: DataFrame) -> DataFrame:
+    """(a, b) with a < b: the link of least difference of each node of edges (a, b, d)."""
+    ends = edges.select("a", "b", "d").union(edges.select("b", "a", "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def crossing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) whose nodes are of different parts."""
-    x, y = (nodes.select(F.col("node").alias(k), F.col("part").alias(p)) for k, p in (("a", "_x"), ("b", "_y")))
-    return pairs.join(x, "a").join(y, "b").where("_x != _y").drop("_x", "_y")
+    """The pairs (a, b, ...) whose nodes are of different parts, with these as part_a and part_b."""
+    x, y = (nodes.select(F.col("node").alias(k), F.col("part").alias(f"part_{k}")) for k in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").where("part_a != part_b")
+
+
+def with_parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with the parts that links (a, b) join as one, the smallest of them."""
+    roots = common.connected_components(crossing(links, nodes).select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), "near-links")
+    joined = nodes.join(roots.select(F.col("node").alias("part"), "root"), "part", "left")
+    return common.written(joined.withColumn("part", F.coalesce("root", "part")).drop("root"), "near-parts")
 
 
 def near_copies(rows: DataFrame) -> DataFrame:
-    """(row, keep) of a stored table (row, id, text), `row` unique: keep is the row that stays of those that links join, that with the smallest id (null last), then row.
+    """(key, rows, least, ties, head): for each distinct text of rows (id, key, text), `key` standing for the text, what it needs to know which rows stay.
+
+    Of texts that links join the row with the smallest id (null last) stays, of one id that with the
+    smallest key; head says whether that is one of this text's, least is this text's smallest id and
+    ties how many rows have both.
 
     Texts are linked if the sets of their five-word shingles (lower-cased A-Z; fewer words: the whole
     sequence) have Jaccard similarity 0.8 or more; texts without words are alike. Candidates are
-    texts whose four-word fingerprints agree in one of twenty blocks and differ in few bits, so a
-    link may be missed by chance (README has the measured share); every candidate is decided. Texts
-    of the same words are one node. Tasks pass on a spanning forest of their groups' candidates; first
-    each node's nearest is confirmed, then what still joins different parts. Where some were turned
-    down, all candidates between the parts of that neighbourhood are searched and confirmed.
+    texts whose four-word fingerprints agree in one of twenty blocks and differ in few bits. Tasks
+    pass on a spanning forest, of least differences, of their groups' candidates, and each node's
+    nearest candidate is confirmed. Nodes that had candidates are searched again by other
+    fingerprints, each for candidates outside of the part it is in by then, until that brings no link.
+    A link may be missed by chance (README has the measured share), none is made below the similarity.
     """
-    common.prepare(rows.sparkSession)
+    spark = rows.sparkSession
+    common.prepare(spark)
     words = [f"w{k}" for k in range(PRINT_WORDS)]
 
     def run(batches):
         for batch in batches:
             for start, length in blocks(batch.column(2)):
-                texts = batch.column(2).slice(start, length).to_pylist()
-                keys = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
-                prints = np.array([long_print(shingle_hashes(t)) for t in texts], U).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, length) for k in range(2)] + [pa.array(keys, pa.binary()), *(pa.array(prints[:, k].copy()) for k in range(PRINT_WORDS))], names=["row", "id", "key", *words])
-
-    prints = common.written(rows.select("row", "id", "text").mapInArrow(run, "row long, id long, key binary, " + ", ".join(f"{w} long" for w in words)), "prints")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    nodes = prints.groupBy("key").agg(first.alias("first"), *(F.min(w).alias(w) for w in words)).select("key", F.col("first.row").alias("node"), F.col("first.row").alias("part"), F.struct("first.none", "first.id", "first.row").alias("rank"), *words)
-    nodes = common.written(nodes, "nodes")
-    edges = common.written(candidates(nodes, True), "candidates")
-    ends = edges.select("a", "b", "d").union(edges.select("b", "a", "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    nearest = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    told = confirmed(nearest, rows)
-    nodes = with_parts(nodes, told.where("alike"))
-    more = confirmed(crossing(edges.join(told, ["a", "b"], "left_anti"), nodes), rows)
-    told = told.unionByName(more)
-    if not more.where("alike").isEmpty():
-        nodes = with_parts(nodes, told.where("alike"))
-    refused = common.written(crossing(told.where("not alike"), nodes), "refused")
-    if not refused.isEmpty():
-        near = common.connected_components(edges.select("a", "b"), "near-all")
-        open_ = near.join(refused.join(near, refused["a"] == near["node"]).select("root").distinct(), "root", "left_semi").select("node")
-        again = candidates(nodes.join(open_, "node", "left_semi"), False).join(told, ["a", "b"], "left_anti")
-        told = told.unionByName(confirmed(common.written(again, "again"), rows))
-        nodes = with_parts(nodes, told.where("alike"))
-    heads = nodes.groupBy("part").agg(F.min("rank").alias("head"))
-    kept = nodes.join(heads, "part").select("key", F.col("head.row").alias("keep"))
-    return common.written(prints.join(kept, "key").select("row", "keep"), "kept")
+                prints = np.array([long_print(shingle_hashes(t)) for t in batch.column(2).slice(start, length).to_pylist()], U).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, length) for k in range(2)] + [pa.array(prints[:, k].copy()) for k in range(PRINT_WORDS)], names=["id", "key", *words])
+
+    prints = rows.select("id", "key", "text").mapInArrow(run, "id long, key binary, " + ", ".join(f"{w} long" for w in words))
+    by_id = common.written(prints.groupBy("key", "id").agg(F.count("*").alias("ties"), *(F.min(w).alias(w) for w in words)), "prints")
+    nodes = by_id.groupBy("key").agg(F.sum("ties").alias("rows"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "ties")).alias("least"), *(F.min(w).alias(w) for w in words))
+    nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = nodes.withColumn("part", F.col("node"))
+    edges = common.written(candidates(nodes), "candidates")
+    found = nodes.select("node", "key", F.col("least.id").alias("least"))
+    wanted = common.written(found.join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node"), "wanted")
+    texts = rows.alias("r").join(wanted.alias("w"), (F.col("r.key") == F.col("w.key")) & F.col("r.id").eqNullSafe(F.col("w.least")))
+    sets = shingle_sets(texts.select("node", "text"))
+    turn, told = 0, None
+    while True:
+        pairs = nearest(edges if told is None else edges.join(told, ["a", "b"], "left_anti"))
+        more = confirmed(pairs, sets)
+        told = more if told is None else told.unionByName(more)  # all pairs looked at, so that none is twice
+        if not more.where("alike").isEmpty():
+            nodes = with_parts(nodes, more.where("alike"))
+        elif turn:
+            break
+        turn += 1
+        live = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        near = nodes.select("node", "part").join(live, "node", "left_semi").join(sets, "node")
+        edges = common.written(candidates(_printed(near, turn)), "candidates")
+    heads = nodes.groupBy("part").agg(F.min("least").alias("head"))
+    return nodes.join(heads, "part").select("key", "rows", F.col("least.id").alias("least"), F.col("least.ties").alias("ties"), (F.col("least.key") == F.col("head.key")).alias("head"))
+
+
+def _printed(near: DataFrame, turn: int) -> DataFrame:
+    """(node, part, w0, ...) of (node, part, shingles): fingerprints of the shingles by the hashes of this turn."""
+
+    def run(batches):
+        for batch in batches:
+            prints = np.array([long_print(np.asarray(x, np.int64).view(U), turn) for x in batch.column(2).to_numpy(zero_copy_only=False)], U).reshape(-1, PRINT_WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array(prints[:, k].copy()) for k in range(PRINT_WORDS)], names=["node", "part", *(f"w{k}" for k in range(PRINT_WORDS))])
+
+    words = ", ".join(f"w{k} long" for k in range(PRINT_WORDS))
+    return near.select("node", "part", "shingles").mapInArrow(run, f"node long, part long, {words}")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without all but one of each group of `near_copies`: that with the smallest id.
 
-    Rows are stored with a number of their own first and told apart by it, so rows that share an id,
-    or have none, stay if their texts differ. Null and empty texts are alike: one of them stays. An
-    empty table stays empty.
+    Rows are told apart by id and text, so rows that share an id, or have none, stay if their texts
+    are no copies; of rows alike in both, one stays. Null and empty texts are alike: one of them
+    stays. An empty table stays empty.
     """
-    row = common.free(docs, "_row")
-    stored = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = near_copies(stored.select(F.col(row).alias("row"), stored[id_col].cast("long").alias("id"), stored[text_col].cast("string").alias("text")))
-    gone = found.where("row != keep").select(F.col("row").alias(row))
-    return stored.join(gone, row, "left_anti").drop(row)
+    key, own = common.free(docs, "_key"), common.free(docs, "_own")
+    text, number = F.coalesce(docs[text_col].cast("string"), F.lit("")), docs[id_col].cast("long")
+    keyed = docs.withColumn(key, F.unhex(F.md5(text))).withColumn(own, number)
+    fates = near_copies(docs.select(number.alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text")))
+    # Only texts of which some row goes are joined.
+    fates = common.written(fates.where("not head or rows > 1"), "fates").select(F.col("key").alias("_k"), "head", F.col("least").alias("_least"), "ties")
+    told = keyed.join(fates, keyed[key] == fates["_k"], "left")
+    stays = F.col("_k").isNull() | (F.col("head") & keyed[own].eqNullSafe(F.col("_least")))
+    tied = F.coalesce(stays & (F.col("ties") > 1), F.lit(False))
+    kept = told.where(stays & ~tied).select(*(keyed[c] for c in docs.columns))
+    if fates.where("head and ties > 1").isEmpty():
+        return kept
+    return kept.unionByName(told.where(tied).dropDuplicates([key]).select(*(keyed[c] for c in docs.columns)))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
