@@ -36,70 +36,85 @@ SHARD_IDS = 1 << 20
 HEADER = struct.Struct("<8q")
 
 
-def alternate(key: np.ndarray) -> np.ndarray:
-    """False at every second place of a run of equal keys: pairs that overlap themselves count once."""
-    place = np.arange(len(key))
-    start = np.ones(len(key), bool)
-    start[1:] = key[1:] != key[:-1]
-    return (place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0
-
-
 def compress(ids: np.ndarray, end: int = END, first: int = FIRST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, left, right, lengths): symbols from `first` on are rules of two parts that expand to so many ids; no pair occurs twice."""
+    """(symbols, left, right, lengths): symbols from `first` on are rules of two parts that expand to so many ids; no pair occurs twice.
+
+    Rounds after the first look only at places whose pair occurred more than once in the round before
+    or holds a new symbol: no other pair can come to occur twice.
+    """
     seq = ids.astype(np.uint32)
-    left, right, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], np.zeros(0, np.int64)
-    while len(seq) > 1:
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        open_ = alternate(key) & (seq[:-1] != end) & (seq[1:] != end)
+    left, right, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], np.ones(first, np.int64)
+    at = np.arange(max(0, len(seq) - 1))
+    while len(at):
+        a, b = seq[at], seq[at + 1]
+        ends = (a == end) | (b == end)
+        at, a, b = at[~ends], a[~ends], b[~ends]
+        key = a.astype(np.uint64) << np.uint64(32) | b
+        beside = np.zeros(len(at), bool)
+        beside[1:] = at[1:] == at[:-1] + 1
+        # Pairs that overlap themselves count once: every second place of a run of equal keys is left out.
+        start = np.ones(len(at), bool)
+        start[1:] = ~beside[1:] | (key[1:] != key[:-1])
+        place = np.arange(len(at))
+        open_ = (place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0
         ordered = np.sort(key[open_])
-        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-        count = np.diff(np.append(start, len(ordered)))
+        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+        count = np.diff(np.append(begin, len(ordered)))
         often = np.flatnonzero(count > 1)
         if not len(often):
             break
         often = often[np.argsort(-count[often], kind="stable")]
-        pairs = ordered[start[often]]
-        # A table by hash finds a position's pair; of pairs with one slot the more frequent stays for this round.
+        pairs = ordered[begin[often]]
+        # A table by hash finds a place's pair; of pairs with one slot the more frequent is replaced in this round.
         bits = max(12, int(len(pairs)).bit_length() + 2)
         slot = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)  # noqa: E731, B023
-        held = np.full(1 << bits, len(pairs), np.int32)
-        held[slot(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        where = np.flatnonzero(open_)
-        own = held[slot(key[where])]
-        hit = (own < len(pairs)) & (pairs[np.minimum(own, len(pairs) - 1)] == key[where])
-        rank = np.full(len(key), len(pairs), np.int32)
-        rank[where[hit]] = own[hit]
+        held, taken = np.full(1 << bits, len(pairs), np.int32), np.zeros(1 << bits, bool)
+        slots = slot(pairs)
+        held[slots[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        taken[slots] = True
+        own = slot(key)
+        repeats = taken[own]  # with a few others that share a slot
+        rank = held[own]
+        rank[~open_ | (pairs[np.minimum(rank, len(pairs) - 1)] != key)] = len(pairs)
         take = rank < len(pairs)
-        take[1:] &= rank[1:] < rank[:-1]
-        take[:-1] &= rank[:-1] <= rank[1:]
+        take[1:] &= ~beside[1:] | (rank[1:] < rank[:-1])
+        take[:-1] &= ~beside[1:] | (rank[:-1] <= rank[1:])
         # The most frequent pair of all always takes all its places, so every round makes rules.
         used = np.bincount(rank[take], minlength=len(pairs)) > 1
         take[take] = used[rank[take]]
-        number = np.cumsum(used) - 1 + first + len(lengths)
-        where = np.flatnonzero(take)
-        parts = [(pairs[used] >> np.uint64(32)).astype(np.uint32), pairs[used].astype(np.uint32)]
-        left.append(parts[0])
-        right.append(parts[1])
-        lengths = np.concatenate([lengths, sum(np.where(x < first, 1, np.append(lengths, 0)[np.maximum(x.astype(np.int64) - first, -1)]) for x in parts)])
-        seq[where] = number[rank[where]].astype(np.uint32)
+        number = (np.cumsum(used) - 1 + len(lengths)).astype(np.uint32)
+        left.append((pairs[used] >> np.uint64(32)).astype(np.uint32))
+        right.append(pairs[used].astype(np.uint32))
+        lengths = np.concatenate([lengths, lengths[left[-1]] + lengths[right[-1]]])
+        where = at[take]
+        seq[where] = number[rank[take]]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
+        look = np.zeros(len(seq), bool)
+        look[at[repeats]] = True
+        look[where] = True
+        # The symbol before a new one is the last that stays before it.
+        look[np.where(keep[np.maximum(where - 1, 0)], where - 1, where - 2)[where > 0]] = True
+        at = np.flatnonzero(look[keep])
         seq = seq[keep]
-    return seq, np.concatenate(left), np.concatenate(right), lengths
-
-
-def expanded(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
-    """The ids of symbols in order: rules are put in place of all nonterminals at once, level by level."""
-    out = symbols.astype(np.uint32)
-    while (rule := out >= first).any():
-        n = 1 + rule.astype(np.int64)
-        at = np.cumsum(n) - n
-        longer = np.empty(int(n.sum()), np.uint32)
-        longer[at[~rule]] = out[~rule]
-        of = out[rule] - np.uint32(first)
-        longer[at[rule]], longer[at[rule] + 1] = left[of], right[of]
-        out = longer
-    return out
+        at = at[at < len(seq) - 1]
+    return seq, np.concatenate(left), np.concatenate(right), lengths[first:]
+
+
+def expanded(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of symbols in order, where each symbol's begin): every level of rules at once puts its parts in their places."""
+    size = np.concatenate([np.ones(first, np.int64), lengths.astype(np.int64)])
+    stop = np.cumsum(size[symbols])
+    begin = stop - size[symbols]
+    out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint32)
+    todo, at = symbols, begin
+    while len(todo):
+        plain = todo < first
+        out[at[plain]] = todo[plain]
+        rule, at = todo[~plain] - np.uint32(first), at[~plain]
+        todo = np.concatenate([left[rule], right[rule]])
+        at = np.concatenate([at, at + size[left[rule]]])
+    return out, begin
 
 
 def to_bits(values: np.ndarray, bits: int) -> bytes:
@@ -118,7 +133,7 @@ def pack_shard(doc_ids: list[int | None], lens: list[int], ids: np.ndarray, end:
         raise ValueError("an id is among the nonterminals")
     symbols, left, right, lengths = compress(ids, end, first)
     # No pair holds an end id, so a document starts at a symbol of its own.
-    upto = np.cumsum(np.append(lengths, 1)[np.where(symbols < first, len(lengths), symbols.astype(np.int64) - first)])
+    upto = np.cumsum(np.concatenate([np.ones(first, np.int64), lengths])[symbols])
     starts = np.searchsorted(upto, np.cumsum(lens) - np.asarray(lens, np.int64), "right").astype(np.int64)
     known = np.array([d if d is not None else 0 for d in doc_ids], np.int64)
     null = np.array([d is None for d in doc_ids], np.uint8)
@@ -153,9 +168,8 @@ class Shard:
 
     def everything(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, where each document ends)."""
-        out = expanded(self.symbols, self.left, self.right, self.first)
-        n = np.append(self.lengths, 1).astype(np.int64)[np.where(self.symbols < self.first, len(self.lengths), self.symbols.astype(np.int64) - self.first)]
-        return out, np.append((np.cumsum(n) - n)[self.starts[1:]], self.total)[: self.docs]
+        out, begin = expanded(self.symbols, self.left, self.right, self.lengths, self.first)
+        return out, np.append(begin[self.starts[1:]], self.total)[: self.docs]
 
     def length(self, symbol: int) -> int:
         return 1 if symbol < self.first else int(self.lengths[symbol - self.first])
