@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names that station tables use for the three key columns, in order of preference.
+#: Names that station tables use for the three key columns, in order of preference; the last ones are names read in another encoding.
 STATION_ALIASES = {
     "station_id": ["station_id", "StationID", "station_ID", "ID", "id"],
-    "lon": ["lon", "longitude", "lontitude(Decimal Degrees)"],
-    "lat": ["lat", "latitude", "latitude(Decimal Degrees)"],
+    "lon": ["lon", "longitude", "lontitude(Decimal Degrees)", "\u7f01\u5fd3\u5bb3"],
+    "lat": ["lat", "latitude", "latitude(Decimal Degrees)", "\u7efe\ue100\u5bb3"],
 }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendars import season_angle
 from ..functions.clean import assert_unique, nan_to_null, numeric_columns
+from ..functions.store import settled
 
 KEYS = ["station_id", "year", "month"]
 #: Columns that are never model features.
@@ -62,6 +63,7 @@ def build_training(
     ones; extra tables join on the keys they have. Rows with a missing label or history are dropped
     only after lags and windows, which count them. Where labels and static table share a name (lon,
     lat), the static one stays. The static table is broadcast only if it has at most broadcast_rows.
+    Tables that are checked are stored first, so that check and join don't compute them twice.
     """
     rows = nan_to_null(labels).where(F.col("scale") == scale)
     if year_min is not None:
@@ -70,11 +72,11 @@ def build_training(
         rows = rows.where(F.col("year") <= year_max)
     dynamic = nan_to_null(dynamic)
     if validate:
-        assert_unique(dynamic, KEYS, "dynamic predictors")
+        dynamic = assert_unique(settled(dynamic), KEYS, "dynamic predictors")
     varying = [f"dyn_{c}" for c in numeric_columns(dynamic) if c not in (*KEYS, "lat", "lon")]
     rows = rows.join(dynamic.select(*KEYS, *(F.col(f"`{c}`").alias(f"dyn_{c}") for c in dynamic.columns if c not in KEYS)), KEYS)
     if static is not None:
-        static = nan_to_null(static)
+        static = settled(nan_to_null(static))
         if validate:
             assert_unique(static, ["station_id"], "static predictors")
         shared = [c for c in static.columns if c in rows.columns and c != "station_id"]
@@ -84,7 +86,7 @@ def build_training(
         keys = [k for k in KEYS if k in extra.columns]
         extra = nan_to_null(extra)
         if validate:
-            assert_unique(extra, keys, "extra table")
+            extra = assert_unique(settled(extra), keys, "extra table")
         varying += [c for c in numeric_columns(extra) if c not in keys]
         rows = rows.join(extra, keys, "left")
     varying = sorted(set(varying))

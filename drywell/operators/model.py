@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import finite
 from ..functions.metrics import fold_summary, regression_metrics
+from ..functions.store import settled
 from . import folds as splits
 from .climatology import train_period_anomalies
 from .features import select_features
@@ -18,10 +19,42 @@ from .features import select_features
 PARAMS = {"maxIter": 800, "stepSize": 0.03, "maxDepth": 6, "minInstancesPerNode": 30, "featureSubsetStrategy": "0.8", "maxBins": 255, "subsamplingRate": 1.0, "seed": 42}
 
 
+#: Equal steps that a round of the exact medians cuts each column's range into.
+STEPS = 1024
+
+
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact medians (the mean of the two middle values) of finite values; columns without any are left out."""
-    row = df.agg(*(F.median(finite(F.col(f"`{c}`"))).alias(c) for c in columns)).first()
-    return {c: row[c] for c in columns if row[c] is not None}
+    """Exact medians (the mean of the two middle values) of finite values; columns without any are left out.
+
+    Each round counts the values of all columns by equal steps of the range that still holds the
+    middle, with the least and the greatest of a step, and goes on with the middle's step: at most
+    STEPS rows a column come to the driver, and no task ever holds a column's values.
+    """
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("c"), finite(F.col(f"`{c}`")).alias("v")) for k, c in enumerate(columns)))).alias("e")).select("e.*").where("v is not null")
+    found = {r["c"]: r for r in long.groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+    # Of each column and middle rank (from 0): the range that holds it and how many values lie below.
+    open_ = {(c, k): (r["low"], r["high"], 0) for c, r in found.items() for k in {(r["n"] - 1) // 2, r["n"] // 2}}
+    done: dict[tuple[int, int], float] = {}
+    while open_:
+        for key, (low, high, _) in list(open_.items()):
+            if low == high:
+                done[key] = low
+                del open_[key]
+        ranges = sorted({(c, low, high) for (c, _), (low, high, _) in open_.items()})
+        if not ranges:
+            break
+        bounds = df.sparkSession.createDataFrame(ranges, "c int, low double, high double")
+        # Halves first, so that a range of the greatest numbers doesn't overflow.
+        step = F.least(F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * STEPS), F.lit(STEPS - 1))
+        own = long.join(F.broadcast(bounds), "c").where("v between low and high")  # two rows a column at most
+        counts = own.groupBy("c", "low", "high", step.alias("s")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        for key, (low, high, below) in list(open_.items()):
+            for r in sorted((r for r in counts if (r["c"], r["low"], r["high"]) == (key[0], low, high)), key=lambda r: r["s"]):
+                if below + r["n"] > key[1]:
+                    open_[key] = (r["a"], r["b"], below)
+                    break
+                below += r["n"]
+    return {columns[c]: (done[c, (r["n"] - 1) // 2] + done[c, r["n"] // 2]) / 2 for c, r in found.items()}
 
 
 def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -55,10 +88,11 @@ def fit(train: DataFrame, features: list[str] | None = None, label: str = "spei"
 
 
 def _scored(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(predictions, fold metrics, summary)."""
+    """(predictions, fold metrics, summary); predictions are stored once, so that scores don't predict again."""
     pred = parts[0]
     for p in parts[1:]:
         pred = pred.unionByName(p)
+    pred = settled(pred)
     return pred, regression_metrics(pred, ["timescale", "fold"]), fold_summary(pred)
 
 
@@ -70,14 +104,15 @@ def _out(model: Regressor, test: DataFrame, timescale: str, fold: int) -> DataFr
 def validate_random(df: DataFrame, timescale: str, k: int = 5, seed: int = 42, **options):
     """Rows at random; climatology predictors are those of the whole period, as given."""
     features = select_features(df)
-    rows = splits.random_folds(df, ["station_id", "year", "month"], k, seed)
+    rows = settled(splits.random_folds(df, ["station_id", "year", "month"], k, seed))
     return _scored([_out(fit(rows.where(F.col("fold") != f), features, **options), rows.where(F.col("fold") == f), timescale, f) for f in range(1, k + 1)])
 
 
 def validate_stations(df: DataFrame, timescale: str, k: int = 5, **options):
     """All rows of a station on one side."""
     features = select_features(df)
-    rows = df.join(splits.grouped_folds(df, "station_id", k).select("station_id", "fold"), "station_id")
+    df = settled(df)
+    rows = settled(df.join(splits.grouped_folds(df, "station_id", k).select("station_id", "fold"), "station_id"))
     parts = []
     for f in range(1, k + 1):
         train, test = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
@@ -89,7 +124,8 @@ def validate_stations(df: DataFrame, timescale: str, k: int = 5, **options):
 def validate_blocks(df: DataFrame, timescale: str, k: int = 5, block_km: float = 200, buffer_km: float = 100, **options):
     """Whole spatial blocks on one side, and no training station nearer than the buffer to a test station."""
     features = select_features(df)
-    coords = splits.spatial_folds(splits.station_coordinates(df), k, block_km)
+    df = settled(df)
+    coords = settled(splits.spatial_folds(splits.station_coordinates(df), k, block_km))
     parts, kept = [], []
     for f in range(1, k + 1):
         test = coords.where(F.col("fold") == f)
@@ -108,7 +144,7 @@ def validate_blocks(df: DataFrame, timescale: str, k: int = 5, block_km: float =
 
 def validate_periods(df: DataFrame, timescale: str, scale: int, periods=((1999, 2003), (2004, 2008), (2009, 2013), (2014, 2018)), **options):
     """Strictly earlier years train; the climatology is that of the training years."""
-    parts = []
+    df, parts = settled(df), []
     for f, (start, end) in enumerate(periods, 1):
         train, test = splits.period_split(df, start, end)
         if train.isEmpty() or test.isEmpty():

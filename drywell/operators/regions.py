@@ -53,9 +53,10 @@ def cell_centre(row: Column, col: Column, a: float, b: float, c: float, d: float
 
 
 def fill_land(values: DataFrame, land: DataFrame) -> DataFrame:
-    """Missing land cells with the nearest valid cell's value; cells off the land are missing. values: row, col, value."""
+    """Missing land cells with the nearest valid cell's value, on land or off it; cells off the land are not searched for. values: row, col, value."""
     from .sampling import fill_nearest
 
-    grid = values.select(F.col("row").alias("lat_idx"), F.col("col").alias("lon_idx"), "value")
-    filled = fill_nearest(grid).select(F.col("lat_idx").alias("row"), F.col("lon_idx").alias("col"), "filled")
-    return land.select("row", "col").join(filled, ["row", "col"], "left").withColumnRenamed("filled", "value")
+    on_land = land.select("row", "col").withColumn("_land", F.lit(True))
+    grid = values.select("row", "col", "value").join(on_land, ["row", "col"], "full").select(F.col("row").alias("lat_idx"), F.col("col").alias("lon_idx"), "value", "_land")
+    filled = fill_nearest(grid, want="_land").where("_land")
+    return filled.select(F.col("lat_idx").alias("row"), F.col("lon_idx").alias("col"), F.col("filled").alias("value"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +52,31 @@ def inspect(inventory: DataFrame, expected: DataFrame, by: str = "timescale", ta
     return totals(inventory, [by])
 
 
+#: Bytes that a checksum reads at a time.
+READ_BYTES = 16 << 20
+
+
 def file_listing(spark, path: str, glob: str = "*", checksums: bool = False) -> DataFrame:
-    """(archive_name, size_bytes, size_gib, sha256 if asked for) of files; contents are read only for checksums."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    size = F.col("length").alias("size_bytes")
-    name = F.element_at(F.split("path", "/"), -1).alias("archive_name")
-    out = [name, size, F.bround(F.col("length") / float(1 << 30), 3).alias("size_gib")]
-    return files.select(*out, *([F.sha2("content", 256).alias("sha256")] if checksums else []))
+    """(archive_name, size_bytes, size_gib, sha256 if asked for) of files of any size; contents are read only for checksums, READ_BYTES at a time."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.col("length").alias("size_bytes"))
+    out = [F.element_at(F.split("path", "/"), -1).alias("archive_name"), "size_bytes", F.bround(F.col("size_bytes") / float(1 << 30), 3).alias("size_gib")]
+    if not checksums:
+        return files.select(*out)
+
+    def run(batches):
+        for batch in batches:
+            sums = []
+            for name in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                fs, at = pafs.FileSystem.from_uri(quote(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name, safe=":/"))
+                with fs.open_input_stream(at) as source:
+                    while block := source.read(READ_BYTES):
+                        digest.update(block)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.string())], names=["path", "size_bytes", "sha256"])
+
+    each = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return each.mapInArrow(run, "path string, size_bytes long, sha256 string").select(*out, "sha256")
 
 
 def reuse_checksums(listing: DataFrame, manifest: DataFrame) -> DataFrame:

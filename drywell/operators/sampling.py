@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clean import finite
@@ -75,16 +78,75 @@ def nearest(queries: DataFrame, targets: DataFrame, id_col: str, axes: list[str]
         size *= 2
 
 
-def fill_nearest(grid: DataFrame, layers: tuple[str, ...] = (), size: int = 4, reach: int = 1 << 14) -> DataFrame:
+def row_nearest(rows: pd.DataFrame, reach: float) -> np.ndarray:
+    """For each wanted place of one grid row the number of the column whose own nearest valid cell is the nearest of all, -1 if none is within reach.
+
+    rows: lon_idx (ascending, distinct), lat_idx, up and down (rows of the nearest valid cells of the
+    column above and below, NaN if none), wanted. Ties go to the smallest row, then column. Columns are
+    looked at by their distance, for all places at once, until none can be nearer.
+    """
+    at, here = rows["lon_idx"].to_numpy(np.int64), rows["lat_idx"].to_numpy(float)
+    up, down = here - rows["up"].to_numpy(float), rows["down"].to_numpy(float) - here
+    above = ~(up > down) & ~np.isnan(up) | np.isnan(down)  # of two as near, the smaller row
+    high = np.where(np.isnan(up) & np.isnan(down), np.inf, np.where(above, up, down))
+    row = np.where(above, rows["up"].to_numpy(float), rows["down"].to_numpy(float))
+    want = np.flatnonzero(rows["wanted"].to_numpy(bool))
+    best, found, found_row = np.full(len(want), reach * reach), np.full(len(want), -1), np.full(len(want), np.inf)
+    for k in range(len(at)):
+        live = False
+        for other in {-k, k}:
+            place = want + other
+            inside = (place >= 0) & (place < len(at))
+            place = np.clip(place, 0, len(at) - 1)
+            flat = (at[place] - at[want]).astype(float) ** 2
+            live |= bool((inside & (flat <= best)).any())
+            d = np.where(inside, flat + high[place] ** 2, np.inf)
+            better = (d < best) | ((d == best) & np.isfinite(d) & ((row[place] < found_row) | ((row[place] == found_row) & (at[place] < at[np.maximum(found, 0)]))))
+            best[better], found[better], found_row[better] = d[better], place[better], row[place[better]]
+        if not live:
+            break
+    out = np.full(len(at), -1)
+    out[want] = found
+    return out
+
+
+def fill_nearest(grid: DataFrame, layers: tuple[str, ...] = (), reach: float = 1 << 14, want: str | None = None) -> DataFrame:
     """grid with `filled`: the value, or that of the nearest valid cell of the layer in index space (ties: smallest row, then column).
 
-    A layer without valid cells stays missing, and one without missing cells as it is.
+    grid: lat_idx, lon_idx, layers, value, a row per cell at most. Two passes, whatever the holes: by
+    column, windows find each cell's nearest valid cells above and below; by row, the nearest of
+    those of all columns. Cells that the grid leaves out lend their place to the columns' nearest, but
+    give no row. A layer without valid cells stays missing, and one without missing cells as it is.
+    want: only missing cells for which this column is true are filled.
     """
-    cells = grid.withColumn("value", finite(F.col("value"))).withColumn("_id", F.concat_ws("/", *layers, "lat_idx", "lon_idx"))
-    cells = cells.withColumn("_y", F.col("lat_idx").cast("double")).withColumn("_x", F.col("lon_idx").cast("double"))
-    holes, valid = cells.where("value IS NULL"), cells.where("value IS NOT NULL")
-    best = nearest(holes, valid.withColumnRenamed("value", "near"), "_id", ["_y", "_x"], float(size), ["near"], ["lat_idx", "lon_idx"], float(reach), layers)
-    return cells.join(best.select("_id", "near"), "_id", "left").withColumn("filled", F.coalesce("value", "near")).drop("_id", "_x", "_y", "near")
+    cells = grid.withColumn("value", finite(F.col("value"))).withColumn("_own", F.lit(True))
+    wanted = F.col("value").isNull() & (F.coalesce(F.col(want), F.lit(False)) if want else F.lit(True))
+    cells = cells.withColumn("_wanted", wanted)
+    # Places of rows with holes in all columns, of a grid that isn't full.
+    holes, columns = cells.where("_wanted").select(*layers, "lat_idx").distinct(), cells.select(*layers, "lon_idx").distinct()
+    places = holes.withColumn("_all", F.lit(1)).join(columns.withColumn("_all", F.lit(1)), ["_all", *layers]).drop("_all")
+    cells = cells.unionByName(places.join(cells.select(*layers, "lat_idx", "lon_idx"), [*layers, "lat_idx", "lon_idx"], "left_anti"), allowMissingColumns=True)
+    column = W.partitionBy(*layers, "lon_idx").orderBy("lat_idx")
+    valid = F.when(F.col("value").isNotNull(), F.struct("lat_idx", "value"))
+    cells = cells.withColumn("_up", F.last(valid, True).over(column.rowsBetween(W.unboundedPreceding, 0))).withColumn("_down", F.first(valid, True).over(column.rowsBetween(0, W.unboundedFollowing)))
+    rows = cells.select(*layers, "lat_idx", "lon_idx", F.coalesce("_wanted", F.lit(False)).alias("wanted"), F.col("_up.lat_idx").cast("double").alias("up"), F.col("_down.lat_idx").cast("double").alias("down"), F.col("_up.value").alias("up_value"), F.col("_down.value").alias("down_value"))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("lon_idx", ignore_index=True)
+        found = row_nearest(own, reach)
+        at = np.flatnonzero(found >= 0)
+        of = own.iloc[found[at]]
+        up, down = of["lat_idx"] - of["up"], of["down"] - of["lat_idx"]
+        out = own.loc[at, [*layers, "lat_idx", "lon_idx"]].copy()
+        out["near"] = np.where((~(up > down) & up.notna()) | down.isna(), of["up_value"], of["down_value"])
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*layers, "lat_idx", "lon_idx")) + ", near double"
+    near = rows.groupBy(*layers, "lat_idx").applyInPandas(run, schema)  # a row of the grid each
+    whole = [*layers, "lat_idx", "lon_idx"]
+    out = grid.withColumn("value", finite(F.col("value"))).join(near, whole, "left")
+    return out.withColumn("filled", F.coalesce("value", "near")).select(*grid.columns, "filled")
 
 
 TIERS = (0, 2, 5, 10, 25, 50, 100, 200)

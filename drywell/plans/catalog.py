@@ -385,17 +385,29 @@ def albers_projection(spark, d):
     return rounded(coords(spark, d).select("station_id", x.alias("x_m"), y.alias("y_m")), 2)
 
 
-@query()
+#: The greedy split in SQL: groups g (name, n) from large to small, each to the lightest of five folds.
+GREEDY = """ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) AS i FROM g),
+    loaded AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS name, CAST(0 AS BIGINT) AS n, CAST(0 AS INTEGER) AS fold, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS loads
+        UNION ALL SELECT r.i, r.name, r.n, CAST(list_position(l.loads, list_min(l.loads)) AS INTEGER), list_transform(range(1, 6), lambda k: l.loads[k] + CASE WHEN k = list_position(l.loads, list_min(l.loads)) THEN r.n ELSE 0 END)
+        FROM loaded l JOIN ranked r ON r.i = l.i + 1)"""
+
+
+PROJECTED = ALBERS.format(coords=COORDS, q25=_q("25"), q47=_q("47"), q35=_q("35"), qlat=_q("lat")).rpartition("\n    SELECT")[0].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(PROJECTED + f""", xy AS (SELECT station_id, rho * sin(n * radians(lon - 105)) AS x_m, rho0 - rho * cos(n * radians(lon - 105)) AS y_m FROM s),
+    b AS (SELECT station_id, concat(CAST(floor((x_m - min(x_m) OVER ()) / 400000) AS INTEGER), '_', CAST(floor((y_m - min(y_m) OVER ()) / 400000) AS INTEGER)) AS spatial_block FROM xy),
+    g AS (SELECT spatial_block AS name, count(*) AS n FROM b GROUP BY ALL), {GREEDY} SELECT station_id, spatial_block, loaded.fold FROM b JOIN loaded ON name = spatial_block""")
 def spatial_fold_assignment(spark, d):
     return folds.spatial_folds(coords(spark, d).drop("is_test"), 5, 400).select("station_id", "spatial_block", "fold")
 
 
-@query()
+@query(f"WITH {SM}, t AS (SELECT count(*) AS n FROM sm) SELECT CAST(k + 1 AS INTEGER) AS fold, CAST(ceil(n * (k + 1) / 5.0) - ceil(n * k / 5.0) AS BIGINT) AS n FROM t, range(5) r(k)")
 def random_folds(spark, d):
     return folds.random_folds(supplier_month(spark, d), ["station_id", "year", "month"]).groupBy("fold").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH RECURSIVE {SM}, g AS (SELECT station_id AS name, count(*) AS n FROM sm GROUP BY ALL), {GREEDY} SELECT name AS station_id, n, fold FROM loaded WHERE i > 0")
 def grouped_folds(spark, d):
     return folds.grouped_folds(supplier_month(spark, d), "station_id")
 
@@ -579,7 +591,8 @@ def boxplot_quartiles(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("timescale")).agg(*(F.percentile("l_quantity", p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
 
 
-@query()
+@query("""WITH n AS (SELECT n_nationkey + 1 AS region_id, n_nationkey % 5 * 8 + 1 AS x, n_nationkey // 5 * 8 + 1 AS y, 5 + n_nationkey % 3 AS s FROM nation), c AS (SELECT CAST(i AS INTEGER) AS i FROM range(44) r(i))
+    SELECT b.i AS "row", a.i AS col, max(region_id) AS region_id FROM c a, c b, n WHERE a.i + 0.5 > x AND a.i + 0.5 < x + s AND 44 - (b.i + 0.5) > y AND 44 - (b.i + 0.5) < y + s GROUP BY ALL""")
 def region_raster(spark, d):
     """Squares around nations' places, rasterised; later squares win."""
     n = F.col("n_nationkey").cast("double")
@@ -658,7 +671,10 @@ def forward_validation(spark, d):
     return each
 
 
-@query()
+@query(f"""WITH {COORDS}, a AS (SELECT station_id, lon, lat, radians(lat) AS phi, radians(lon - 30) AS d FROM coords),
+    b AS (SELECT *, list_reduce(list_prepend(2 * phi, list_transform(range(25), lambda i: CAST(0 AS DOUBLE))), lambda u, k: u - (u + sin(u) - pi() * sin(phi)) / greatest(1 + cos(u), 1e-12)) / 2 AS t, abs(phi) <= {geo.GOODE_SPLIT!r}::DOUBLE AS low FROM a)
+    SELECT station_id, round({geo.GOODE_RADIUS!r}::DOUBLE * (radians(30) + CASE WHEN low THEN d * cos(phi) ELSE 2 * sqrt(2) / pi() * d * cos(t) END), 2) AS x,
+    round({geo.GOODE_RADIUS!r}::DOUBLE * CASE WHEN low THEN phi ELSE sqrt(2) * sin(t) - {geo.GOODE_SHIFT!r}::DOUBLE * sign(phi) END, 2) AS y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM b""")
 def homolosine_projection(spark, d):
     x, y = geo.goode(F.col("lon"), F.col("lat"))
     lon, lat = geo.goode_to_lonlat(F.col("x"), F.col("y"))

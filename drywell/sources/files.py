@@ -97,11 +97,15 @@ OWN_NAME = r"(?i)spei_(\d{2})mo_(\d{4}-\d{2})\.tif$"
 PRODUCT_NAME = r"(?i)([a-zA-Z0-9]+)_spei(\d{2})_(\d{4}-\d{2})\.tif$"
 
 
-def own_months(files: DataFrame) -> DataFrame:
-    """(scale, month, path) of our rasters by name; of the members of archives only where no plain file has the scale."""
-    name = F.col("path")
-    rows = files.select("path", F.regexp_extract(name, OWN_NAME, 1).try_cast("int").alias("scale"), F.regexp_extract(name, OWN_NAME, 2).alias("month"))
-    return rows.where("scale IS NOT NULL AND month <> ''")
+def own_months(files: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(scale, month, path) of our rasters by name; of `members` (path), those of archives, only scales that no plain file has."""
+
+    def named(df: DataFrame) -> DataFrame:
+        rows = df.select("path", F.regexp_extract("path", OWN_NAME, 1).try_cast("int").alias("scale"), F.regexp_extract("path", OWN_NAME, 2).alias("month"))
+        return rows.where("scale IS NOT NULL AND month <> ''")
+
+    plain = named(files)
+    return plain if members is None else plain.unionByName(named(members).join(plain.select("scale").distinct(), "scale", "left_anti").select(plain.columns))
 
 
 def products(files: DataFrame, skip: str | None = None) -> DataFrame:

@@ -72,12 +72,24 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return df.na.drop(subset=["timescale", "fold", "obs", "pred"]).where(F.col("timescale").isin("SPEI-1", "SPEI-3", "SPEI-6", "SPEI-12", "SPEI-24"))
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), overwrite: bool = False) -> None:
-    """Writes df; refuses an existing target unless told to overwrite. The commit is atomic, _SUCCESS marks completeness."""
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), overwrite: bool = False, replace_incomplete: bool = False, bom: bool = False) -> None:
+    """Writes df; refuses an existing target unless told to overwrite, or to replace one that a stopped run left incomplete. The commit is atomic, _SUCCESS marks completeness.
+
+    bom: CSV files begin with the UTF-8 byte-order mark, as spreadsheets want it; readers skip it.
+    """
+    overwrite = overwrite or (replace_incomplete and not is_complete(df.sparkSession, path))
+    if bom:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     writer = df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*partition_by)
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a run that ended wrote the table at path."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
     """Appends the rows whose keys the table at path doesn't have yet; makes the table if there is none."""
     spark = df.sparkSession
@@ -92,7 +104,6 @@ def cached(spark: SparkSession, path: str, build, key: str) -> DataFrame:
     import hashlib
 
     target = f"{path}/{hashlib.sha256(key.encode()).hexdigest()[:16]}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if not is_complete(spark, target):
         build().write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)

@@ -153,7 +153,7 @@ def test_nearest_agrees_with_brute_force(spark):
     cells = [(r, c, float(r * 100 + c) if rng.random() < 0.04 else None) for r in range(40) for c in range(40)]
     grid = spark.createDataFrame(cells, "lat_idx int, lon_idx int, value double")
     valid = [x for x in cells if x[2] is not None]
-    got = {(r["lat_idx"], r["lon_idx"]): r["filled"] for r in sampling.fill_nearest(grid, size=1).collect()}
+    got = {(r["lat_idx"], r["lon_idx"]): r["filled"] for r in sampling.fill_nearest(grid).collect()}
     for r, c, v in cells:
         want = v if v is not None else min(((r - a) ** 2 + (c - b) ** 2, a, b, w) for a, b, w in valid)[3]
         assert got[r, c] == want
@@ -311,3 +311,57 @@ def test_summary_of_pairs(spark):
     r = one(consistency.summary(pairs, ["product"]))
     assert (r["n"], r["Bias"], r["n_months"], r["n_valid_pixels"], r["Pearson_r"]) == (1, -1.0, 1, 1, None)
     assert consistency.valid_pairs(ours, ref, ["month", "row", "col"], spark.createDataFrame([(0, 1)], "row int, col int")).isEmpty()
+
+
+def test_nearest_fill_is_that_of_brute_force(spark):
+    import random
+
+    from drywell.operators import regions, sampling
+
+    rng = random.Random(4)
+    cells = []
+    for layer in ("a", "b", "none"):
+        for r in range(13):
+            for c in range(17):
+                if rng.random() < 0.15:
+                    continue  # the grid leaves cells out
+                cells.append((layer, r * 2, c, None if layer == "none" or rng.random() < 0.8 else rng.random()))
+    got = sampling.fill_nearest(spark.createDataFrame(cells, "layer string, lat_idx int, lon_idx int, value double"), ("layer",)).collect()
+    assert len(got) == len(cells)
+    valid = [x for x in cells if x[3] is not None]
+    for r in got:
+        own = [((r["lat_idx"] - v[1]) ** 2 + (r["lon_idx"] - v[2]) ** 2, v[1], v[2], v[3]) for v in valid if v[0] == r["layer"]]
+        assert r["filled"] == (min(own)[3] if own else None)
+    land = spark.createDataFrame([(0, 0), (8, 3), (90, 5)], "row int, col int")
+    table = spark.createDataFrame([x[1:] for x in cells if x[0] == "a"], "row int, col int, value double")
+    want = {(r["lat_idx"], r["lon_idx"]): r["filled"] for r in got if r["layer"] == "a"}
+    filled = {(r["row"], r["col"]): r["value"] for r in regions.fill_land(table, land).collect()}
+    assert set(filled) == {(0, 0), (8, 3), (90, 5)} and None not in filled.values()
+    assert all(filled[k] == want[k] for k in filled if k in want)
+
+
+def test_nearest_fill_of_a_large_half_empty_grid_ends_soon(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from drywell.operators import sampling
+
+    grid = spark.range(1_000_000).selectExpr("cast(id div 1000 as int) AS lat_idx", "cast(id % 1000 as int) AS lon_idx", "CASE WHEN id % 1000 < 500 THEN cast(id as double) END AS value")
+    start = time.time()
+    r = sampling.fill_nearest(grid).agg(F.count("filled").alias("n"), F.sum(F.when(F.col("lon_idx") >= 500, (F.col("filled") == F.col("lat_idx") * 1000 + 499).cast("int"))).alias("right")).first()
+    assert (r["n"], r["right"]) == (1_000_000, 500_000) and time.time() - start < 90
+
+
+def test_medians_are_exact(spark):
+    import random
+    import statistics
+
+    from drywell.operators import model
+
+    rng = random.Random(1)
+    rows = [(rng.gauss(0, 1) * 10 ** rng.randint(-12, 12), float(k % 3), None if k % 2 else 5.0, float("nan"), rng.choice([-1.7e308, 1.7e308, 0.1])) for k in range(2001)]
+    got = model.medians(spark.createDataFrame(rows, "a double, b double, c double, d double, e double"), ["a", "b", "c", "d", "e"])
+    assert got == {"a": statistics.median(r[0] for r in rows), "b": 1.0, "c": 5.0, "e": statistics.median(r[4] for r in rows)}
+    even = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (9.0,)], "a double")
+    assert model.medians(even, ["a"]) == {"a": 3.0} and model.medians(even.limit(0), ["a"]) == {}

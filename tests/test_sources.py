@@ -185,3 +185,53 @@ def test_scaled_bands(spark):
 
     df = spark.createDataFrame([(-99999.0,), (12345.0,), (float("nan"),)], "v double")
     assert [r[0] for r in df.select(raster.scaled(F.col("v"))).collect()] == [None, pytest.approx(1.2345), None]
+
+
+def test_tables_with_a_byte_order_mark_and_incomplete_ones(spark, tmp_path):
+    import glob
+    import os
+
+    from drywell.sources import stations
+
+    path = str(tmp_path / "t.csv")
+    table = spark.createDataFrame([("007", 1.5)], "station_id string, x double")
+    stations.write_table(table, path, "csv", bom=True)
+    part = open(glob.glob(path + "/part-*")[0], "rb").read()
+    assert part.startswith(b"\xef\xbb\xbfstation_id,x")
+    assert stations.read_csv(spark, path, ("station_id",)).collect() == [("007", 1.5)]
+    with pytest.raises(Exception, match="(?i)exist"):
+        stations.write_table(table, path, "csv", replace_incomplete=True)
+    os.remove(path + "/_SUCCESS")
+    assert not stations.is_complete(spark, path)
+    stations.write_table(table, path, "csv", replace_incomplete=True)
+    assert stations.is_complete(spark, path)
+
+
+def test_checksums_are_read_by_range(spark, tmp_path):
+    import hashlib
+
+    from drywell.operators import release
+
+    for name, data in (("a b.tar", b"x" * 100_000), ("50%.tar", b""), ("c.txt", b"no")):
+        (tmp_path / name).write_bytes(data)
+    before, release.READ_BYTES = release.READ_BYTES, 1000
+    try:
+        got = {r["archive_name"]: (r["size_bytes"], r["sha256"]) for r in release.file_listing(spark, str(tmp_path), "*.tar", True).collect()}
+    finally:
+        release.READ_BYTES = before
+    assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in (("a b.tar", b"x" * 100_000), ("50%.tar", b""))}
+
+
+def test_own_rasters_come_from_archives_where_no_file_has_the_scale(spark):
+    from drywell.sources import files
+
+    paths = lambda *x: spark.createDataFrame([(p,) for p in x], "path string")
+    got = files.own_months(paths("/a/spei_03mo_1999-01.tif"), paths("z/spei_03mo_1999-02.tif", "z/spei_12mo_1999-02.tif", "z/other.txt")).collect()
+    assert sorted((r["scale"], r["month"]) for r in got) == [(3, "1999-01"), (12, "1999-02")]
+
+
+def test_station_names_in_another_encoding(spark):
+    from drywell.functions import clean
+
+    df = spark.createDataFrame([("1", 2.0, 3.0)], "ID string, `\u7f01\u5fd3\u5bb3` double, `\u7efe\ue100\u5bb3` double")
+    assert clean.rename_first(df, clean.STATION_ALIASES).columns == ["station_id", "lon", "lat"]
