@@ -57,7 +57,7 @@ READ_BYTES = 16 << 20
 
 
 def file_listing(spark, path: str, glob: str = "*", checksums: bool = False) -> DataFrame:
-    """(archive_name, size_bytes, size_gib, sha256 if asked for) of files of any size; contents are read only for checksums, READ_BYTES at a time."""
+    """(archive_name, size_bytes, size_gib, sha256 if asked for) of files of any size but 0 (Spark leaves empty files out); contents are read only for checksums, READ_BYTES at a time."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.col("length").alias("size_bytes"))
     out = [F.element_at(F.split("path", "/"), -1).alias("archive_name"), "size_bytes", F.bround(F.col("size_bytes") / float(1 << 30), 3).alias("size_gib")]
     if not checksums:
