@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,13 @@ def ready(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(top)
 
 
+def fresh(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that all executors share."""
+    ready(spark)
+    top = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, so that rounds that build on it don't compute it again."""
     ready(df.sparkSession)

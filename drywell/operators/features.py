@@ -12,9 +12,10 @@ from ..functions.store import settled
 
 KEYS = ["station_id", "year", "month"]
 #: Columns that are never model features.
-EXCLUDED = set(
-    "spei scale station_id month_end_date source_date date year_month time fold station_elevation_m Elevation(m) dyn_lon dyn_lat station_lon station_lat cmfd_grid_lon cmfd_grid_lat".split()
-)
+EXCLUDED = frozenset((
+    "spei", "scale", "station_id", "month_end_date", "source_date", "date", "year_month", "time", "fold",
+    "station_elevation_m", "Elevation(m)", "dyn_lon", "dyn_lat", "station_lon", "station_lat", "cmfd_grid_lon", "cmfd_grid_lat",
+))
 
 
 def is_precipitation(name: str) -> bool:

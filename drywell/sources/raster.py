@@ -9,8 +9,12 @@ from __future__ import annotations
 import struct
 import zlib
 
+import uuid
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from .files import listing, opened
@@ -187,6 +191,33 @@ def to_geotiff(values: np.ndarray, transform: tuple, nodata: float | None = -999
     return out + bytes(4) + extra + b"".join(blocks)
 
 
+def write_grids(grids: DataFrame, folder: str, name, keys: list[str], height: int, width: int, transform: tuple, nodata: float | None = -9999.0, tags: dict[str, str] | None = None) -> DataFrame:
+    """Writes a file for each group of keys of grids (keys, row, col, value) under folder; the manifest (path, keys, cells) as it is written.
+
+    name: the file name from a group's keys, in order. A task holds one grid; a file has a new name
+    until it is whole and carries generation_complete last of its tags, so a run that stops leaves no
+    file that looks complete. Cells that a group lacks, and null ones, are nodata; the manifest is
+    lazy, so store it.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in grids.schema}
+    schema = "path string, " + ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", cells long"
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        values = np.full((height, width), np.nan)
+        values[own["row"], own["col"]] = own["value"].astype(float)
+        key = own[keys].iloc[0].tolist()
+        uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+        files, base = pafs.FileSystem.from_uri(uri)
+        files.create_dir(base, recursive=True)
+        part = f"{base}/.{uuid.uuid4().hex}.part"
+        with files.open_output_stream(part) as out:
+            out.write(to_geotiff(values, transform, nodata, {**(tags or {}), "generation_complete": "true"}))
+        files.move(part, f"{base}/{name(*key)}")
+        return pd.DataFrame([[f"{uri}/{name(*key)}", *key, int(own["value"].notna().sum())]], columns=["path", *keys, "cells"])
+
+    return grids.groupBy(*keys).applyInPandas(run, schema)
+
+
 def scaled(value, nodata: float = -99999.0, factor: float = 0.0001):
     """Integer bands to values: nodata is null, the rest times the factor."""
     from ..functions.clean import without
