@@ -31,6 +31,8 @@ U = np.uint64
 NEAR_WORDS, NEAR = 5, 0.8
 #: Their candidates: 64-bit words of a fingerprint, of each word five blocks, and the bits that one word and all of them may differ in.
 PRINT_WORDS, PRINT_CUTS, WORD_LIMIT, PRINT_LIMIT = 4, 4, 13, 50
+#: Searches of near copies, each by fingerprints of its own.
+TURNS = 3
 #: An odd factor whose odd multiples make further hashes of one (fixed value of a common mixer).
 FACTOR = 0x9E3779B97F4A7C15
 
@@ -366,7 +368,7 @@ def with_parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return common.written(joined.withColumn("part", F.coalesce("root", "part")).drop("root"), "near-parts")
 
 
-def near_copies(rows: DataFrame) -> DataFrame:
+def near_copies(rows: DataFrame, turns: int = TURNS) -> DataFrame:
     """(key, rows, least, ties, head): for each distinct text of rows (id, key, text), `key` standing for the text, what it needs to know which rows stay.
 
     Of texts that links join the row with the smallest id (null last) stays, of one id that with the
@@ -377,9 +379,9 @@ def near_copies(rows: DataFrame) -> DataFrame:
     sequence) have Jaccard similarity 0.8 or more; texts without words are alike. Candidates are
     texts whose four-word fingerprints agree in one of twenty blocks and differ in few bits. Tasks
     pass on a spanning forest, of least differences, of their groups' candidates, and each node's
-    nearest candidate is confirmed. Nodes that had candidates are searched again by other
-    fingerprints, each for candidates outside of the part it is in by then, until that brings no link.
-    A link may be missed by chance (README has the measured share), none is made below the similarity.
+    nearest candidate is confirmed. In further turns nodes that had candidates are searched again by
+    other fingerprints, for candidates outside of the part they are in by then. A link may be missed by
+    chance, the fewer the more turns (README has the measured share); none is made below the similarity.
     """
     spark = rows.sparkSession
     common.prepare(spark)
@@ -401,19 +403,16 @@ def near_copies(rows: DataFrame) -> DataFrame:
     wanted = common.written(found.join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node"), "wanted")
     texts = rows.alias("r").join(wanted.alias("w"), (F.col("r.key") == F.col("w.key")) & F.col("r.id").eqNullSafe(F.col("w.least")))
     sets = shingle_sets(texts.select("node", "text"))
-    turn, told = 0, None
-    while True:
-        pairs = nearest(edges if told is None else edges.join(told, ["a", "b"], "left_anti"))
-        more = confirmed(pairs, sets)
-        told = more if told is None else told.unionByName(more)  # all pairs looked at, so that none is twice
+    told = None  # all pairs looked at, so that none is twice
+    for turn in range(turns):
+        if turn:
+            live = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+            near = nodes.select("node", "part").join(live, "node", "left_semi").join(sets, "node")
+            edges = common.written(candidates(_printed(near, turn)), "candidates")
+        more = confirmed(nearest(edges if told is None else edges.join(told, ["a", "b"], "left_anti")), sets)
+        told = more if told is None else told.unionByName(more)
         if not more.where("alike").isEmpty():
             nodes = with_parts(nodes, more.where("alike"))
-        elif turn:
-            break
-        turn += 1
-        live = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        near = nodes.select("node", "part").join(live, "node", "left_semi").join(sets, "node")
-        edges = common.written(candidates(_printed(near, turn)), "candidates")
     heads = nodes.groupBy("part").agg(F.min("least").alias("head"))
     return nodes.join(heads, "part").select("key", "rows", F.col("least.id").alias("least"), F.col("least.ties").alias("ties"), (F.col("least.key") == F.col("head.key")).alias("head"))
 
