@@ -344,9 +344,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = common.written(pairs.select("a", "b"), "pairs")
     # Only sets that the pairs name are moved.
     x, y = (sets.join(pairs.select(F.col(k).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "x"), ("b", "y")))
-    both = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(x, "a").join(y, "b")
-    return common.written(found.select("a", "b", (both >= F.lit(NEAR) * (F.size("x") + F.size("y") - both)).alias("alike")), "confirmed")
+    found = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return common.written(found.select("a", "b", (F.col("both") >= F.lit(NEAR) * (F.size("x") + F.size("y") - F.col("both"))).alias("alike")), "confirmed")
 
 
 def nearest(edges: DataFrame) -> DataFrame:
