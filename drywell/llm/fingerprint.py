@@ -87,8 +87,8 @@ def dealt(a: str, b: str) -> str:
 
 
 def again(groups: str, times: int) -> str:
-    """groups (a, b, d) with d, (ok, added, removed), from sketches of `times` half as many cells again as digests where it isn't ok yet."""
-    cells = f"{times} * 3 * (4 + (size(p.a) + size(p.b)) div 2)"
+    """groups (a, b, d) with d, (ok, added, removed), from sketches of `times` half as many cells again as digests (of about as many as digests for 0) where it isn't ok yet."""
+    cells = f"{times} * 3 * (4 + (size(p.a) + size(p.b)) div 2)" if times else "3 * (2 + (size(p.a) + size(p.b)) div 6)"
     found = let(cells, "m", let(f"struct({sketch('p.a', 'm', str(times))} AS u, {sketch('p.b', 'm', str(times))} AS v)", "both", peeled("both.u", "both.v", "m", str(times), FEW_ROUNDS)))
     return f"transform({groups}, p -> CASE WHEN coalesce(p.d.ok, false) THEN p ELSE named_struct('a', p.a, 'b', p.b, 'd', {found}) END)"
 
@@ -98,18 +98,19 @@ def as_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda u: F.concat(F.lpad(F.hex(u["c"]), 3, "0"), F.lpad(F.hex(u["k"]), 16, "0"), F.lpad(F.hex(u["x"]), 8, "0"))), "")
 
 
-def differences(rows: DataFrame, name: str, a: str, b: str, sa: str, sb: str) -> DataFrame:
+def differences(rows: DataFrame, name: str, a: str, b: str, sa: str, sb: str, few: bool = False) -> DataFrame:
     """rows with `name`, (ok, added, removed) between two digest arrays a and b, whose stored sketches are sa and sb.
 
     First the stored sketches. Where they don't peel, the digests are dealt into groups, which are
-    sketched with more and more cells; a group that stalls four times is told apart by its digests.
-    All differences are recovered: ok is always true.
+    sketched with more and more cells; a group that stalls each time is told apart by its digests. All
+    differences are recovered: ok is always true. few: most digests are expected on both sides, so
+    the first sketches of groups have fewer cells.
     """
     none = "cast(null as struct<ok:boolean,added:array<bigint>,removed:array<bigint>>)"
     # Sketches whose sizes alone differ by more than their cells can't peel.
     own = rows.withColumns({"_a": F.col(a), "_b": F.col(b), "_u": F.col(sa), "_v": F.col(sb)}).withColumn("_d", F.expr(f"CASE WHEN abs(size(_a) - size(_b)) <= {CELLS} THEN {peeled('_u', '_v')} END"))
     own = own.withColumn("_g", F.expr(f"CASE WHEN NOT coalesce(_d.ok, false) THEN transform({dealt('_a', '_b')}, p -> named_struct('a', p.a, 'b', p.b, 'd', {none})) END"))
-    for times in (1, 2, 4, 8):
+    for times in (*([0] if few else []), 1, 2, 4, 8):
         own = own.withColumn("_g", F.expr(again("_g", times)))
     own = own.withColumn("_g", F.expr("transform(_g, p -> CASE WHEN p.d.ok THEN p.d ELSE named_struct('ok', true, 'added', array_except(p.a, p.b), 'removed', array_except(p.b, p.a)) END)"))
     own = own.withColumn(name, F.expr("CASE WHEN _g IS NULL THEN _d ELSE named_struct('ok', true, 'added', flatten(transform(_g, d -> d.added)), 'removed', flatten(transform(_g, d -> d.removed))) END"))
@@ -176,7 +177,7 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         *(digests(F.col(text)).alias(name) for text, name in (("text", "own"), ("edited", "changed"), ("next", "following"))),
     )
     rows = rows.withColumns({f"sketch{k}": F.expr(sketch(name)) for k, name in enumerate(("own", "changed", "following"))})
-    rows = differences(rows, "edit", "own", "changed", "sketch0", "sketch1")
+    rows = differences(rows, "edit", "own", "changed", "sketch0", "sketch1", few=True)
     rows = differences(rows, "step", "own", "following", "sketch0", "sketch2")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch0")).alias("fingerprint"), as_text(F.col("sketch1")).alias("edited_fingerprint"),
