@@ -6,6 +6,7 @@ from .fingerprint import op9_iblt_fingerprints
 from .media import op7_media_columns, pages_interleaved
 from .mixing import op3_source_mixing
 from .packing import op5_best_fit_packing
+from .pieces import op13_sentencepiece
 from .quality import op6_quality_classifier
 from .repair import op1_repair_tokens
 from .simhash import op10_simhash_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_iblt_fingerprints": op9_iblt_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_sentencepiece": op13_sentencepiece,
     "pages_interleaved": pages_interleaved,
 }
 #: SQL where it can express an operator.
