@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .fingerprint import op9_iblt_fingerprints
+from .kdtree import op11_centroid_clustering
+from .kdtree import sql as clustering_sql
 from .media import op7_media_columns, pages_interleaved
 from .mixing import op3_source_mixing
 from .packing import op5_best_fit_packing
@@ -25,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_iblt_fingerprints": op9_iblt_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "op13_sentencepiece": op13_sentencepiece,
     "pages_interleaved": pages_interleaved,
 }
@@ -38,4 +41,5 @@ ORACLES: dict[str, str] = {
                CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
         FROM f""",
+    "op11_centroid_clustering": clustering_sql(),
 }
