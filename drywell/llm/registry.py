@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_tokenizer_alignment
 from .fingerprint import op9_iblt_fingerprints
 from .kdtree import op11_centroid_clustering
 from .kdtree import sql as clustering_sql
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_iblt_fingerprints": op9_iblt_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_sentencepiece": op13_sentencepiece,
     "pages_interleaved": pages_interleaved,
 }
