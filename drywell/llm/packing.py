@@ -23,7 +23,8 @@ from . import common
 from .tokens import blocks, encoder, tokenizer_path
 
 CAPACITY, END = 2048, 0
-SALTS = 256
+#: A common length is dealt to one window for so many pieces, to LEAST_SALTS at least.
+PIECES_A_SALT, LEAST_SALTS = 100_000, 256
 PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -129,9 +130,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Repeated and tied items take different places. An empty table stays empty.
     """
-    salt = F.pmod(F.xxhash64("row_id", "piece"), F.lit(SALTS)).cast("int")
+    salts = max(LEAST_SALTS, items.count() // PIECES_A_SALT)
+    salt = F.pmod(F.xxhash64("row_id", "piece"), F.lit(salts)).cast("int")
     by_salt = items.groupBy("length", salt.alias("salt")).agg(F.count("*").alias("n"))
-    by_salt = common.written(by_salt, "lengths")  # at most capacity x SALTS rows
+    by_salt = common.written(by_salt, "lengths")  # at most capacity x salts rows
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = slots(plan(counts, capacity))
     spark = items.sparkSession
@@ -149,11 +151,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches):
         where = sent.value
-        # Lengths and ranks in one ascending key: ranks of a length are below 2**50.
-        keys = (where[:, 0] << 50) + where[:, 1]
+        # One ascending key for lengths and ranks: a rank counts on from all places of shorter lengths.
+        sizes = np.zeros(capacity + 1, np.int64)
+        np.add.at(sizes, where[:, 0], where[:, 2])
+        shorter = np.cumsum(sizes) - sizes
+        keys = shorter[where[:, 0]] + where[:, 1]
         for batch in batches:
             length, rank = (np.asarray(batch.column(x)).astype(np.int64) for x in ("length", "rank"))
-            row = where[np.searchsorted(keys, (length << 50) + rank, "right") - 1]
+            row = where[np.searchsorted(keys, shorter[length] + rank, "right") - 1]
             k = rank - row[:, 1]
             out = [batch.column(x) for x in names] + [pa.array(row[:, 3] + k // row[:, 4]), pa.array(row[:, 5] + k % row[:, 4] * length)]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "sequence_id", "offset"])
