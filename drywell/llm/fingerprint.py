@@ -144,7 +144,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     # In the stretch between two quantiles, equal steps; at a quantile and without an id, equal steps of the hash.
     low = F.when(F.col("_k").between(1, len(knots)), F.element_at(held, F.greatest(F.col("_k"), F.lit(1)).cast("int")))
     high = F.when(F.col("_k").between(1, len(knots) - 1), F.element_at(held, F.least(F.col("_k") + 1, F.lit(len(knots))).cast("int")))
-    step = F.coalesce(F.least(F.floor((F.col("doc_id") - low).cast("double") / (high - low).cast("double") * fine), F.lit(fine - 1)), F.lit(0))
+    apart = lambda a, b: a.cast("double") - b.cast("double")  # noqa: E731  ids may lie farther apart than a long reaches
+    step = F.coalesce(F.least(F.floor(apart(F.col("doc_id"), low) / F.greatest(apart(high, low), F.lit(1.0)) * fine), F.lit(fine - 1)), F.lit(0))
     by_hash = F.floor((F.shiftright("_h", 32) + F.lit(1 << 31)) * F.lit(fine) / F.lit(1 << 32))
     sub = F.when(F.col("doc_id").isNull() | (F.col("doc_id") == low), by_hash).otherwise(fine + step)
     bucket = (F.col("_k") * (2 * fine) + sub).cast("long")
