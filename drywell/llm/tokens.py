@@ -1,6 +1,6 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memo of parts of words.
 
-The tokenizer of word_bpe_49k.json composes, lower-cases, splits at white space and then into
+The tokenizer whose file has the digest IN_PARTS (word_bpe_49k.json) composes, lower-cases, splits at white space and then into
 contractions, runs of letters, single numbers and runs of other signs, and joins pairs within each
 of those only. No step looks beyond those parts, so the ids of a text are those of its parts in order. With any
 other tokenizer all texts go to the library whole.
@@ -8,13 +8,15 @@ other tokenizer all texts go to the library whole.
 
 from __future__ import annotations
 
-import os
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 NAME = "word_bpe_49k.json"
+#: Fixed value: SHA-256 of the file whose rules for parts are known here, whatever its name.
+IN_PARTS = "53fa9d558ea625daafcd57cd61e7be7b3c7043ea584b22d09575cf5ea9131b0a"
 #: A text of these signs only is composed already and lower-cases letter by letter; apostrophes are left out, as they may begin contractions.
 LETTERS = "a-zß-öø-ÿ"
 PLAIN = r"^[\x00-\x26\x28-\x7EÀ-ÖØ-öø-ÿ]*$"
@@ -47,11 +49,13 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        with open(path, "rb") as f:
+            data = f.read()
+        self.whole = Tokenizer.from_buffer(data)
         #: Ids are below this.
         self.size = max(self.whole.get_vocab(with_added_tokens=True).values(), default=-1) + 1
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.in_parts = os.path.basename(path) == NAME
+        self.in_parts = hashlib.sha256(data).hexdigest() == IN_PARTS
         self.model = self.whole.model
         self.alphabet = byte_alphabet()
         self.parts: dict[str, bytes] = {"": b""}
