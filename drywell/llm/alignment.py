@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 from . import common
 from .pieces import BYTE, MARK, vocabulary
 from .pieces import VOCABULARY as SECOND
-from .segments import Memo, cut, spaced
+from .segments import cut, spaced
 from .tokens import blocks, byte_alphabet, tokenizer_path
 
 FIRST = "byte_bpe_50k.json"
 #: At most so many pairs are broadcast: those in more than a FREQUENT-th of all (document, pair) rows.
 FREQUENT = 50_000
+#: Pieces of text that a worker remembers, about 400 bytes each; of a group with more links than LARGE they are counted by id first.
+MEMO, LARGE, AT_ONCE = 250_000, 1024, 10_000
 #: Ids are strings on the way, as pandas has no whole numbers beside nulls.
 TOKENS = "row_id long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
@@ -35,11 +38,14 @@ TOKENS = "row_id long, doc_id string, n_a long, n_b long, n_groups long, n_links
 def merged_groups(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Two pointers over cumulative token ends: (tokens of a, tokens of b) up to each common end. Both end together."""
     out, i, j = [], 0, 0
-    while i < len(a):
-        if a[i] == b[j]:
-            i, j = i + 1, j + 1
+    n = len(a)
+    while i < n:
+        x, y = a[i], b[j]
+        if x == y:
+            i += 1
+            j += 1
             out.append((i, j))
-        elif a[i] < b[j]:
+        elif x < y:
             i += 1
         else:
             j += 1
@@ -69,40 +75,78 @@ class Aligner:
             self.bytes_a[i] = bytes([back[c] for c in token]) if all(c in back for c in token) else token.encode()
         self.bytes_b = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, k in zip(self.b.pieces, self.b.kinds)]
         self.long_a, self.long_b = (list(map(len, x)) for x in (self.bytes_a, self.bytes_b))
-        self.memo = Memo(self.known)
-
-    def known(self, names: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, n_links, groups as text, pairs, their times) of pieces of text that start with a space; None where bytes differ."""
-        ids_a = [x.ids for x in self.a.encode_batch(names, add_special_tokens=False)]
-        ids_b = [np.frombuffer(x, np.int32).tolist() for x, _ in self.b.made(names)]
-        bytes_a, bytes_b, long_a, long_b = self.bytes_a, self.bytes_b, self.long_a, self.long_b
-        out: list[tuple | None] = []
-        for text, a, b in zip(names, ids_a, ids_b):
-            data = text.encode("utf-8", "surrogatepass")
-            if b"".join([bytes_a[i] for i in a]) != data or b"".join([bytes_b[i] for i in b]) != data:
-                out.append(None)
-                continue
-            ends_a, ends_b, at = [], [], 0
-            for i in a:
-                at += long_a[i]
-                ends_a.append(at)
-            at = 0
-            for i in b:
-                at += long_b[i]
-                ends_b.append(at)
-            groups, links, pairs = [], 0, {}
-            i = j = 0
-            for p, q in merged_groups(ends_a, ends_b):
-                own_a, own_b = a[i:p], b[j:q]
-                i, j = p, q
-                groups.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-                links += len(own_a) * len(own_b)
-                times = counted(own_b)
-                for x, n in counted(own_a).items():
-                    for y, m in times.items():
-                        pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + n * m
-            out.append((len(a), len(b), len(groups), links, ";".join(groups), np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)))
-        return out
+        self.shift = len(self.bytes_b).bit_length()
+        self.bits = self.shift + size.bit_length()
+        self.long_a, self.long_b = np.array(self.long_a), np.array(self.long_b)
+        # What each id looks like in a group: followed by another id, by the other side, by the next group.
+        self.shown_a = [f"{i}{c}" for i in range(size) for c in ",|"]
+        self.shown_b = [f"{i}{c}" for i in range(len(self.bytes_b)) for c in ",;"]
+        self.forget()
+
+    def forget(self) -> None:
+        """An empty memo: the number of each piece of text known, and in columns its (n_a, n_b, n_groups, n_links), its groups as text, its links."""
+        self.index: dict[str, int] = {}
+        self.numbers, self.shown = np.zeros((0, 4), np.int64), []
+        self.lost, self.sizes = np.zeros(0, bool), np.zeros(0, np.int64)
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def known(self, names: list[str]) -> np.ndarray:
+        """Numbers of pieces of text in the memo; new ones are worked out first."""
+        fresh = [x for x in names if x not in self.index]
+        if fresh:
+            if len(self.index) + len(fresh) > MEMO and self.index:
+                self.forget()
+                fresh = names
+            self.learn(fresh)
+        return np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+
+    def learn(self, names: list[str]) -> None:
+        # The library's encodings are large objects: only their ids stay.
+        found = [x.ids for k in range(0, len(names), AT_ONCE) for x in self.a.encode_batch_fast(names[k : k + AT_ONCE], add_special_tokens=False)]
+        many_a = np.fromiter(map(len, found), np.int64, len(found))
+        a = np.fromiter(chain.from_iterable(found), np.int64, int(many_a.sum()))
+        found = [x for x, _ in self.b.made(names)]
+        many_b = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        b = np.frombuffer(b"".join(found), np.int32).astype(np.int64)
+        # A piece is lost if either side's tokens don't give its bytes back.
+        data = [x.encode("utf-8", "surrogatepass") for x in names]
+        same = lambda ids, many, table: np.array([x == y for x, y in zip(data, joined(ids, many, table))], bool)
+        kept = same(a, many_a, self.bytes_a) & same(b, many_b, self.bytes_b)
+        a, b = a[np.repeat(kept, many_a)], b[np.repeat(kept, many_b)]
+        many_a, many_b = np.where(kept, many_a, 0), np.where(kept, many_b, 0)
+        # Ends over all pieces one after the other: pieces are as long on either side, so groups end with them.
+        ends = merged_groups(np.cumsum(self.long_a[a]).tolist(), np.cumsum(self.long_b[b]).tolist())
+        p, q = (np.array(x, np.int64) for x in zip(*ends)) if ends else (np.zeros(0, np.int64),) * 2
+        n, m = np.diff(p, prepend=0), np.diff(q, prepend=0)
+        owner = np.repeat(np.arange(len(names)), many_a)[p - 1]
+        # Ids in the order of the text: of each group those of A, then those of B.
+        group_a, group_b = np.repeat(np.arange(len(p)), n), np.repeat(np.arange(len(q)), m)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[p - 1] = last_b[q - 1] = True
+        line: list = np.empty(len(a) + len(b), object)
+        line[np.arange(len(a)) + (q - m)[group_a]] = np.array(self.shown_a, object)[a * 2 + last_a]
+        line[np.arange(len(b)) + p[group_b]] = np.array(self.shown_b, object)[b * 2 + last_b]
+        line = line.tolist()
+        stops = np.cumsum(many_a + many_b).tolist()
+        shown = ["".join(line[i:j]) for i, j in zip([0, *stops], stops)]
+        # Links of small groups one by one, those of large ones counted by id first.
+        links = n * m
+        small = links <= LARGE
+        each, first = links[small], (np.cumsum(links[small]) - links[small])
+        r = np.arange(int(each.sum())) - np.repeat(first, each)
+        wide = np.repeat(m[small], each)
+        pairs = a[np.repeat((p - n)[small], each) + r // wide] << 32 | b[np.repeat((q - m)[small], each) + r % wide]
+        times, of = np.ones(len(pairs), np.int32), np.repeat(owner[small], each)
+        for k in np.flatnonzero(~small):
+            (x, c), (y, d) = (np.unique(ids[e - w : e], return_counts=True) for ids, e, w in ((a, p[k], n[k]), (b, q[k], m[k])))
+            pairs, times, of = np.append(pairs, (x[:, None] << 32 | y).ravel()), np.append(times, (c[:, None] * d).ravel()), np.append(of, np.full(len(x) * len(y), owner[k]))
+        order = np.argsort(of, kind="stable")
+        total = lambda x: np.bincount(owner, x, len(names)).astype(np.int64)
+        self.index.update(zip(names, range(len(self.shown), len(self.shown) + len(names))))
+        self.numbers = np.concatenate([self.numbers, np.stack([many_a, many_b, total(np.ones(len(p))), total(links)], axis=1)])
+        self.shown += shown
+        self.lost, self.sizes = np.append(self.lost, ~kept), np.append(self.sizes, np.bincount(of, minlength=len(names)))
+        self.pairs, self.times = np.append(self.pairs, pairs[order]), np.append(self.times, times[order])
 
     def rows(self, texts: pa.Array) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of every text."""
@@ -112,37 +156,45 @@ class Aligner:
         else:
             names = [x for x in given.to_pylist() if x]
             index, ends = np.arange(len(names)), np.cumsum([bool(x) for x in given.to_pylist()])
-        found = self.memo.all(names)
-        none = np.array([x is None for x in found], bool)
-        found = [x or (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)) for x in found]
-        numbers = np.array([x[:4] for x in found], np.int64).reshape(-1, 4)
-        shown = [x[4] for x in found]
-        sizes = np.array([len(x[5]) for x in found], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        pairs = np.concatenate([np.zeros(0, np.int64), *(x[5] for x in found)])
-        times = np.concatenate([np.zeros(0, np.int64), *(x[6] for x in found)])
-        out, at = [], 0
-        for stop in ends.tolist():
-            own = index[at:stop]
-            at = stop
-            if not len(own) or none[own].any():
-                out.append((0, 0, 0, 0, "", [], []))
-                continue
-            parts, often = np.unique(own, return_counts=True)
-            n = sizes[parts]
-            take = np.repeat(begins[parts] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            pair, which = np.unique(pairs[take], return_inverse=True)
-            total = np.bincount(which, times[take] * np.repeat(often, n)).astype(np.int64)
-            shas = hashlib.sha256(";".join(map(shown.__getitem__, own.tolist())).encode()).hexdigest()
-            out.append((*numbers[own].sum(0).tolist(), shas, pair, total))
+        number = self.known(list(dict.fromkeys(names)))
+        if not self.cuts:
+            number = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        own = number[index]
+        before = lambda x: np.concatenate([np.zeros_like(x[:1]), np.cumsum(x, axis=0)]) if len(x) else np.zeros((1, *x.shape[1:]), x.dtype)
+        starts = np.concatenate([[0], ends[:-1]])
+        lost = np.diff(before(self.lost[own].astype(np.int64))[np.stack([starts, ends])], axis=0)[0] > 0
+        sums = before(self.numbers[own])
+        sums = np.where(lost[:, None], 0, sums[ends] - sums[starts])
+        # All links of the texts as (text, pair), sorted together.
+        doc = np.repeat(np.arange(len(ends)), np.where(lost, 0, ends - starts))
+        own_kept = own[np.repeat(~lost, ends - starts)]
+        size = self.sizes[own_kept]
+        take = np.repeat((np.cumsum(self.sizes) - self.sizes)[own_kept] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        pair, times = self.pairs[take], self.times[take]
+        key = np.repeat(doc, size) << self.bits | (pair >> 32) << self.shift | pair & 0xFFFFFFFF
+        if len(times) and times.max() > 1:
+            key, which = np.unique(key, return_inverse=True)
+            total = np.zeros(len(key), np.int64)
+            np.add.at(total, which, times)
+        else:
+            key, total = np.unique(key, return_counts=True)
+        stops = np.searchsorted(key >> self.bits, np.arange(len(ends)), "right").tolist()
+        pair = key & (1 << self.bits) - 1
+        pair = pair >> self.shift << 32 | pair & (1 << self.shift) - 1
+        out, at, own = [], 0, own.tolist()
+        for k, (i, j) in enumerate(zip(starts.tolist(), ends.tolist())):
+            sha = hashlib.sha256("".join(map(self.shown.__getitem__, own[i:j]))[:-1].encode()).hexdigest() if j > i and not lost[k] else ""
+            out.append((*sums[k].tolist(), sha, pair[at : stops[k]], total[at : stops[k]]))
+            at = stops[k]
         return out
 
 
-def counted(ids: list[int]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for i in ids:
-        out[i] = out.get(i, 0) + 1
-    return out
+def joined(ids: np.ndarray, many: np.ndarray, table: list[bytes]):
+    """The bytes of each run of ids."""
+    each, at = list(map(table.__getitem__, ids.tolist())), 0
+    for stop in np.cumsum(many).tolist():
+        yield b"".join(each[at:stop])
+        at = stop
 
 
 _made: dict[tuple[str, str], Aligner] = {}

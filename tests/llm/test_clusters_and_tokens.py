@@ -184,13 +184,24 @@ def test_alignment_equals_plain_links(spark, monkeypatch, frequent):
     assert alignment.align(docs.limit(0), FIRST, PIECES).count() == 0
 
 
+def test_large_groups_and_a_full_memo(monkeypatch):
+    texts = pa.array([*random_texts(200, 3), "ab" * 500 + " ab", PROSE])
+    own = alignment.Aligner(FIRST, PIECES)
+    want = own.rows(texts)
+    monkeypatch.setattr(alignment, "LARGE", 1)
+    monkeypatch.setattr(alignment, "MEMO", 3)
+    own.forget()
+    for a, b in ((0, 100), (100, 202)):
+        for x, y in zip(want[a:b], own.rows(texts.slice(a, b - a))):
+            assert x[:5] == y[:5] and list(x[5]) == list(y[5]) and list(x[6]) == list(y[6])
+
+
 def test_alignment_without_cuts():
     own = alignment.Aligner(FIRST, PIECES)
     texts = pa.array(["", None, *random_texts(100, 2), PROSE])
     cut = own.rows(texts)
-    own.cuts, own.memo = False, segments.Memo(own.known)
-    # Without cuts B's pieces are still told one by one, a text at a time.
-    own.b = pieces.Vocabulary(PIECES)
+    own.cuts = False
+    own.forget()
     for x, y in zip(cut, own.rows(texts)):
         assert x[:5] == y[:5] and list(x[5]) == list(y[5]) and list(x[6]) == list(y[6])
     with pytest.raises(ValueError):
