@@ -29,6 +29,7 @@ def fresh(spark: SparkSession, what: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, so that rounds that build on it don't compute it again."""
-    ready(df.sparkSession)
-    return df.checkpoint()
+    """df computed once and kept as Parquet in the shared folder, so that what builds on it computes nothing again and reads only the columns and rows that it asks for."""
+    path = fresh(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

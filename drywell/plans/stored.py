@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.store import fresh
 from ..operators import model, regions
-from ..sources import files, raster, stations
+from ..sources import assembly, files, raster, stations
 from ..streaming import months
 from .catalog import COORDS, GREEDY, PAIRS, PROJECTED, SM, coords, grid, history, pairs, query, rounded, scores_sql, supplier_month, table
 
@@ -88,7 +88,7 @@ def raster_sink(spark, d):
     folder, p = fresh(spark, "rasters"), table(spark, d, "part")
     k = F.col("p_partkey")
     rows = p.select(F.expr("cast(p_partkey div 50 % 40 as int)").alias("row"), (k % 50).cast("int").alias("col"), F.expr("cast(p_partkey div 2000 as int)").alias("k"), F.when(F.col("p_size") % 7 > 0, F.col("p_retailprice").cast("float").cast("double")).alias("value"))
-    manifest = raster.write_grids(rows, folder, lambda k: f"spei_{k:02d}mo_1999-01.tif", ["k"], 40, 50, (0.1, 0.0, 73.0, 0.0, -0.1, 54.0))
+    manifest = assembly.write_grids(rows, folder, lambda k: f"spei_{k:02d}mo_1999-01.tif", ["k"], 40, 50, (0.1, 0.0, 73.0, 0.0, -0.1, 54.0))
     manifest.write.format("noop").mode("overwrite").save()
     found = raster.pixels(spark, folder)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "row", "col", F.round("value", 4).alias("value"))

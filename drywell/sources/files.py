@@ -14,14 +14,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def opened(uri: str):
-    """A readable, seekable file of any file system that pyarrow knows."""
+#: Reads that fail: how often, and seconds before the second try; the waits double.
+ATTEMPTS, FIRST_WAIT = 4, 0.5
+MEMBER = re.compile(r"#(\d+)\+(\d+)$")
+
+
+def plainly_opened(uri: str):
     if "://" not in uri:
         uri = "file://" + uri.removeprefix("file:")
     files, path = pafs.FileSystem.from_uri(uri)
     return files.open_input_file(path)
 
 
+class Steady(io.RawIOBase):
+    """A seekable file, or the part of one from `start`, that is opened again and read again after a read that fails."""
+
+    def __init__(self, uri: str, start: int = 0, length: int | None = None):
+        super().__init__()
+        self.uri, self.start, self.at = uri, start, 0
+        self.f = retried(lambda: plainly_opened(uri), ATTEMPTS, FIRST_WAIT)
+        self.length = self.f.size() - start if length is None else length
+
+    def read_at(self, n: int, at: int) -> bytes:
+        n = max(0, min(n, self.length - at))
+
+        def again() -> bytes:
+            try:
+                return self.f.read_at(n, self.start + at)
+            except OSError:
+                self.f = plainly_opened(self.uri)
+                raise
+
+        return retried(again, ATTEMPTS, FIRST_WAIT)
+
+    def size(self) -> int:
+        return self.length
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.at = to + (0, self.at, self.length)[whence]
+        return self.at
+
+    def read(self, n: int = -1) -> bytes:
+        data = self.read_at(self.length - self.at if n is None or n < 0 else n, self.at)
+        self.at += len(data)
+        return data
+
+    def readinto(self, buffer) -> int:
+        data = self.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        self.f.close()
+        super().close()
+
+
+def opened(uri: str) -> Steady:
+    """A readable, seekable file of any file system that pyarrow knows, or the member of an archive that `member_path` names."""
+    part = MEMBER.search(uri)
+    return Steady(uri[: part.start()], int(part[1]), int(part[2])) if part else Steady(uri)
+
+
+def member_path(archive, offset, size):
+    """The path of an archive's member as a column: `opened` reads it by range, without the archive's other members."""
+    return F.concat(archive, F.lit("#"), offset.cast("string"), F.lit("+"), size.cast("string"))
+
+
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, length) of files, without their contents."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length")
@@ -33,7 +100,7 @@ def tar_members(spark: SparkSession, path: str, glob: str = "*.tar") -> DataFram
     def run(batches):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                with opened(uri) as f, tarfile.open(fileobj=f, mode="r:") as t:
+                with opened(uri) as f, tarfile.open(fileobj=io.BufferedReader(f), mode="r:") as t:
                     found = [(uri, m.name, m.offset_data, m.size) for m in t if m.isfile()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["archive", "member", "offset", "size"])
 

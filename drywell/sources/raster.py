@@ -1,7 +1,7 @@
-"""Single-band GeoTIFFs as rows: windows of pixels, geometry and tags; and a writer.
+"""GeoTIFFs as rows: windows of pixels, geometry and tags.
 
-Classic little-endian files with strips or tiles, stored plain, by deflate or by LZW, with or
-without the horizontal predictor.
+Files with strips or tiles, stored plain, by deflate or by LZW, with or without the horizontal or the
+floating-point predictor. `assembly` writes them.
 """
 
 from __future__ import annotations
@@ -9,18 +9,14 @@ from __future__ import annotations
 import struct
 import zlib
 
-import uuid
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from .files import listing, opened
 
-SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-FORMS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
+SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8}
+FORMS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 KINDS = {(8, 1): "<u1", (16, 1): "<u2", (32, 1): "<u4", (8, 2): "<i1", (16, 2): "<i2", (32, 2): "<i4", (32, 3): "<f4", (64, 3): "<f8"}
 PIXELS = "path string, row int, col int, value double"
 
@@ -50,27 +46,33 @@ def unpack_lzw(data: bytes) -> bytes:
 
 
 class Raster:
-    """One file's first image; window(rows, cols) reads only the blocks that it touches."""
+    """One file's first image; blocks(rows) reads only what it touches. Classic and BigTIFF, either byte order, bands together or apart."""
 
     def __init__(self, f):
         self.f = f
-        head = f.read_at(8, 0)
-        if head[:4] != b"II*\0":
-            raise ValueError("not a little-endian classic TIFF")
-        at, = struct.unpack_from("<I", head, 4)
-        n, = struct.unpack("<H", f.read_at(2, at))
-        raw, self.tags = f.read_at(12 * n, at + 2), {}
+        head = f.read_at(16, 0)
+        self.order = {b"II": "<", b"MM": ">"}.get(head[:2], "")
+        version = struct.unpack_from(f"{self.order or '<'}H", head, 2)[0]
+        if not self.order or version not in (42, 43):
+            raise ValueError("not a TIFF file")
+        big, e = version == 43, self.order
+        at, = struct.unpack_from(f"{e}Q" if big else f"{e}I", head, 8 if big else 4)
+        n, = struct.unpack(f"{e}Q" if big else f"{e}H", f.read_at(8 if big else 2, at))
+        one, held = (20, 8) if big else (12, 4)
+        raw, self.tags = f.read_at(one * n, at + (8 if big else 2)), {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from("<HHI", raw, 12 * k)
-            size = SIZES.get(kind, 1) * count
-            data = raw[12 * k + 8 : 12 * k + 8 + size] if size <= 4 else f.read_at(size, struct.unpack_from("<I", raw, 12 * k + 8)[0])
-            self.tags[tag] = data.rstrip(b"\0").decode("latin-1") if kind == 2 else struct.unpack(f"<{count}{FORMS[kind]}", data) if kind in FORMS else data
+            tag, kind = struct.unpack_from(f"{e}HH", raw, one * k)
+            count, = struct.unpack_from(f"{e}Q" if big else f"{e}I", raw, one * k + 4)
+            size, place = SIZES.get(kind, 1) * count, one * k + one - held
+            data = raw[place : place + size] if size <= held else f.read_at(size, struct.unpack_from(f"{e}Q" if big else f"{e}I", raw, place)[0])
+            self.tags[tag] = data.rstrip(b"\0").decode("utf-8", "replace") if kind == 2 else struct.unpack(f"{e}{count}{FORMS[kind]}", data) if kind in FORMS else data
         one = lambda t, d=None: self.tags[t][0] if t in self.tags else d
         self.width, self.height = one(256), one(257)
-        self.dtype = np.dtype(KINDS[one(258, 8), one(339, 1)])
+        self.dtype = np.dtype(KINDS[one(258, 8), one(339, 1)]).newbyteorder(self.order)
         self.compression, self.predictor = one(259, 1), one(317, 1)
+        self.bands, self.apart = one(277, 1), one(284, 1) == 2
         self.tiled = 322 in self.tags
-        self.bw, self.bh = (one(322), one(323)) if self.tiled else (self.width, one(278, self.height))
+        self.bw, self.bh = (one(322), one(323)) if self.tiled else (self.width, min(one(278, self.height), self.height))
         self.offsets, self.counts = (self.tags[324], self.tags[325]) if self.tiled else (self.tags[273], self.tags[279])
         text = self.tags.get(42113)
         self.nodata = float(text) if text else None
@@ -79,6 +81,7 @@ class Raster:
         self.transform = (sx, 0.0, x - i * sx, 0.0, -sy, y + j * sy)
 
     def block(self, k: int, rows: int) -> np.ndarray:
+        """(rows, columns, bands that are stored together)."""
         data = self.f.read_at(self.counts[k], self.offsets[k])
         if self.compression in (8, 32946):
             data = zlib.decompress(data)
@@ -86,38 +89,47 @@ class Raster:
             data = unpack_lzw(data)
         elif self.compression != 1:
             raise ValueError(f"compression {self.compression} isn't supported")
-        shape = (rows, self.bw)
-        if self.predictor == 3:
-            raw = np.frombuffer(data, np.uint8, rows * self.bw * self.dtype.itemsize).reshape(rows, -1)
-            raw = np.cumsum(raw, axis=1, dtype=np.uint8).reshape(rows, self.dtype.itemsize, self.bw)
-            return np.ascontiguousarray(raw[:, ::-1].transpose(0, 2, 1)).view(self.dtype).reshape(shape)
-        out = np.frombuffer(data, self.dtype, rows * self.bw).reshape(shape)
+        together, size = 1 if self.apart else self.bands, self.dtype.itemsize
+        shape = (rows, self.bw, together)
+        if self.predictor == 3:  # bytes of a row by significance, the most significant first whatever the file's order
+            raw = np.frombuffer(data, np.uint8, rows * self.bw * together * size).reshape(rows, -1, together)
+            raw = np.cumsum(raw, axis=1, dtype=np.uint8).reshape(rows, size, -1)
+            return np.ascontiguousarray(raw.transpose(0, 2, 1)).view(self.dtype.newbyteorder(">")).reshape(shape)
+        out = np.frombuffer(data, self.dtype, rows * self.bw * together).reshape(shape)
         if self.predictor == 2:
-            whole = out.view(f"<u{self.dtype.itemsize}")
-            out = np.cumsum(whole, axis=1, dtype=whole.dtype).view(self.dtype)
+            whole = out.view(f"{self.order}u{size}")
+            out = np.cumsum(whole, axis=1, dtype=np.dtype(f"u{size}")).view(self.dtype.newbyteorder("="))
         return out
 
-    def blocks(self, row0: int = 0, row1: int | None = None):
-        """(first row, first column, values) of the blocks that touch rows row0..row1 - 1."""
+    def blocks(self, row0: int = 0, row1: int | None = None, band: int = 1):
+        """(first row, first column, values of a band, from 1) of the blocks that touch rows row0..row1 - 1."""
+        if not 1 <= band <= self.bands:
+            raise ValueError(f"band {band} of {self.bands}")
         row1 = self.height if row1 is None else min(row1, self.height)
-        across = -(-self.width // self.bw)
+        across, down = -(-self.width // self.bw), -(-self.height // self.bh)
+        first, layer = (across * down * (band - 1), 0) if self.apart else (0, band - 1)
         for r in range(row0 // self.bh, -(-row1 // self.bh)):
             for c in range(across):
                 rows = self.bh if self.tiled else min(self.bh, self.height - r * self.bh)
-                values = self.block(r * across + c, rows)[: self.height - r * self.bh, : self.width - c * self.bw]
+                values = self.block(first + r * across + c, rows)[: self.height - r * self.bh, : self.width - c * self.bw, layer]
                 a, b = max(row0 - r * self.bh, 0), row1 - r * self.bh
                 yield r * self.bh + a, c * self.bw, values[a:b]
 
 
-def pixels(spark: SparkSession, path: str, glob: str = "*.tif", row0: int = 0, row1: int | None = None) -> DataFrame:
-    """(path, row, col, value) of rasters, a batch per block; nodata and NaN are null."""
+def pixels(spark: SparkSession, path: str, glob: str = "*.tif", row0: int = 0, row1: int | None = None, band: int = 1) -> DataFrame:
+    """(path, row, col, value) of a band of rasters, a batch per block; nodata and NaN are null."""
+    return pixels_of(listing(spark, path, glob).select("path"), row0, row1, band)
+
+
+def pixels_of(paths: DataFrame, row0: int = 0, row1: int | None = None, band: int = 1) -> DataFrame:
+    """The same of a table of paths, which may name members of archives (`files.member_path`). Reads that fail are tried again."""
 
     def run(batches):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 with opened(uri) as f:
                     raster = Raster(f)
-                    for r, c, values in raster.blocks(row0, row1):
+                    for r, c, values in raster.blocks(row0, row1, band):
                         v = values.astype(np.float64)
                         bad = ~np.isfinite(v)
                         if raster.nodata is not None:
@@ -125,7 +137,7 @@ def pixels(spark: SparkSession, path: str, glob: str = "*.tif", row0: int = 0, r
                         row, col = np.indices(v.shape)
                         yield pa.RecordBatch.from_arrays([pa.array([uri] * v.size), pa.array((row + r).ravel().astype(np.int32)), pa.array((col + c).ravel().astype(np.int32)), pa.array(v.ravel(), mask=bad.ravel())], names=["path", "row", "col", "value"])
 
-    return listing(spark, path, glob).select("path").mapInArrow(run, PIXELS)
+    return paths.select("path").mapInArrow(run, PIXELS)
 
 
 INVENTORY = "path string, size_bytes long, width int, height int, transform_a double, transform_b double, transform_c double, transform_d double, transform_e double, transform_f double, pixel_size_x double, pixel_size_y double, nodata double, dtype string, compression string, tags map<string,string>"
@@ -150,74 +162,6 @@ def inventory(spark: SparkSession, path: str, glob: str = "*.tif") -> DataFrame:
     return listing(spark, path, glob).mapInArrow(run, INVENTORY)
 
 
-def to_geotiff(values: np.ndarray, transform: tuple, nodata: float | None = -9999.0, tags: dict[str, str] | None = None, tile: int = 256) -> bytes:
-    """A tiled, deflated single-band file of a 2-D array; missing values become nodata."""
-    values = np.asarray(values)
-    if values.dtype.kind == "f":
-        values = np.where(np.isfinite(values), values, nodata if nodata is not None else np.nan).astype("<f4" if values.dtype.itemsize <= 4 else "<f8")
-    h, w = values.shape
-    blocks = []
-    for r in range(0, h, tile):
-        for c in range(0, w, tile):
-            own = np.full((tile, tile), nodata if nodata is not None else 0, values.dtype)
-            part = values[r : r + tile, c : c + tile]
-            own[: part.shape[0], : part.shape[1]] = part
-            blocks.append(zlib.compress(own.tobytes(), 6))
-    a, _, x, _, e, y = transform
-    kind = {"u": 1, "i": 2, "f": 3}[values.dtype.kind]
-    entries = [(256, 4, (w,)), (257, 4, (h,)), (258, 3, (8 * values.dtype.itemsize,)), (259, 3, (8,)), (262, 3, (1,)), (277, 3, (1,)), (322, 3, (tile,)), (323, 3, (tile,)), (339, 3, (kind,))]
-    entries += [(33550, 12, (abs(a), abs(e), 0.0)), (33922, 12, (0.0, 0.0, 0.0, x, y, 0.0))]
-    if tags:
-        body = "".join(f'<Item name="{k}">{v}</Item>' for k, v in tags.items())
-        entries.append((42112, 2, f"<GDALMetadata>{body}</GDALMetadata>".encode() + b"\0"))
-    if nodata is not None:
-        entries.append((42113, 2, f"{nodata:g}".encode() + b"\0"))
-    entries += [(324, 4, None), (325, 4, tuple(map(len, blocks)))]
-    entries.sort(key=lambda t: t[0])
-    at, extra = 8 + 2 + 12 * len(entries) + 4, b""
-    data = {t: v if k == 2 else b"" if v is None else struct.pack(f"<{len(v)}{FORMS[k]}", *v) for t, k, v in entries}
-    data[324] = bytes(4 * len(blocks))
-    start = at + sum(len(v) + len(v) % 2 for v in data.values() if len(v) > 4)
-    data[324] = struct.pack(f"<{len(blocks)}I", *(start + sum(map(len, blocks[:k])) for k in range(len(blocks))))
-    out = struct.pack("<2sHIH", b"II", 42, 8, len(entries))
-    for t, k, v in entries:
-        d = data[t]
-        count = len(d) // SIZES[k]
-        if len(d) <= 4:
-            out += struct.pack("<HHI", t, k, count) + d.ljust(4, b"\0")
-        else:
-            out += struct.pack("<HHII", t, k, count, at + len(extra))
-            extra += d + b"\0" * (len(d) % 2)
-    return out + bytes(4) + extra + b"".join(blocks)
-
-
-def write_grids(grids: DataFrame, folder: str, name, keys: list[str], height: int, width: int, transform: tuple, nodata: float | None = -9999.0, tags: dict[str, str] | None = None) -> DataFrame:
-    """Writes a file for each group of keys of grids (keys, row, col, value) under folder; the manifest (path, keys, cells) as it is written.
-
-    name: the file name from a group's keys, in order. A task holds one grid; a file has a new name
-    until it is whole and carries generation_complete last of its tags, so a run that stops leaves no
-    file that looks complete. Cells that a group lacks, and null ones, are nodata; the manifest is
-    lazy, so store it.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in grids.schema}
-    schema = "path string, " + ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", cells long"
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        values = np.full((height, width), np.nan)
-        values[own["row"], own["col"]] = own["value"].astype(float)
-        key = own[keys].iloc[0].tolist()
-        uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
-        files, base = pafs.FileSystem.from_uri(uri)
-        files.create_dir(base, recursive=True)
-        part = f"{base}/.{uuid.uuid4().hex}.part"
-        with files.open_output_stream(part) as out:
-            out.write(to_geotiff(values, transform, nodata, {**(tags or {}), "generation_complete": "true"}))
-        files.move(part, f"{base}/{name(*key)}")
-        return pd.DataFrame([[f"{uri}/{name(*key)}", *key, int(own["value"].notna().sum())]], columns=["path", *keys, "cells"])
-
-    return grids.groupBy(*keys).applyInPandas(run, schema)
-
-
 def scaled(value, nodata: float = -99999.0, factor: float = 0.0001):
     """Integer bands to values: nodata is null, the rest times the factor."""
     from ..functions.clean import without

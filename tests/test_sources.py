@@ -9,7 +9,7 @@ import zipfile
 import numpy as np
 import pytest
 
-from drywell.sources import cube, files, raster, stations
+from drywell.sources import assembly, cube, files, raster, stations
 from drywell.streaming import months
 
 
@@ -80,7 +80,7 @@ def test_cube(spark, tmp_path, record):
 def test_raster_round_trip(spark, tmp_path):
     values = np.arange(300 * 270, dtype=np.float32).reshape(300, 270)
     values[5, 7] = np.nan
-    (tmp_path / "spei_03mo_2000-01.tif").write_bytes(raster.to_geotiff(values, (1000.0, 0, 5.0, 0, -1000.0, 9.0), tags={"generation_complete": "true"}))
+    (tmp_path / "spei_03mo_2000-01.tif").write_bytes(assembly.to_geotiff(values, (1000.0, 0, 5.0, 0, -1000.0, 9.0), tags={"generation_complete": "true"}))
     df = raster.pixels(spark, str(tmp_path), row0=4, row1=260)
     assert df.count() == 256 * 270 and df.where("row = 5 AND col = 7").first()["value"] is None and df.where("row = 259 AND col = 269").first()["value"] == float(values[259, 269])
     r = raster.inventory(spark, str(tmp_path)).first()
