@@ -30,7 +30,7 @@ FIRST = "byte_bpe_50k.json"
 #: At most so many pairs are broadcast: those in more than a FREQUENT-th of all (document, pair) rows.
 FREQUENT = 50_000
 #: Pieces of text that a worker remembers, about 400 bytes each; of a group with more links than LARGE they are counted by id first.
-MEMO, LARGE, AT_ONCE = 250_000, 1024, 10_000
+MEMO, LARGE, AT_ONCE = 150_000, 1024, 2_000
 #: Ids are strings on the way, as pandas has no whole numbers beside nulls.
 TOKENS = "row_id long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
@@ -214,7 +214,7 @@ def aligned(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", te
         own = aligner(first, second)
         for frame in frames:
             texts = pa.array(frame["text"], pa.string(), from_pandas=True)
-            for start, length in blocks(texts, 4_000_000):
+            for start, length in blocks(texts, 1_000_000):
                 part = frame.iloc[start : start + length]
                 columns = list(zip(*own.rows(texts.slice(start, length))))
                 names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
