@@ -74,6 +74,64 @@ def parse_period(text: str) -> tuple[int, int]:
     return int(found[1]), int(found[2])
 
 
+#: Seconds of the units that time axes count in.
+SECONDS = {"second": 1, "sec": 1, "s": 1, "minute": 60, "min": 60, "hour": 3600, "hr": 3600, "h": 3600, "day": 86_400, "d": 86_400}
+SINCE = re.compile(r"\s*(\w+?)s?\s+since\s+(-?\d{1,4})-(\d{1,2})-(\d{1,2})(?:[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d*)?))?)?\s*(?:Z|UTC|[+-]0?0:?00)?\s*$", re.IGNORECASE)
+MONTH_DAYS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+
+
+def _leap(year: int) -> bool:
+    return year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+
+
+def _days_before(year: int, kind: str) -> int:
+    """Days from 0000-01-01 to a year's first day."""
+    if kind == "standard":
+        return 365 * year + -(-year // 4) - -(-year // 100) + -(-year // 400)
+    return year * {"noleap": 365, "all_leap": 366, "360_day": 360}[kind]
+
+
+def _month_days(year: int, kind: str) -> list[int]:
+    if kind == "360_day":
+        return [30] * 12
+    long = kind == "all_leap" or kind == "standard" and _leap(year)
+    return [d + (long and k == 1) for k, d in enumerate(MONTH_DAYS)]
+
+
+def time_axis(values, units: str, calendar: str = "standard") -> list[tuple[int, int, int]]:
+    """(year, month, day) of values in 'units since a date' of a calendar; also 'months since' and 'years since', in whole ones.
+
+    The standard calendar is taken as proleptic Gregorian; a calendar or unit that isn't known is an error.
+    """
+    kind = {"standard": "standard", "gregorian": "standard", "proleptic_gregorian": "standard", "noleap": "noleap", "365_day": "noleap", "all_leap": "all_leap", "366_day": "all_leap", "360_day": "360_day"}.get(calendar.lower())
+    found = SINCE.match(units)
+    if kind is None or not found:
+        raise ValueError(f"time axis in {units!r} of calendar {calendar!r}")
+    unit, (year, month, day) = found[1].lower(), map(int, found.groups()[1:4])
+    if unit in ("month", "year"):
+        at = [year * 12 + month - 1 + int(v) * (12 if unit == "year" else 1) for v in values]
+        return [(m // 12, m % 12 + 1, day) for m in at]
+    if unit not in SECONDS:
+        raise ValueError(f"unit {unit!r} of a time axis")
+    first = _days_before(year, kind) + sum(_month_days(year, kind)[: month - 1]) + day - 1
+    begin = int(found[5] or 0) * 3600 + int(found[6] or 0) * 60 + float(found[7] or 0)
+    out = []
+    for v in values:
+        days = first + int((begin + float(v) * SECONDS[unit]) // 86_400)
+        year = int(days // 365.2425) if kind == "standard" else days // {"noleap": 365, "all_leap": 366, "360_day": 360}[kind]
+        while _days_before(year, kind) > days:
+            year -= 1
+        while _days_before(year + 1, kind) <= days:
+            year += 1
+        left, m = days - _days_before(year, kind), 0
+        for n in _month_days(year, kind):
+            if left < n:
+                break
+            left, m = left - n, m + 1
+        out.append((year, m + 1, left + 1))
+    return out
+
+
 def season_angle(month: Column) -> Column:
     return F.lit(2 * 3.141592653589793) * month / 12.0
 

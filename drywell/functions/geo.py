@@ -59,6 +59,33 @@ def grid_plan(position: Column, n: int) -> dict[str, Column]:
     }
 
 
+def axis_position(value: Column, axis: list[float]) -> Column:
+    """The place of a value on an axis of ascending or descending coordinates, in index units; outside it goes on at the end's step.
+
+    Even axes by their first step, others by a binary search between neighbours.
+    """
+    axis = [float(x) for x in axis]
+    steps = [b - a for a, b in zip(axis, axis[1:])]
+    if not steps:
+        return value * 0.0
+    if not (all(s > 0 for s in steps) or all(s < 0 for s in steps)):
+        raise ValueError("coordinates of an axis go one way")
+    if max(abs(s - steps[0]) for s in steps) <= 1e-4 * abs(steps[0]):
+        return (value - axis[0]) / steps[0]
+    sign = 1.0 if steps[0] > 0 else -1.0
+    held, x = F.array(*(F.lit(sign * a) for a in axis)), value * sign
+    halves = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(len(axis))))))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(axis) - 1).alias("high"))
+
+    def half(now: Column, _: Column) -> Column:
+        middle = F.floor((now["low"] + now["high"]) / 2).cast("int")
+        inner, right = now["high"] - now["low"] > 1, F.get(held, middle) <= x
+        return F.struct(F.when(inner & right, middle).otherwise(now["low"]).alias("low"), F.when(inner & ~right, middle).otherwise(now["high"]).alias("high"))
+
+    low = F.aggregate(halves, start, half)["low"]
+    return low + (x - F.get(held, low)) / (F.get(held, low + 1) - F.get(held, low))
+
+
 #: Homolosine: below this latitude the sinusoidal, above it the Mollweide projection, moved by a constant.
 GOODE_SPLIT = math.radians(40 + 44 / 60 + 11.8 / 3600)
 GOODE_SHIFT = 0.0528035274542

@@ -122,9 +122,11 @@ def fill_nearest(grid: DataFrame, layers: tuple[str, ...] = (), reach: float = 1
     cells = grid.withColumn("value", finite(F.col("value"))).withColumn("_own", F.lit(True))
     wanted = F.col("value").isNull() & (F.coalesce(F.col(want), F.lit(False)) if want else F.lit(True))
     cells = cells.withColumn("_wanted", wanted)
-    # Places of rows with holes in all columns, of a grid that isn't full.
-    holes, columns = cells.where("_wanted").select(*layers, "lat_idx").distinct(), cells.select(*layers, "lon_idx").distinct()
-    places = holes.withColumn("_all", F.lit(1)).join(columns.withColumn("_all", F.lit(1)), ["_all", *layers]).drop("_all")
+    # Rows with holes get a place in every column of their layer's extent.
+    extent = cells.groupBy(*layers).agg(F.min("lon_idx").alias("_from"), F.max("lon_idx").alias("_to"))
+    holes = cells.where("_wanted").select(*layers, "lat_idx").distinct()
+    holes = holes.join(extent, list(layers)) if layers else holes.crossJoin(extent)  # without layers one row
+    places = holes.select(*layers, "lat_idx", F.explode(F.sequence("_from", "_to")).alias("lon_idx"))
     cells = cells.unionByName(places.join(cells.select(*layers, "lat_idx", "lon_idx"), [*layers, "lat_idx", "lon_idx"], "left_anti"), allowMissingColumns=True)
     column = W.partitionBy(*layers, "lon_idx").orderBy("lat_idx")
     valid = F.when(F.col("value").isNotNull(), F.struct("lat_idx", "value"))
@@ -138,15 +140,15 @@ def fill_nearest(grid: DataFrame, layers: tuple[str, ...] = (), reach: float = 1
         of = own.iloc[found[at]]
         up, down = of["lat_idx"] - of["up"], of["down"] - of["lat_idx"]
         out = own.loc[at, [*layers, "lat_idx", "lon_idx"]].copy()
-        out["near"] = np.where((~(up > down) & up.notna()) | down.isna(), of["up_value"], of["down_value"])
+        out["_near"] = np.where((~(up > down) & up.notna()) | down.isna(), of["up_value"], of["down_value"])
         return out
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*layers, "lat_idx", "lon_idx")) + ", near double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*layers, "lat_idx", "lon_idx")) + ", _near double"
     near = rows.groupBy(*layers, "lat_idx").applyInPandas(run, schema)  # a row of the grid each
     whole = [*layers, "lat_idx", "lon_idx"]
     out = grid.withColumn("value", finite(F.col("value"))).join(near, whole, "left")
-    return out.withColumn("filled", F.coalesce("value", "near")).select(*grid.columns, "filled")
+    return out.withColumn("filled", F.coalesce("value", "_near")).select(*grid.columns, "filled")
 
 
 TIERS = (0, 2, 5, 10, 25, 50, 100, 200)

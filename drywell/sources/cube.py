@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.calendars import time_axis
 from .files import opened
 
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
@@ -93,6 +94,22 @@ class Header:
                 return np.frombuffer(self.f.read_at(t.itemsize * self.size(dims[0]), begin), t).astype(float)
         return None
 
+    def times(self) -> tuple[np.ndarray | None, str, str]:
+        """(values, units, calendar) of the time axis."""
+        for k, (dims, attrs, kind, _, begin) in self.vars.items():
+            if k.lower() in TIME and len(dims) == 1:
+                t = np.dtype(TYPES[kind])
+                if self.dims[dims[0]][1]:
+                    raw = self.f.read_at(t.itemsize * self.size(dims[0]), begin)
+                else:
+                    raw = b"".join(self.f.read_at(t.itemsize, begin + i * self.record_size) for i in range(self.records))
+                return np.frombuffer(raw, t), attrs.get("units", ""), attrs.get("calendar", "standard")
+        return None, "", "standard"
+
+    def length(self) -> int:
+        """Steps of the field."""
+        return next(self.size(d) for d in self.vars[self.field()][0] if self.dims[d][0].lower() in TIME)
+
     def steps(self, name: str, first: int, last: int) -> np.ndarray:
         """(time, lat, lon) of steps first..last - 1; missing and fill values are NaN."""
         dims, attrs, kind, _, begin = self.vars[name]
@@ -119,6 +136,11 @@ class Header:
         return out * scale + shift if (scale, shift) != (1.0, 0.0) else out
 
 
+def header(f):
+    """The header of a file in a format that is known here."""
+    return Header(f)
+
+
 class Steps(InputPartition):
     def __init__(self, path, name, first, last):
         self.path, self.name, self.first, self.last = path, name, first, last
@@ -130,17 +152,15 @@ class CubeReader(DataSourceReader):
 
     def partitions(self):
         with opened(self.path) as f:
-            head = Header(f)
-            name = head.field()
-            dims = head.vars[name][0]
-            n = next(head.size(d) for d in dims if head.dims[d][0].lower() in TIME)
+            head = header(f)
+            name, n = head.field(), head.length()
         if self.expect and int(self.expect) != n:
             raise ValueError(f"{self.path} has {n} steps, not {self.expect}")
         return [Steps(self.path, name, a, min(n, a + STEPS)) for a in range(0, n, STEPS)]
 
     def read(self, partition):
         with opened(partition.path) as f:
-            head = Header(f)
+            head = header(f)
             for t in range(partition.first, partition.last):
                 values = head.steps(partition.name, t, t + 1)[0]
                 row, col = np.indices(values.shape)
@@ -169,8 +189,28 @@ def read_cube(spark, path: str, steps: int | None = None):
     return (reader.option("steps", str(steps)) if steps else reader).load(path)
 
 
+class Description:
+    """What a cube's header says: the variable's name, coordinates, and (year, month, day) of every step."""
+
+    def __init__(self, name: str, lons: list[float], lats: list[float], dates: list[tuple[int, int, int]]):
+        self.name, self.lons, self.lats, self.dates = name, lons, lats, dates
+
+
+def describe(path: str) -> Description:
+    """A cube's Description; a cube without coordinates or a time axis with units is an error."""
+    with opened(path) as f:
+        head = header(f)
+        lons, lats, (values, units, calendar) = head.axis(LON), head.axis(LAT), head.times()
+        if lons is None or lats is None or values is None:
+            raise ValueError(f"{path} has no lon, lat and time axes")
+        dates = time_axis(values.tolist(), units, calendar)
+        if len(dates) != head.length():
+            raise ValueError(f"{path} has {len(dates)} times for {head.length()} steps")
+        return Description(head.field(), lons.tolist(), lats.tolist(), dates)
+
+
 def axes(path: str) -> tuple[np.ndarray | None, np.ndarray | None]:
     """(longitudes, latitudes) of a cube's coordinate variables."""
     with opened(path) as f:
-        head = Header(f)
+        head = header(f)
         return head.axis(LON), head.axis(LAT)
