@@ -1,8 +1,10 @@
-"""Gridded cubes in the classic NetCDF format, as a Spark data source that reads by range.
+"""Gridded cubes in the classic NetCDF format and in NetCDF-4 (HDF5), as a Spark data source that reads by range.
 
 spark.dataSource.register(CubeSource); spark.read.format("climate_cube").load("file:///x.nc") gives
 (variable, t, row, col, value): the only variable over (time, lat, lon) in any order of its
-dimensions' usual names, missing values as null. Tasks read runs of months.
+dimensions' usual names, missing values as null. Tasks read runs of months, of whole chunks where a
+file is chunked; the options `first` and `last` bound the steps (last is left out), and no task is made
+nor chunk read outside them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.calendars import time_axis
+from . import hdf5
 from .files import opened
 
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
@@ -106,6 +109,10 @@ class Header:
                 return np.frombuffer(raw, t), attrs.get("units", ""), attrs.get("calendar", "standard")
         return None, "", "standard"
 
+    def run(self) -> int:
+        """Steps that are read best together."""
+        return 1
+
     def length(self) -> int:
         """Steps of the field."""
         return next(self.size(d) for d in self.vars[self.field()][0] if self.dims[d][0].lower() in TIME)
@@ -137,8 +144,8 @@ class Header:
 
 
 def header(f):
-    """The header of a file in a format that is known here."""
-    return Header(f)
+    """The header of a file, classic or HDF5."""
+    return hdf5.File(f) if f.read_at(8, 0) == hdf5.SIGNATURE else Header(f)
 
 
 class Steps(InputPartition):
@@ -149,20 +156,27 @@ class Steps(InputPartition):
 class CubeReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.expect = options.get("path"), options.get("steps")
+        self.first, self.last = int(options.get("first") or 0), options.get("last")
 
     def partitions(self):
         with opened(self.path) as f:
             head = header(f)
-            name, n = head.field(), head.length()
+            name, n, run = head.field(), head.length(), head.run()
         if self.expect and int(self.expect) != n:
             raise ValueError(f"{self.path} has {n} steps, not {self.expect}")
-        return [Steps(self.path, name, a, min(n, a + STEPS)) for a in range(0, n, STEPS)]
+        # Whole chunks along time, at least STEPS steps a task.
+        step = run * max(1, STEPS // run)
+        first, last = max(0, self.first), min(n, int(self.last) if self.last is not None else n)
+        return [Steps(self.path, name, max(first, a), min(last, a + step)) for a in range(first - first % step, last, step)]
 
     def read(self, partition):
         with opened(partition.path) as f:
             head = header(f)
+            run = head.run()
             for t in range(partition.first, partition.last):
-                values = head.steps(partition.name, t, t + 1)[0]
+                if t == partition.first or t % run == 0:  # a run of chunks at a time
+                    begin, held = t, head.steps(partition.name, t, min(partition.last, t - t % run + run))
+                values = held[t - begin]
                 row, col = np.indices(values.shape)
                 flat = values.ravel()
                 yield pa.RecordBatch.from_arrays([
@@ -182,11 +196,14 @@ class CubeSource(DataSource):
         return CubeReader(self.options)
 
 
-def read_cube(spark, path: str, steps: int | None = None):
-    """(variable, t, row, col, value) of a cube; steps: the number of months it must have."""
+def read_cube(spark, path: str, steps: int | None = None, first: int | None = None, last: int | None = None):
+    """(variable, t, row, col, value) of a cube, of its steps first..last - 1; steps: the number of months it must have."""
     spark.dataSource.register(CubeSource)
     reader = spark.read.format("climate_cube")
-    return (reader.option("steps", str(steps)) if steps else reader).load(path)
+    for key, value in (("steps", steps), ("first", first), ("last", last)):
+        if value is not None:
+            reader = reader.option(key, str(value))
+    return reader.load(path)
 
 
 class Description:
