@@ -17,6 +17,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +28,12 @@ from .segments import cut, spaced
 from .tokens import blocks, byte_alphabet, tokenizer_path
 
 FIRST = "byte_bpe_50k.json"
+#: Fixed value: the pattern by which byte-level BPE splits texts.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: At most so many pairs are broadcast: those in more than a FREQUENT-th of all (document, pair) rows.
 FREQUENT = 50_000
 #: Pieces of text that a worker remembers, about 400 bytes each; of a group with more links than LARGE they are counted by id first.
-MEMO, LARGE, AT_ONCE = 150_000, 1024, 2_000
+MEMO, LARGE, AT_ONCE = 240_000, 1024, 2_000
 #: Ids are strings on the way, as pandas has no whole numbers beside nulls.
 TOKENS = "row_id long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
@@ -66,8 +69,10 @@ class Aligner:
             raise ValueError("the first tokenizer is not plain byte-level")
         if not self.b.apart:
             raise ValueError("the second vocabulary changes its texts, or has marks inside pieces")
-        #: Whether A splits by the usual pattern, so that texts can be cut.
-        self.cuts = bool(before.get("use_regex", True))
+        #: Whether A splits by the usual pattern and nothing else, so that texts can be cut.
+        self.cuts = bool(before.get("use_regex", True)) and all(x.get("special") for x in told.get("added_tokens") or [])
+        self.model, self.parts = self.a.model, regex.compile(PARTS)
+        self.mapped = dict(enumerate(byte_alphabet()))
         back = {c: i for i, c in enumerate(byte_alphabet())}
         size = max(self.a.get_vocab(with_added_tokens=True).values()) + 1
         self.bytes_a = [b""] * size
@@ -86,6 +91,7 @@ class Aligner:
     def forget(self) -> None:
         """An empty memo: the number of each piece of text known, and in columns its (n_a, n_b, n_groups, n_links), its groups as text, its links."""
         self.index: dict[str, int] = {}
+        self.met = np.zeros(0, np.int32)  # in how many blocks each was met
         self.numbers, self.shown = np.zeros((0, 4), np.int64), []
         self.lost, self.sizes = np.zeros(0, bool), np.zeros(0, np.int64)
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -93,21 +99,49 @@ class Aligner:
     def known(self, names: list[str]) -> np.ndarray:
         """Numbers of pieces of text in the memo; new ones are worked out first."""
         fresh = [x for x in names if x not in self.index]
+        if len(self.index) + len(fresh) > MEMO and self.index:
+            self.thin()
+            fresh = [x for x in names if x not in self.index]
         if fresh:
-            if len(self.index) + len(fresh) > MEMO and self.index:
-                self.forget()
-                fresh = names
             self.learn(fresh)
-        return np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        found = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        self.met[found] += 1
+        return found
+
+    def thin(self) -> None:
+        """Keeps what was met most often, a third of a full memo at most."""
+        order = np.argsort(-self.met, kind="stable")[: MEMO // 3]
+        kept = np.zeros(len(self.met), bool)
+        kept[order[self.met[order] > 1]] = True
+        links = np.repeat(kept, self.sizes)
+        names = [x for x, k in zip(self.index, kept.tolist()) if k]
+        self.index = dict(zip(names, range(len(names))))
+        self.shown = [x for x, k in zip(self.shown, kept.tolist()) if k]
+        self.pairs, self.times = self.pairs[links], self.times[links]
+        self.met, self.numbers, self.lost, self.sizes = np.ones(len(names), np.int32), self.numbers[kept], self.lost[kept], self.sizes[kept]
+
+    def first_ids(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of pieces of text and how many each has: by the library's model for each distinct part, or by the whole library where texts aren't cut."""
+        if not self.cuts:
+            found = [x.ids for k in range(0, len(names), AT_ONCE) for x in self.a.encode_batch_fast(names[k : k + AT_ONCE], add_special_tokens=False)]
+        else:
+            ids: dict[str, list[int]] = {}
+            tokenize, mapped, found = self.model.tokenize, self.mapped, []
+            for parts in map(self.parts.findall, names):
+                own: list[int] = []
+                for part in parts:
+                    known = ids.get(part)
+                    if known is None:
+                        known = ids[part] = [t.id for t in tokenize(part.encode("utf-8", "surrogatepass").decode("latin-1").translate(mapped))]
+                    own += known
+                found.append(own)
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(many.sum())), many
 
     def learn(self, names: list[str]) -> None:
-        # The library's encodings are large objects: only their ids stay.
-        found = [x.ids for k in range(0, len(names), AT_ONCE) for x in self.a.encode_batch_fast(names[k : k + AT_ONCE], add_special_tokens=False)]
-        many_a = np.fromiter(map(len, found), np.int64, len(found))
-        a = np.fromiter(chain.from_iterable(found), np.int64, int(many_a.sum()))
-        found = [x for x, _ in self.b.made(names)]
-        many_b = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        b = np.frombuffer(b"".join(found), np.int32).astype(np.int64)
+        a, many_a = self.first_ids(names)
+        b, many_b = self.b.flat(names)
+        b = b.astype(np.int64)
         # A piece is lost if either side's tokens don't give its bytes back.
         data = [x.encode("utf-8", "surrogatepass") for x in names]
         same = lambda ids, many, table: np.array([x == y for x, y in zip(data, joined(ids, many, table))], bool)
@@ -145,6 +179,7 @@ class Aligner:
         self.index.update(zip(names, range(len(self.shown), len(self.shown) + len(names))))
         self.numbers = np.concatenate([self.numbers, np.stack([many_a, many_b, total(np.ones(len(p))), total(links)], axis=1)])
         self.shown += shown
+        self.met = np.append(self.met, np.zeros(len(names), np.int32))
         self.lost, self.sizes = np.append(self.lost, ~kept), np.append(self.sizes, np.bincount(of, minlength=len(names)))
         self.pairs, self.times = np.append(self.pairs, pairs[order]), np.append(self.times, times[order])
 

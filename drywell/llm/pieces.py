@@ -18,7 +18,7 @@ import hashlib
 import re
 import struct
 from heapq import heapify, heappop, heappush
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +130,8 @@ class Vocabulary:
         known = self.pair[at] == key
         return np.where(known, self.rank[at], NONE), self.into[at]
 
-    def made(self, names: list[str]) -> list[tuple[bytes, str]]:
-        """Ids of pieces of text that start with a space: as 32-bit integers, and in decimal."""
+    def flat(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces of text that start with a space, one after the other, as 32-bit integers; how many each has), held against the library."""
         out: list = [None] * len(names)
         short = [k for k, x in enumerate(names) if len(x) <= SHORT] if self.together else []
         if short:
@@ -144,11 +144,16 @@ class Vocabulary:
                 out[k] = np.array(self.merged(names[k].replace(" ", MARK)), np.int32).tobytes()
         # The library puts the first mark itself, but not before an empty text.
         known = self.library.encode([x[1:] for x in names], num_threads=1)
-        if b"".join([a for a, x in zip(out, names) if x != " "]) != np.fromiter((i for x in known for i in x), np.int32).tobytes():
+        if b"".join([a for a, x in zip(out, names) if x != " "]) != np.fromiter(chain.from_iterable(known), np.int32).tobytes():
             raise ValueError(f"not the library's ids: {next(x for x, a, y in zip(names, out, known) if x != ' ' and np.frombuffer(a, np.int32).tolist() != y)!r}")
-        numbers = " ".join(map(str, np.frombuffer(b"".join(out), np.int32).tolist())).split(" ")
-        stops = np.cumsum([len(a) // 4 for a in out]).tolist()
-        return [(a, " ".join(numbers[i:j])) for a, i, j in zip(out, [0, *stops], stops)]
+        return np.frombuffer(b"".join(out), np.int32), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+    def made(self, names: list[str]) -> list[tuple[bytes, str]]:
+        """Ids of each piece of text: as 32-bit integers, and in decimal."""
+        ids, many = self.flat(names)
+        numbers, data = list(map(str, ids.tolist())), ids.tobytes()
+        stops = np.cumsum(many).tolist()
+        return [(data[4 * i : 4 * j], " ".join(numbers[i:j])) for i, j in zip([0, *stops], stops)]
 
     def steps(self, sym: np.ndarray, lens: np.ndarray) -> list[bytes | None]:
         """Ids of short pieces; none for those with symbols left that aren't pieces. In each step every piece merges its best pair."""
