@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clean import finite
 from ..functions.geo import albers, arc_km, haversine_km, sphere
+from ..functions.store import settled
 from .sampling import _dealt, nearest
 
-#: Groups that the grouped split takes on the driver.
-MOST_GROUPS = 1_000_000
-
 
 def random_folds(df: DataFrame, keys: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """df with `fold` 1..k of equal sizes (but for one row), by the rank of a hash of the keys.
@@ -30,19 +26,50 @@ def random_folds(df: DataFrame, keys: list[str], k: int = 5, seed: int = 42) ->
     return ranked.withColumn("fold", (F.floor(F.col("_r") * k / F.col("_all")) + 1).cast("int")).drop("_h", "_b", "_before", "_all", "_r")
 
 
+def deal(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """How groups go to folds, from (size, number of groups) in descending order: runs (size, first rank, length, folds in turn).
+
+    Each group goes to the fold with the fewest rows, ties to the first. Groups of one size take turns
+    over the folds that are less than a size above the lightest, in order of load, until the next fold is
+    reached: that is one run, however many groups it has, and there are at most k runs a size.
+    """
+    loads, out = [0] * k, []
+    for size, many in sizes:
+        done = 0
+        while done < many:
+            order = sorted(range(k), key=lambda f: (loads[f], f))
+            low = loads[order[0]]
+            turn = [f for f in order if loads[f] < low + size]
+            rest = loads[order[len(turn)]] if len(turn) < k else None
+            length = many - done if rest is None else min(many - done, (rest - low) // size * len(turn))
+            out.append((size, done, length, [f + 1 for f in turn]))
+            for i, f in enumerate(turn):
+                loads[f] += size * ((length - i + len(turn) - 1) // len(turn))
+            done += length
+    return out
+
+
 def grouped_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """(group, n, fold): groups from large to small (ties by name), each to the fold with the fewest rows (ties: the first)."""
-    sizes = df.groupBy(F.col(group).cast("string").alias(group)).agg(F.count("*").alias("n"))
-    rows = sizes.orderBy(F.desc("n"), group).limit(MOST_GROUPS + 1).collect()
-    if len(rows) < k or len(rows) > MOST_GROUPS:
-        raise ValueError(f"needs {k} to {MOST_GROUPS} groups, got {len(rows)}")
-    heap = [(0, f) for f in range(1, k + 1)]
-    out = []
-    for r in rows:
-        load, fold = heapq.heappop(heap)
-        out.append((r[group], r["n"], fold))
-        heapq.heappush(heap, (load + r["n"], fold))
-    return df.sparkSession.createDataFrame(out, f"`{group}` string, n long, fold int")
+    """(group, n, fold): groups from large to small (ties by name, a null name first), each to the fold with the fewest rows (ties: the first).
+
+    The plan is made on how many groups there are of each size (N rows have at most sqrt(2 N) sizes);
+    a group finds its run by its rank among those of its size, which comes from counts by range of
+    names: no list of groups is on the driver or in one task.
+    """
+    sizes = df.groupBy(F.col(group).cast("string").alias("_g")).agg(F.count("*").alias("n"))
+    ranged = sizes.repartitionByRange("n", "_g").withColumn("_p", F.spark_partition_id())
+    ranged = settled(ranged)
+    counts = settled(ranged.groupBy("n", "_p").agg(F.count("*").alias("m")))
+    plan = [(r["n"], r["m"]) for r in counts.groupBy("n").agg(F.sum("m").alias("m")).orderBy(F.desc("n")).collect()]  # a row a size
+    if sum(m for _, m in plan) < k:
+        raise ValueError(f"needs {k} groups at least, got {sum(m for _, m in plan)}")
+    runs = df.sparkSession.createDataFrame(deal(plan, k), "n long, first long, length long, turn array<int>")
+    before = counts.select("n", "_p", (F.sum("m").over(W.partitionBy("n").orderBy("_p")) - F.col("m")).alias("before"))
+    rank = F.row_number().over(W.partitionBy("n", "_p").orderBy(F.col("_g").asc_nulls_first())) - 1
+    ranked = ranged.withColumn("_r", rank).join(before, ["n", "_p"]).withColumn("_r", F.col("_r") + F.col("before"))
+    met = ranked.join(runs, "n").where((F.col("_r") >= F.col("first")) & (F.col("_r") < F.col("first") + F.col("length")))
+    turn = F.get("turn", ((F.col("_r") - F.col("first")) % F.size("turn")).cast("int"))
+    return met.select(F.col("_g").alias(group), "n", turn.alias("fold"))
 
 
 def station_coordinates(df: DataFrame) -> DataFrame:

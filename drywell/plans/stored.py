@@ -11,7 +11,7 @@ from ..functions.store import fresh
 from ..operators import model, regions
 from ..sources import assembly, files, raster, stations
 from ..streaming import months
-from .catalog import COORDS, GREEDY, PAIRS, PROJECTED, SM, coords, grid, history, pairs, query, rounded, scores_sql, supplier_month, table
+from .catalog import COORDS, GREEDY, ORACLES, PAIRS, PROJECTED, SM, coords, grid, history, pairs, query, rounded, scores_sql, supplier_month, table
 
 # --- station files ---------------------------------------------------------------------------------
 
@@ -121,6 +121,34 @@ def stream_agreement(spark, d):
     return rounded(months.state(spark, target, ("product",)))
 
 
+def state_of(spark, d, by_pixel: bool) -> str:
+    """A state made by two runs of the stream, of six batches in all, with snapshots after two."""
+    source, target, check = (fresh(spark, x) for x in ("state-in", "state", "state-check"))
+    rows = pairs(spark, d).withColumn("scale", F.lit(3)).withColumn("region_id", F.col("region_id").cast("int"))
+    keys = ["product", "scale", "month", "row", "col"]
+    if by_pixel:  # a pair a pixel and month
+        rows = rows.groupBy(*keys).agg(F.sum("ours").alias("ours"), F.sum("ref").alias("ref")).withColumn("region_id", F.lit(1))
+    rows = rows.select(*keys, F.col("ours").cast("double"), F.col("ref").cast("double"), "region_id")
+    listed = [f"{y}-{m:02d}" for y in range(1992, 1999) for m in range(1, 13)] + [f"{y}-{m:02d}" for y in range(1999, 2004) for m in range(1, 13)]
+    for k in range(6):
+        rows.where(F.pmod(F.xxhash64("month"), F.lit(6)) == k).write.mode("append").parquet(source)
+        if k > 1:
+            months.accumulate_state(spark, source, target, check, (1, 100), listed, compact=2)
+    return target
+
+
+@query(ORACLES["pair_metrics_pixel"])
+def stream_pixels(spark, d):
+    """Correlation by pixel from a resumed state."""
+    return rounded(months.pixel_state(spark, state_of(spark, d, True)).drop("scale"))
+
+
+@query(ORACLES["pair_metrics_region"])
+def stream_regions(spark, d):
+    """Agreement by region from a resumed state."""
+    return rounded(months.region_state(spark, state_of(spark, d, False)).drop("scale")).withColumn("region_id", F.col("region_id").cast("int"))
+
+
 # --- validation designs ----------------------------------------------------------------------------
 
 FEW = {"maxIter": 2, "maxDepth": 4, "minInstancesPerNode": 5}
