@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +45,36 @@ def shared_dir(spark: SparkSession) -> str:
     return top
 
 
+#: The folder, below the shared one, that `fresh` names paths in.
+_inside: ContextVar[str] = ContextVar("inside", default="")
+
+
 def fresh(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{_inside.get()}{what}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def inside(spark: SparkSession, what: str):
+    """Paths named in this block are in one new folder, which is given; whoever opens it removes it."""
+    folder = fresh(spark, what)
+    token = _inside.set(f"{folder.rsplit('/', 1)[1]}/")
+    try:
+        yield folder
+    finally:
+        _inside.reset(token)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Takes away a path of the shared folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark take away the shuffle files of tables that nothing refers to any more; it does so only when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -86,7 +116,10 @@ def connected_components(edges: DataFrame, what: str = "components") -> DataFram
         small = large.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y"), F.col("b").alias("z"))
         step = small.select(F.col("x").alias("a"), F.explode(F.array("y", "z")).alias("b")).where("a <= b").distinct()
         after = written(step, what)
-        if after.count() == current.count() and after.subtract(current).isEmpty():
+        ended = after.count() == current.count() and after.subtract(current).isEmpty()
+        for path in {os.path.dirname(x) for x in current.inputFiles()}:
+            remove(current.sparkSession, path)
+        if ended:
             break
         current = after
     return after.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))

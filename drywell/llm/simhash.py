@@ -404,6 +404,7 @@ def near_copies(rows: DataFrame, turns: int = TURNS) -> DataFrame:
     sets = shingle_sets(texts.select("node", "text"))
     told = None  # all pairs looked at, so that none is twice
     for turn in range(turns):
+        common.tidy(spark)
         if turn:
             live = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
             near = nodes.select("node", "part").join(live, "node", "left_semi").join(sets, "node")
