@@ -77,11 +77,16 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """df as Parquet in the shared folder, read back, and its path."""
     path = fresh(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
+    return stored(df, what)[0]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -105,7 +110,7 @@ def connected_components(edges: DataFrame, what: str = "components") -> DataFram
     join, so no neighbour list is ever gathered. No links give no rows; self-links give (a, a).
     """
     both = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null").distinct()
-    current = written(both, what)
+    current, path = stored(both, what)
     while True:
         # Large star: every larger neighbour of a node links to the smallest of its neighbourhood.
         sym = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -115,11 +120,10 @@ def connected_components(edges: DataFrame, what: str = "components") -> DataFram
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y"), F.col("b").alias("z"))
         step = small.select(F.col("x").alias("a"), F.explode(F.array("y", "z")).alias("b")).where("a <= b").distinct()
-        after = written(step, what)
+        after, place = stored(step, what)
         ended = after.count() == current.count() and after.subtract(current).isEmpty()
-        for path in {os.path.dirname(x) for x in current.inputFiles()}:
-            remove(current.sparkSession, path)
+        remove(edges.sparkSession, path)
         if ended:
             break
-        current = after
+        current, path = after, place
     return after.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
