@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import finite
 from ..functions.metrics import fold_summary, regression_metrics
 from ..functions.store import settled
+from . import boosting
 from . import folds as splits
 from .climatology import train_period_anomalies
 from .features import select_features
@@ -62,25 +63,30 @@ def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:
 
 
 class Regressor:
-    """Medians of the training rows and a fitted model; predict() needs all features."""
+    """Medians of the training rows and a fitted model, of Spark's trees or leaf-wise ones; predict() needs all features."""
 
-    def __init__(self, values: dict[str, float], model: PipelineModel):
+    def __init__(self, values: dict[str, float], model: PipelineModel | boosting.Forest):
         self.values, self.model = values, model
 
     def predict(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         missing = [c for c in self.values if c not in df.columns]
         if missing:
             raise ValueError(f"missing features {missing[:10]}")
+        if isinstance(self.model, boosting.Forest):
+            return self.model.predict(impute(df, self.values), keep or df.columns)
         out = self.model.transform(impute(df, self.values))
         return out.select(*(keep or df.columns), F.col("prediction").alias("pred"))
 
 
-def fit(train: DataFrame, features: list[str] | None = None, label: str = "spei", params: dict | None = None) -> Regressor:
+def fit(train: DataFrame, features: list[str] | None = None, label: str = "spei", params: dict | None = None, leafwise: bool = False) -> Regressor:
+    """A Regressor; params go to Spark's trees (PARAMS), or, leafwise, to `boosting.fit` (its PARAMS)."""
     features = features or select_features(train)
     values = medians(train, features)
     if not values:
         raise ValueError("no feature has a value")
     rows = impute(train, values).where(finite(F.col(label)).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    if leafwise:
+        return Regressor(values, boosting.fit(rows, list(values), label, **(params or {})))
     assemble = VectorAssembler(inputCols=list(values), outputCol="_features")
     model = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="prediction", **(PARAMS | (params or {})))
     data = assemble.transform(rows.select(*values, label))

@@ -172,6 +172,12 @@ def validation_random(spark, d):
     return judged(model.validate_random(labelled(spark, d), "SPEI-3", params=FEW)[0])
 
 
+@query(f"WITH {FULL}, t AS (SELECT count(*) AS n FROM full_rows) SELECT CAST(k + 1 AS INTEGER) AS fold, CAST(ceil(n * (k + 1) / 5.0) - ceil(n * k / 5.0) AS BIGINT) AS n, true AS better FROM t, range(5) r(k)")
+def validation_leafwise(spark, d):
+    """The random design with two leaf-wise trees a fold: rows by fold, and that every fold beats the mean."""
+    return judged(model.validate_random(labelled(spark, d), "SPEI-3", params={"trees": 2, "leaves": 8, "rate": 0.3, "least": 5}, leafwise=True)[0])
+
+
 @query(f"WITH RECURSIVE {FULL}, g AS (SELECT station_id AS name, count(*) AS n FROM full_rows GROUP BY ALL), {GREEDY} SELECT fold, CAST(sum(n) AS BIGINT) AS n, true AS better FROM loaded WHERE i > 0 GROUP BY fold")
 def validation_stations(spark, d):
     """The station design with few trees."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from drywell.functions.calendars import time_axis
 from drywell.functions.geo import axis_position
-from drywell.operators import gridded
+from drywell.operators import boosting, gridded
 from drywell.plans.gridded import write_cube
 from drywell.sources import assembly, cube, raster
 
@@ -139,6 +139,20 @@ def test_predicted_grids_equal_plain_ones(spark, tmp_path):
         again("skip")
 
 
+def test_leafwise_trees_predict_grids(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    train = rng.normal(0, 1, (400, 2))
+    df = spark.createDataFrame([(*map(float, r), float(r[0] > 0) * 3 + float(r[1])) for r in train], "dyn_a double, height double, spei double")
+    forest = boosting.fit(df, ["dyn_a", "height"], trees=2, leaves=6, least=10, rate=0.5)
+    values = {(0, "dyn_a"): rng.normal(0, 1, (5, 4))}
+    land = [(r, c, float(rng.normal())) for r in range(40) for c in range(36)]
+    gridded.reconstruct(layers_of(spark, values), spark.createDataFrame(land, "row int, col int, height double"), forest, forest.names, str(tmp_path), FRAME, LONS, LATS, 1, {0: (2000, 1)})
+    got = {(r["row"], r["col"]): r["value"] for r in raster.pixels(spark, str(tmp_path)).collect()}
+    a = [plain_sample(values[0, "dyn_a"], (r + 0.5) * 0.1, np.interp(70 + (c + 0.5) * 0.1, LONS, range(4))) for r, c, _ in land]
+    want = forest({"dyn_a": np.array(a), "height": np.array([h for _, _, h in land])})
+    assert np.mean([got[r, c] == pytest.approx(w, rel=1e-5) for (r, c, _), w in zip(land, want)]) > 0.995
+
+
 def test_predicted_grids_need_their_features_and_land(spark, tmp_path):
     values = {(0, "dyn_a"): np.ones((5, 4))}
     df = spark.createDataFrame([(0, 0, 1.0)], "row int, col int, height double")
