@@ -46,10 +46,10 @@ def monthly_means(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Agreement with the span and number of months and of pixels that ever have a pair."""
-    spans = pairs.groupBy(*keys).agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.count_distinct("month").alias("n_months"))
-    pixels = pairs.select(*keys, "row", "col").distinct().groupBy(*keys).agg(F.count("*").alias("n_valid_pixels"))
-    return agreement(partial_sums(pairs, keys), keys).join(spans, keys).join(pixels, keys)
+    """Agreement with the span and number of months and of pixels that ever have a pair, all from one aggregate."""
+    spans = [F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.count_distinct("month").alias("n_months"), F.count_distinct("row", "col").alias("n_valid_pixels")]
+    sums = pairs.groupBy(*keys).agg(*pair_sums(F.col("ours"), F.col("ref")), *spans)
+    return sums.where("n > 0").select(*keys, "n", *(c.alias(k) for k, c in scores().items()), "first_month", "last_month", "n_months", "n_valid_pixels")
 
 
 def common_months(ours: DataFrame, ref: DataFrame) -> DataFrame:

@@ -99,12 +99,15 @@ def combine_variables(tables: list[DataFrame], keys: tuple[str, ...] = ("station
     """Tables of one variable each in full outer join on the keys, as one union and one aggregate instead of a chain of joins."""
     names = [next(c for c in t.columns if c not in keys) for t in tables]
     long = None
-    for t, name in zip(tables, names):
-        if validate:
-            assert_unique(t, list(keys), f"variable {name}")
-        own = t.select(*keys, *((F.col(n).cast("double") if n == name else F.lit(None).cast("double")).alias(n) for n in names))
+    for k, (t, name) in enumerate(zip(tables, names)):
+        own = t.select(*keys, F.lit(k).alias("_of"), *((F.col(n).cast("double") if n == name else F.lit(None).cast("double")).alias(n) for n in names))
         long = own if long is None else long.unionByName(own)
-    return long.groupBy(*keys).agg(*(F.max(n).alias(n) for n in names))
+    value = F.max
+    if validate:  # a key that repeats in a variable fails the job that computes it: no input runs twice
+        one = lambda k, n: F.when(F.count_if(F.col("_of") == k) > 1, F.raise_error(F.concat(F.lit(f"variable {n}: a key repeats, "), F.to_json(F.struct(*keys)))).cast("double")).otherwise(value(n))
+    else:
+        one = lambda k, n: value(n)
+    return long.groupBy(*keys).agg(*(one(k, n).alias(n) for k, n in enumerate(names)))
 
 
 def select_features(df: DataFrame, drop_soil: bool = True, drop_terrain: bool = False, drop_coordinates: bool = False) -> list[str]:

@@ -24,17 +24,16 @@ PARAMS = {"maxIter": 800, "stepSize": 0.03, "maxDepth": 6, "minInstancesPerNode"
 STEPS = 1024
 
 
-def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact medians (the mean of the two middle values) of finite values; columns without any are left out.
+def ranked_values(long: DataFrame, ranks) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
+    """(numbers of values by c, values by c and rank from 0) of long (c int, v double, no nulls); ranks: those wanted of n values.
 
-    Each round counts the values of all columns by equal steps of the range that still holds the
-    middle, with the least and the greatest of a step, and goes on with the middle's step: at most
-    STEPS rows a column come to the driver, and no task ever holds a column's values.
+    Each round counts the values of all c by equal steps of the range that still holds a rank, with
+    the least and the greatest of a step, and goes on with the rank's step: at most STEPS rows a rank
+    come to the driver, and no task ever holds the values of a c.
     """
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("c"), finite(F.col(f"`{c}`")).alias("v")) for k, c in enumerate(columns)))).alias("e")).select("e.*").where("v is not null")
     found = {r["c"]: r for r in long.groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
-    # Of each column and middle rank (from 0): the range that holds it and how many values lie below.
-    open_ = {(c, k): (r["low"], r["high"], 0) for c, r in found.items() for k in {(r["n"] - 1) // 2, r["n"] // 2}}
+    # Of each c and rank: the range that holds it and how many values lie below.
+    open_ = {(c, k): (r["low"], r["high"], 0) for c, r in found.items() for k in set(ranks(r["n"]))}
     done: dict[tuple[int, int], float] = {}
     while open_:
         for key, (low, high, _) in list(open_.items()):
@@ -44,18 +43,55 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
         ranges = sorted({(c, low, high) for (c, _), (low, high, _) in open_.items()})
         if not ranges:
             break
-        bounds = df.sparkSession.createDataFrame(ranges, "c int, low double, high double")
+        bounds = long.sparkSession.createDataFrame(ranges, "c int, low double, high double")
         # Halves first, so that a range of the greatest numbers doesn't overflow.
         step = F.least(F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * STEPS), F.lit(STEPS - 1))
-        own = long.join(F.broadcast(bounds), "c").where("v between low and high")  # two rows a column at most
-        counts = own.groupBy("c", "low", "high", step.alias("s")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        own = long.join(F.broadcast(bounds), "c").where("v between low and high")  # a row a rank at most
+        counts: dict[tuple, list] = {}
+        for r in own.groupBy("c", "low", "high", step.alias("s")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect():
+            counts.setdefault((r["c"], r["low"], r["high"]), []).append((r["s"], r["n"], r["a"], r["b"]))
         for key, (low, high, below) in list(open_.items()):
-            for r in sorted((r for r in counts if (r["c"], r["low"], r["high"]) == (key[0], low, high)), key=lambda r: r["s"]):
-                if below + r["n"] > key[1]:
-                    open_[key] = (r["a"], r["b"], below)
+            for _, n, a, b in sorted(counts[key[0], low, high]):
+                if below + n > key[1]:
+                    open_[key] = (a, b, below)
                     break
-                below += r["n"]
-    return {columns[c]: (done[c, (r["n"] - 1) // 2] + done[c, r["n"] // 2]) / 2 for c, r in found.items()}
+                below += n
+    return {c: r["n"] for c, r in found.items()}, done
+
+
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Exact medians (the mean of the two middle values) of finite values; columns without any are left out."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("c"), finite(F.col(f"`{c}`")).alias("v")) for k, c in enumerate(columns)))).alias("e")).select("e.*").where("v is not null")
+    many, at = ranked_values(long, lambda n: ((n - 1) // 2, n // 2))
+    return {columns[c]: (at[c, (n - 1) // 2] + at[c, n // 2]) / 2 for c, n in many.items()}
+
+
+def quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, a column for each share): exact quantiles of finite values by group, between neighbouring ranks where a share falls there.
+
+    For reports: a row a group comes to the driver, values never come together. Groups without values give no row.
+    """
+    spark = df.sparkSession
+    rows = df.select(*keys, finite(F.col(f"`{column}`").cast("double")).alias("v")).where("v IS NOT NULL")
+    groups = rows.select(*keys).distinct().collect()
+    schema = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
+    known = spark.createDataFrame([(*g, c) for c, g in enumerate(groups)], f"{schema}, c int")
+    same = None
+    for k in keys:
+        one = rows[k].eqNullSafe(known[k])
+        same = one if same is None else same & one
+    long = rows.join(F.broadcast(known), same).select("c", "v")
+    ends = lambda n, p: (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))
+    many, at = ranked_values(long, lambda n: [k for p in shares.values() for k in ends(n, p)])
+    out = []
+    for c, n in sorted(many.items()):
+        values = []
+        for p in shares.values():
+            low, high = ends(n, p)
+            part = p * (n - 1) - low
+            values.append(at[c, low] + (at[c, high] - at[c, low]) * part if part else at[c, low])
+        out.append((*groups[c], *values))
+    return spark.createDataFrame(out, f"{schema}, " + ", ".join(f"`{n}` double" for n in shares))
 
 
 def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:

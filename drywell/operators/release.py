@@ -10,9 +10,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.store import settled
+
 #: First and last month of each timescale.
 COVERAGE = {1: ("1979-01", "2018-12"), 3: ("1979-03", "2018-12"), 6: ("1979-06", "2018-12"), 12: ("1979-12", "2018-12"), 24: ("1980-12", "2018-12")}
-GEOMETRY = "width height crs transform_a transform_b transform_c transform_d transform_e transform_f nodata dtype".split()
+GEOMETRY = ("width", "height", "crs", "transform_a", "transform_b", "transform_c", "transform_d", "transform_e", "transform_f", "nodata", "dtype")
 
 
 def coverage(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,7 +23,7 @@ def coverage(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataF
     return a.join(b, keys, "left_anti").withColumn("status", F.lit("missing")).unionByName(b.join(a, keys, "left_anti").withColumn("status", F.lit("extra")))
 
 
-def geometry_counts(inventory: DataFrame, by: list[str], columns: list[str] = GEOMETRY) -> DataFrame:
+def geometry_counts(inventory: DataFrame, by: list[str], columns: tuple[str, ...] = GEOMETRY) -> DataFrame:
     """Distinct geometries by group; 1 where consistent. Missing parts count as a value."""
     parts = [c for c in columns if c in inventory.columns]
     key = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias(c) for c in parts))
@@ -63,6 +65,12 @@ def file_listing(spark, path: str, glob: str = "*", checksums: bool = False) ->
     if not checksums:
         return files.select(*out)
 
+    return checksummed(files).select(*out, "sha256")
+
+
+def checksummed(files: DataFrame) -> DataFrame:
+    """(path, size_bytes, sha256) of files (path, size_bytes), dealt over all tasks, READ_BYTES at a time."""
+
     def run(batches):
         for batch in batches:
             sums = []
@@ -75,8 +83,18 @@ def file_listing(spark, path: str, glob: str = "*", checksums: bool = False) ->
                 sums.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.string())], names=["path", "size_bytes", "sha256"])
 
-    each = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return each.mapInArrow(run, "path string, size_bytes long, sha256 string").select(*out, "sha256")
+    each = files.select("path", "size_bytes").repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return each.mapInArrow(run, "path string, size_bytes long, sha256 string")
+
+
+def current_manifest(spark, path: str, manifest: DataFrame, glob: str = "*") -> DataFrame:
+    """(archive_name, size_bytes, size_gib, sha256, reused) of the files now there: checksums of an earlier manifest where name and size agree, the others computed. Only the latter's contents are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.col("length").alias("size_bytes"))
+    named = files.withColumn("archive_name", F.element_at(F.split("path", "/"), -1))
+    told = settled(reuse_checksums(named, manifest))
+    fresh = checksummed(told.where("sha256 IS NULL")).withColumn("reused", F.lit(False))
+    both = told.where("sha256 IS NOT NULL").select("path", "size_bytes", "sha256", F.lit(True).alias("reused")).unionByName(fresh)
+    return both.select(F.element_at(F.split("path", "/"), -1).alias("archive_name"), "size_bytes", F.bround(F.col("size_bytes") / float(1 << 30), 3).alias("size_gib"), "sha256", "reused")
 
 
 def reuse_checksums(listing: DataFrame, manifest: DataFrame) -> DataFrame:

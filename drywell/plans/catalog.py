@@ -566,6 +566,26 @@ def month_bands(spark, d):
     return calendars.month_range(spark, "1979-03", "2018-12").select("month", "year", "month_of_year", calendars.band_of_month(F.col("month")).alias("band"))
 
 
+@query("""WITH m AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month FROM lineitem)
+    SELECT month, CAST((CAST(substr(month, 1, 4) AS INTEGER) - 1992) * 12 + CAST(substr(month, 6, 2) AS INTEGER) AS INTEGER) AS band, count(l_orderkey) AS n FROM m JOIN lineitem ON strftime(l_shipdate, '%Y-%m') = month GROUP BY ALL""")
+def bands_of_rows(spark, d):
+    """The band of each month that the line items have, in a stack that begins in 1992, and how many they are."""
+    rows = table(spark, d, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("l_orderkey").alias("n"))
+    return rows.select("month", calendars.band_of_month(F.col("month"), "1992-01").alias("band"), "n")
+
+
+@query(f"""WITH {SM}, m AS (SELECT strftime(t, '%Y-%m') AS month, CAST((year(t) - 1994) * 12 + month(t) - 1 AS INTEGER) AS position FROM generate_series(DATE '1994-01-01', DATE '1996-12-01', INTERVAL 1 MONTH) g(t)),
+    own AS (SELECT station_id, printf('%d-%02d', year, month) AS month FROM sm)
+    SELECT station_id, count(*) FILTER (WHERE own.month IS NULL) AS missing, min(m.month) FILTER (WHERE own.month IS NULL) AS first_missing FROM (SELECT DISTINCT station_id FROM own) s CROSS JOIN m LEFT JOIN own USING (station_id, month) WHERE position >= 11 GROUP BY ALL""")
+def missing_target_months(spark, d):
+    """Of the months with a complete window of twelve, those that a station has no row for."""
+    own = supplier_month(spark, d).select("station_id", F.format_string("%d-%02d", "year", "month").alias("month"), F.lit(1).alias("has"))
+    wanted = calendars.target_months(spark, 12, "1994-01", end="1996-12").select("month")
+    every = own.select("station_id").distinct().join(F.broadcast(wanted))  # 25 rows
+    met = every.join(own, ["station_id", "month"], "left")
+    return met.groupBy("station_id").agg(F.count_if(F.col("has").isNull()).alias("missing"), F.min(F.when(F.col("has").isNull(), F.col("month"))).alias("first_missing"))
+
+
 # --- model and plot data ---------------------------------------------------------------------------
 
 
@@ -588,7 +608,8 @@ def hexbin_counts(spark, d):
 
 @query("SELECT l_returnflag AS timescale, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.75) AS q3 FROM lineitem GROUP BY ALL")
 def boxplot_quartiles(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("timescale")).agg(*(F.percentile("l_quantity", p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+    rows = table(spark, d, "lineitem").withColumn("timescale", F.col("l_returnflag"))
+    return model.quantiles(rows, ["timescale"], "l_quantity", {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 @query("""WITH n AS (SELECT n_nationkey + 1 AS region_id, n_nationkey % 5 * 8 + 1 AS x, n_nationkey // 5 * 8 + 1 AS y, 5 + n_nationkey % 3 AS s FROM nation), c AS (SELECT CAST(i AS INTEGER) AS i FROM range(44) r(i))
@@ -647,6 +668,18 @@ def cell_centres(spark, d):
     return cells.select("row", "col", x.alias("x"), y.alias("y"))
 
 
+@query(f"""WITH {PAIRS}, a AS (SELECT "row", col, month, sum(ours) AS ours FROM pairs GROUP BY ALL), b AS (SELECT "row", col, month, sum(ref) AS ref FROM pairs WHERE region_id % 2 = 0 GROUP BY ALL),
+    pairs2 AS (SELECT a.month, ours, ref FROM a JOIN b USING ("row", col, month) WHERE col % 3 > 0)
+    SELECT month, count(*) AS n, {scores_sql("ours", "ref", digits=3)} FROM pairs2 GROUP BY ALL""")
+def mainland_pairs(spark, d):
+    """Two rasters by month joined where both have a value and the mainland has a pixel."""
+    p, keys = pairs(spark, d), ["row", "col", "month"]
+    ours = p.groupBy(*keys).agg(F.sum("ours").alias("value"))
+    ref = p.where("region_id % 2 = 0").groupBy(*keys).agg(F.sum("ref").alias("value"))
+    mainland = p.select("row", "col").where("col % 3 > 0").distinct()
+    return rounded(consistency.agreement(consistency.partial_sums(consistency.valid_pairs(ours, ref, keys, mainland), ["month"]), ["month"]), 3)
+
+
 @query("SELECT strftime(m, '%Y-%m') AS month, CAST((year(m) - 1979) * 12 + month(m) - 1 AS INTEGER) AS position FROM generate_series(DATE '1980-12-01', DATE '2018-12-01', INTERVAL 1 MONTH) g(m)")
 def target_months(spark, d):
     return calendars.target_months(spark, 24).select("month", "position")

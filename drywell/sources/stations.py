@@ -84,6 +84,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
+def write_label_set(labels: DataFrame, audit: DataFrame, summary: DataFrame, folder: str, fmt: str = "csv") -> None:
+    """Labels, audit and summary of a run as tables of a folder, the labels last: a folder with labels has all three. Refuses a folder that has labels already."""
+    spark = labels.sparkSession
+    if is_complete(spark, f"{folder}/labels"):
+        raise FileExistsError(f"{folder} has labels already")
+    for name, df in (("audit", audit), ("summary", summary), ("labels", labels)):
+        write_table(df, f"{folder}/{name}", fmt, overwrite=True)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a run that ended wrote the table at path."""
     done = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,3 +366,23 @@ def test_medians_are_exact(spark):
     assert got == {"a": statistics.median(r[0] for r in rows), "b": 1.0, "c": 5.0, "e": statistics.median(r[4] for r in rows)}
     even = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (9.0,)], "a double")
     assert model.medians(even, ["a"]) == {"a": 3.0} and model.medians(even.limit(0), ["a"]) == {}
+
+
+def test_quantiles_by_group_are_exact(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(0, 1, 4001), "b": rng.integers(0, 5, 1000).astype(float), None: np.array([3.0]), "d": np.array([1e308, -1e308])}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("a", float("nan")), ("e", None)], "g string, v double").repartition(4)
+    got = {r["g"]: (r["q1"], r["m"], r["q9"]) for r in model.quantiles(df, ["g"], "v", {"q1": 0.25, "m": 0.5, "q9": 0.9}).collect()}
+    assert got.keys() == groups.keys()
+    for g in ("a", "b", None):
+        assert got[g] == pytest.approx(tuple(np.quantile(groups[g], [0.25, 0.5, 0.9])))
+    assert model.quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
+
+
+def test_variables_whose_keys_repeat_fail(spark):
+    a = spark.createDataFrame([("1", 2000, 1, 1.0), ("1", 2000, 1, None)], "station_id string, year int, month int, x double")
+    b = spark.createDataFrame([("1", 2000, 1, 5.0), ("2", 2000, 1, 6.0)], "station_id string, year int, month int, y double")
+    keys = ("station_id", "year", "month")
+    with pytest.raises(Exception, match="variable x: a key repeats"):
+        features.combine_variables([a, b], keys).collect()
+    assert {tuple(r) for r in features.combine_variables([a, b], keys, validate=False).collect()} == {("1", 2000, 1, 1.0, 5.0), ("2", 2000, 1, None, 6.0)}

@@ -235,3 +235,23 @@ def test_station_names_in_another_encoding(spark):
 
     df = spark.createDataFrame([("1", 2.0, 3.0)], "ID string, `\u7f01\u5fd3\u5bb3` double, `\u7efe\ue100\u5bb3` double")
     assert clean.rename_first(df, clean.STATION_ALIASES).columns == ["station_id", "lon", "lat"]
+
+
+def test_only_changed_files_are_summed_again(spark, tmp_path):
+    import hashlib
+
+    from drywell.operators import release
+
+    for name, text in (("a.tif", b"one"), ("b.tif", b"two!"), ("c.tif", b"three")):
+        (tmp_path / name).write_bytes(text)
+    old = spark.createDataFrame([("a.tif", 3, "kept"), ("b.tif", 3, "other size"), ("z.tif", 1, "gone")], "archive_name string, size_bytes long, sha256 string")
+    got = {r["archive_name"]: (r["sha256"], r["reused"]) for r in release.current_manifest(spark, str(tmp_path), old, "*.tif").collect()}
+    assert got == {"a.tif": ("kept", True), "b.tif": (hashlib.sha256(b"two!").hexdigest(), False), "c.tif": (hashlib.sha256(b"three").hexdigest(), False)}
+
+
+def test_label_sets_have_all_three_tables(spark, tmp_path):
+    one = spark.range(2)
+    stations.write_label_set(one, one.selectExpr("id AS a"), one.selectExpr("id AS s"), str(tmp_path / "x"))
+    assert all(stations.is_complete(spark, f"{tmp_path}/x/{n}") for n in ("labels", "audit", "summary"))
+    with pytest.raises(FileExistsError):
+        stations.write_label_set(one, one, one, str(tmp_path / "x"))
