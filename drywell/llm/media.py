@@ -3,7 +3,8 @@
 HTML becomes an ordered sequence of text and media references (position, caption); a media table
 holds each payload once under its digest, as an image of 8-bit samples; a join by digest resolves the
 references, and each page comes back as one array of structs in which every element keeps its position
-and caption. Only digests and short features pass through the join, never payloads.
+and caption. Elements and short features pass through the join, never payloads; elements without a
+digest are dealt by a key of their own.
 """
 
 from __future__ import annotations
@@ -217,9 +218,9 @@ def media_features(media: DataFrame) -> DataFrame:
     """A row per digest, computed from the stored bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch, (start, length) in ((b, x) for b in batches for x in blocks(b.column(1))):
             out = []
-            for digest, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for digest, stored in zip(*(batch.column(k).slice(start, length).to_pylist() for k in range(2))):
                 payload, n = from_png(stored)
                 out.append((digest, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload)))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -230,8 +231,12 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def resolve(elements: DataFrame, features: DataFrame) -> DataFrame:
-    """elements with the features of their payload; text and unknown references keep nulls, and every row its position and caption."""
-    return elements.join(features, "digest", "left")
+    """elements with the features of their payload; text and unknown references keep nulls, and every row its position and caption.
+
+    Text has no digest: each such element gets a key that nothing else has, so they don't meet in one task.
+    """
+    own = F.coalesce("digest", F.concat(F.lit("~"), F.xxhash64("row_id", "position").cast("string"))).alias("_key")
+    return elements.select("*", own).join(features.withColumnRenamed("digest", "_key"), "_key", "left").drop("_key")
 
 
 def assembled(elements: DataFrame) -> DataFrame:
@@ -291,3 +296,29 @@ def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.transform("elements", lambda x: F.concat_ws("\t", x["position"], x["kind"], F.coalesce(x["text"], F.lit("")), F.coalesce(x["src"], F.lit("")), F.coalesce(x["caption"], F.lit(""))))
     many = lambda kind: F.size(F.filter("elements", lambda x: x["kind"] == kind)).cast("long")
     return found.select(F.col("doc_id").alias("page_id"), many("text").alias("n_text"), many("media").alias("n_media"), F.sha2(F.encode(F.array_join(line, "\n"), "UTF-8"), 256).alias("sequence_sha256"))
+
+
+def documents_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, n_text, n_media, payload_bytes, payloads_sha256, captions): pages that show the texts of up to four documents between paragraphs, interleaved and resolved.
+
+    A page is for the documents whose id divided by four, rounded down, is the same. payloads_sha256 is of the
+    payloads' digests, as read back, in order.
+    """
+    docs = common.table(spark, sf_dir, "documents")
+
+    def run(batches):
+        for batch in batches:
+            for start, length in blocks(batch.column(1)):
+                data = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).slice(start, length).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, length), pa.array([reference(padded(x), len(x)) for x in data], pa.string())], names=["doc_id", "ref"])
+
+    refs = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ref string")
+    part = F.concat(F.lit("<p>before "), F.col("doc_id"), F.lit(f'</p><figure><img src="{SCHEME}'), F.col("ref"), F.lit('"><figcaption>text '), F.col("doc_id"), F.lit("</figcaption></figure>"))
+    pages = refs.groupBy(F.floor(F.col("doc_id") / 4).alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", part.alias("html")))).alias("parts"))  # four documents
+    pages = pages.select("page_id", F.concat(F.array_join("parts.html", ""), F.lit("<p>end</p>")).alias("html"))
+    found = interleaved(pages, store_media(docs, "text"), "page_id", "html")
+    shown = F.filter("elements", lambda x: x["kind"] == "media")
+    many = lambda kind: F.size(F.filter("elements", lambda x: x["kind"] == kind)).cast("long")
+    told = found.select(F.col("doc_id").alias("page_id"), many("text").alias("n_text"), many("media").alias("n_media"), shown.alias("m"))
+    total = F.aggregate("m.payload_bytes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return told.select("page_id", "n_text", "n_media", total.alias("payload_bytes"), F.sha2(F.encode(F.array_join("m.payload_sha256", ","), "UTF-8"), 256).alias("payloads_sha256"), F.array_join("m.caption", "; ").alias("captions"))

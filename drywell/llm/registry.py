@@ -6,7 +6,7 @@ from .alignment import op12_tokenizer_alignment
 from .fingerprint import op9_iblt_fingerprints
 from .kdtree import op11_centroid_clustering
 from .kdtree import sql as clustering_sql
-from .media import op7_media_columns, pages_interleaved
+from .media import documents_interleaved, op7_media_columns, pages_interleaved
 from .mixing import op3_source_mixing
 from .packing import op5_best_fit_packing
 from .pieces import op13_sentencepiece
@@ -31,6 +31,7 @@ QUERIES = {
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_sentencepiece": op13_sentencepiece,
+    "documents_interleaved": documents_interleaved,
     "pages_interleaved": pages_interleaved,
 }
 #: SQL where it can express an operator.
@@ -44,4 +45,10 @@ ORACLES: dict[str, str] = {
                CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
         FROM f""",
     "op11_centroid_clustering": clustering_sql(),
+    "documents_interleaved": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n FROM documents),
+        p AS (SELECT doc_id, n + CASE WHEN n = 0 THEN 192 ELSE (192 - n % 192) % 192 END AS size, text || repeat(' ', CAST(CASE WHEN n = 0 THEN 192 ELSE (192 - n % 192) % 192 END AS BIGINT)) AS payload FROM t)
+        SELECT CAST(floor(doc_id / 4) AS BIGINT) AS page_id, count(*) + 1 AS n_text, count(*) AS n_media, CAST(sum(size) AS BIGINT) AS payload_bytes,
+               sha256(string_agg(sha256(payload), ',' ORDER BY doc_id)) AS payloads_sha256, string_agg('text ' || doc_id, '; ' ORDER BY doc_id) AS captions
+        FROM p GROUP BY ALL""",
 }

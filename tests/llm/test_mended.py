@@ -5,7 +5,7 @@ import shutil
 import numpy as np
 import pytest
 
-from drywell.llm import common, fingerprint, packing, tokens
+from drywell.llm import common, fingerprint, media, packing, tokens
 
 from .test_cases import check_packed
 
@@ -38,3 +38,19 @@ def test_tokenizers_are_told_by_their_contents(tmp_path):
     shutil.copy(other, tmp_path / tokens.NAME)
     assert tokens.Encoder(str(tmp_path / "own.json")).in_parts
     assert not tokens.Encoder(str(tmp_path / tokens.NAME)).in_parts
+
+
+def test_text_elements_do_not_meet_in_one_task(spark):
+    common.prepare(spark)
+    pages = spark.createDataFrame([(k, "<p>one</p><p>two</p><p>three</p>") for k in range(200)], "doc_id long, html string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = media.resolve(media.sequences(pages, "doc_id", "html"), spark.createDataFrame([], media.FEATURES))
+        from pyspark.sql import functions as F
+
+        parts = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(parts) == 600 and max(parts) < 300
