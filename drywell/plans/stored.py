@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.store import fresh
-from ..operators import model, regions
+from ..operators import model, regions, release
 from ..sources import assembly, files, raster, stations
 from ..streaming import months
 from .catalog import COORDS, GREEDY, ORACLES, PAIRS, PROJECTED, SM, coords, grid, history, pairs, query, rounded, scores_sql, supplier_month, table
@@ -76,6 +76,26 @@ def append_source(spark, d):
     return spark.read.parquet(path)
 
 
+@query("SELECT 'a' || s_suppkey AS archive_name, CAST(strlen(s_name || '/' || s_suppkey) AS BIGINT) AS size_bytes, sha256(s_name || '/' || s_suppkey) AS sha256, s_suppkey % 3 = 0 AS reused FROM supplier")
+def file_checksums(spark, d):
+    """A file for each supplier; a third of their checksums come from an earlier manifest, the others from their contents."""
+    folder, k = fresh(spark, "archives"), F.col("s_suppkey")
+    held = table(spark, d, "supplier").select(k, F.concat(F.lit("a"), k.cast("string")).alias("name"), F.concat("s_name", F.lit("/"), k.cast("string")).alias("text"))
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"]):
+                with fs.open_output_stream(f"{base}/{name}") as out:
+                    out.write(text.encode())
+            yield batch[["name"]]
+
+    held.select("name", "text").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+    old = held.where(k % 3 == 0).select(F.col("name").alias("archive_name"), F.octet_length("text").cast("long").alias("size_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
+    return release.current_manifest(spark, folder, old).select("archive_name", "size_bytes", "sha256", "reused")
+
+
 # --- rasters, regions and the stream ---------------------------------------------------------------
 
 GRID_ROWS = "g AS (SELECT CAST(p_partkey // 50 % 40 AS INTEGER) AS \"row\", CAST(p_partkey % 50 AS INTEGER) AS col, CAST(p_partkey // 2000 AS INTEGER) AS k, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS v, p_size FROM part)"
@@ -94,6 +114,16 @@ def raster_sink(spark, d):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "row", "col", F.round("value", 4).alias("value"))
 
 
+@query(f"""WITH {GRID_ROWS}, one AS (SELECT "row", col, max(CASE WHEN p_size % 7 > 0 THEN v END) AS v FROM g GROUP BY ALL), holes AS (SELECT "row", col FROM one WHERE v IS NULL AND (col + "row") % 2 = 0),
+    near AS (SELECT h."row", h.col, arg_min(o.v, (pow(h."row" - o."row", 2) + pow(h.col - o.col, 2), o."row", o.col)) AS v FROM holes h, one o WHERE o.v IS NOT NULL GROUP BY ALL)
+    SELECT one."row", one.col, coalesce(one.v, near.v) AS value FROM one LEFT JOIN near USING ("row", col) WHERE (one.col + one."row") % 2 = 0""")
+def land_fill(spark, d):
+    """Missing land cells with the nearest valid cell's value."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    one = p.groupBy(F.expr("cast(p_partkey div 50 % 40 as int)").alias("row"), (k % 50).cast("int").alias("col")).agg(F.max(F.when(F.col("p_size") % 7 > 0, F.col("p_retailprice").cast("float").cast("double"))).alias("value"))
+    return regions.fill_land(one, one.where((F.col("row") + F.col("col")) % 2 == 0))
+
+
 @query("""WITH n AS (SELECT n_nationkey + 1 AS region_id, n_name AS name, n_nationkey % 5 * 8 + 1 AS x, n_nationkey // 5 * 8 + 1 AS y, 5 + n_nationkey % 3 AS s FROM nation), c AS (SELECT CAST(i AS INTEGER) AS i FROM range(44) r(i)),
     w AS (SELECT b.i AS "row", a.i AS col, max(region_id) AS region_id FROM c a, c b, n WHERE a.i + 0.5 > x AND a.i + 0.5 < x + s AND 44 - (b.i + 0.5) > y AND 44 - (b.i + 0.5) < y + s GROUP BY ALL)
     SELECT name, count(*) AS cells FROM w JOIN n USING (region_id) GROUP BY ALL""")

@@ -148,3 +148,26 @@ def test_reads_that_fail_are_tried_again(tmp_path, monkeypatch):
     monkeypatch.setattr(files, "ATTEMPTS", 2)
     with files.opened(str(tmp_path / "x.tif")) as f, pytest.raises(OSError):
         raster.Raster(f)
+
+
+def test_one_catalogue_of_rasters_members_and_cubes(spark, tmp_path):
+    from drywell.plans.gridded import write_cube
+    from drywell.sources import products
+
+    (tmp_path / "in").mkdir()
+    values = {k: np.full((2, 3), float(i), np.float32) for i, k in enumerate(("Aa_spei03_2000-01", "aa_spei03_2000-02", "bb_spei01_2000-01", "cc_spei06_2000-01"), 1)}
+    for k in list(values)[:3]:
+        (tmp_path / "in" / f"{k}.tif").write_bytes(assembly.to_geotiff(values[k], PLACE, tile=16))
+    with tarfile.open(tmp_path / "more.tar", "w") as t:
+        for k in ("cc_spei06_2000-01", "aa_spei03_2000-02"):
+            data = assembly.to_geotiff(values[k] + 10, PLACE, tile=16)
+            info = tarfile.TarInfo(f"{k}.tif")
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    cells = spark.createDataFrame([("x", t, r, c, 100.0 * t + r + c) for t in range(3) for r in range(2) for c in range(3)], "variable string, t int, row int, col int, value double")
+    path = f"file://{tmp_path}/bb.nc"
+    write_cube(cells, path, "spei", [1.0, 2.0, 3.0], [5.0, 4.0], "months since 2000-01-01", [0.0, 1.0, 2.0])
+    listed = products.catalogue(files.listing(spark, str(tmp_path / "in")), files.tar_members(spark, str(tmp_path)), products.cube_months(spark, path, "BB", 1))
+    assert sorted((r["product"], r["scale"], r["month"], r["band"]) for r in listed.collect()) == [("aa", 3, "2000-01", 1), ("aa", 3, "2000-02", 1), ("bb", 1, "2000-01", 1), ("bb", 1, "2000-02", 2), ("bb", 1, "2000-03", 3), ("cc", 6, "2000-01", 1)]
+    got = {(r["product"], r["month"], r["row"], r["col"]): r["value"] for r in products.product_pixels(spark, listed.where("month > '2000-01' OR product = 'cc'")).collect()}
+    assert len(got) == 4 * 6 and got["aa", "2000-02", 1, 2] == 2.0 and got["bb", "2000-03", 1, 2] == 203.0 and got["cc", "2000-01", 0, 0] == 14.0
