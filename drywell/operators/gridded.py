@@ -128,7 +128,7 @@ def reconstruct(
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     months = open_months(folder, scale, months, existing)
     a, _, x0, _, e, y0 = frame.transform
-    x, y = F.lit(x0) + (F.col("row") * 0 + F.col("col") + 0.5) * a, F.lit(y0) + (F.col("row") + 0.5) * e
+    x, y = F.lit(x0) + (F.col("col") + 0.5) * a, F.lit(y0) + (F.col("row") + 0.5) * e
     lon, lat = to_lonlat(x, y) if to_lonlat else (x, y)
     statics = [c for c in land.columns if c not in ("row", "col", "lon", "lat")]
     tile = (F.floor(F.col("row") / frame.tile) * frame.across + F.floor(F.col("col") / frame.tile)).cast("int")
@@ -151,7 +151,7 @@ def reconstruct(
     bounds = cells.groupBy("tile").agg(F.min(low(py, len(lats))).alias("y0"), F.max(top(py, len(lats))).alias("y1"), F.min(low(px, len(lons))).alias("x0"), F.max(top(px, len(lons))).alias("x1"))
     around = bounds.select("tile", F.explode(F.sequence("y0", "y1")).alias("lat_idx"), "x0", "x1").select("tile", "lat_idx", F.explode(F.sequence("x0", "x1")).alias("lon_idx"))
     order = sorted(months)
-    part = F.floor(F.array_position(F.array(*map(F.lit, order)), F.col("t")) - 1)
+    part = F.array_position(F.array(*map(F.lit, order)), F.col("t")) - 1
     windows = around.join(wide, ["lat_idx", "lon_idx"]).select(F.col("tile").alias("of_tile"), F.floor(part / months_a_task).cast("int").alias("of_part"), "t", "lat_idx", "lon_idx", "v", "f")
     parts = [order[k : k + months_a_task] for k in range(0, len(order), months_a_task)]
     planned = cells.withColumn("part", F.explode(F.array(*map(F.lit, range(len(parts)))).cast("array<int>")))
