@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from drywell.plans import catalog, stored  # noqa: F401
+from drywell.plans import catalog, gridded, regrids, stored  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
