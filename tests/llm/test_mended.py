@@ -61,19 +61,13 @@ def test_stages_remove_what_earlier_ones_wrote(spark, tmp_path):
 
     import corpus_pipeline
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    top = common.shared_dir(spark).removeprefix("file://")
+    corpus_pipeline._left.clear()
+    there = set(os.listdir(top))
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:4], 1):
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+        assert {int(x.split("-")[1]) for x in set(os.listdir(top)) - there if x.startswith("stage-")} <= {k}
+    assert docs.count() > 0
     corpus_pipeline._left.clear()
-    try:
-        docs = common.table(spark, "/root/testdata/sf0.001", "documents")
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:4], 1):
-            stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / f"out{k}"))
-            docs = spark.read.parquet(str(tmp_path / f"out{k}"))
-            assert {int(x.split("-")[1]) for x in os.listdir(tmp_path) if x.startswith("stage-")} <= {k}
-        assert docs.count() > 0
-    finally:
-        corpus_pipeline._left.clear()
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
-        else:
-            spark.conf.unset("spark.checkpoint.dir")
