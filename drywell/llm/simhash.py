@@ -10,7 +10,8 @@ link to the smallest fingerprint of its part goes on to the search for component
 
 Near copies by similarity (`near_copies`) use the same index at a wider limit: fingerprints of four
 words of 64 bits find the candidates, and each is confirmed by the Jaccard similarity of the texts'
-five-word shingles.
+five-word shingles. That joins most copies into parts; an exact join on the rarest shingles then
+finds every link between different parts that is left.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ NEAR_WORDS, NEAR = 5, 0.8
 PRINT_WORDS, PRINT_CUTS, WORD_LIMIT, PRINT_LIMIT = 4, 4, 13, 50
 #: Searches of near copies, each by fingerprints of its own.
 TURNS = 3
+#: Bits of the buckets that shingles are counted in; the counts order shingles, rare first, and no result depends on them.
+BUCKET_BITS = 18
 #: An odd factor whose odd multiples make further hashes of one (fixed value of a common mixer).
 FACTOR = 0x9E3779B97F4A7C15
 
@@ -195,7 +198,7 @@ def local_links(fps: np.ndarray, shift: int, lead: int, limit: int = LIMIT) -> t
 
 
 def dealt_groups(batches, columns: int, held: int = 1 << 20):
-    """Arrow batches sorted by (block, value), the last two columns, as arrays (block, *columns) of whole groups, about `held` rows at a time."""
+    """Arrow batches sorted by (block, value), the last two columns, as arrays (block, the first `columns`) of whole groups, about `held` rows at a time."""
     kept: list[list[np.ndarray]] = []
 
     def out(parts):
@@ -205,7 +208,7 @@ def dealt_groups(batches, columns: int, held: int = 1 << 20):
             yield block, [x[own] for x in joined[:columns]]
 
     for batch in batches:
-        arrays = [np.asarray(batch.column(k)) for k in range(columns + 2)]
+        arrays = [np.asarray(batch.column(k)) for k in range(batch.num_columns)]
         while len(arrays[0]) and sum(len(x[0]) for x in kept) + len(arrays[0]) > held and kept:
             # What is held ends where the last group of it ends, which may be in this batch.
             last = (kept[-1][-2][-1], kept[-1][-1][-1])
@@ -367,6 +370,77 @@ def with_parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return common.written(joined.withColumn("part", F.coalesce("root", "part")).drop("root"), "near-parts")
 
 
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How often the shingles of the texts (one column) fall into each bucket, by the leading bits of their hashes: as many numbers however many texts."""
+
+    def run(batches):
+        n = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for start, length in blocks(batch.column(0)):
+                sets = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in batch.column(0).slice(start, length).to_pylist()]
+                n += np.bincount((np.concatenate(sets) >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    found = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[np.asarray(found.column("bucket"))] = np.asarray(found.column("n"))
+    return out
+
+
+def rarest(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest of a set's shingles, in order: so many that two sets of similarity NEAR or more share one. Sets without shingles share 0."""
+    if not len(hashes):
+        return np.zeros(1, U)
+    order = np.lexsort((hashes, counts[(hashes >> U(64 - BUCKET_BITS)).astype(np.int64)]))
+    return hashes[order[: len(hashes) - int(np.ceil(NEAR * len(hashes) - 1e-9)) + 1]]
+
+
+def crossing_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, place: np.ndarray, token: np.ndarray):
+    """(a, b) arrays, a < b, of nodes of different parts with one token, at its place in their sets of so many shingles, whose shingles from there on suffice for NEAR. No pair within a part is looked at."""
+    order = np.lexsort((part, token))
+    node, part, size, place, token = (x[order] for x in (node, part, size, place, token))
+    ends = lambda new: np.repeat(np.append(np.flatnonzero(new), len(new))[1:], np.diff(np.append(np.flatnonzero(new), len(new))))
+    other = np.append(True, token[1:] != token[:-1])
+    first, last = ends(other | np.append(True, part[1:] != part[:-1])), ends(other)
+    rows = np.flatnonzero(last > first)
+    many = (last - first)[rows]
+    steps = np.unique(np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), PAIRS), "left"))
+    for start, stop in zip(steps, [*steps[1:], len(rows)]):
+        own, n = rows[start:stop], many[start:stop]
+        x = np.repeat(own, n)
+        y = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        # At their first common shingle, what follows in both bounds what they have in common.
+        keep = (1 + NEAR) * np.minimum(size[x] - place[x], size[y] - place[y]) >= NEAR * (size[x] + size[y]) - 1e-6
+        a, b = node[x[keep]], node[y[keep]]
+        yield np.minimum(a, b), np.maximum(a, b)
+
+
+def missed_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b), stored: all pairs of nodes of different parts that may have similarity NEAR, none left out, from rows (id, key, text) and nodes (node, part, key, least)."""
+    counts = shingle_counts(rows.select("text"))
+
+    def sets(batches):
+        for batch in batches:
+            for start, length in blocks(batch.column(2)):
+                own = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in batch.column(2).slice(start, length).to_pylist()]
+                rare = [rarest(x, counts).view(np.int64) for x in own]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.array(np.concatenate(rare)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, length), batch.column(1).slice(start, length), pa.array([len(x) for x in own], pa.int32()), lists], names=["id", "key", "size", "tokens"])
+
+    def run(batches):
+        for _, (node, part, size, place, _, token) in dealt_groups(batches, 6):
+            for a, b in crossing_pairs(node, part, size.astype(np.int64), place.astype(np.int64), token):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rare = rows.select("id", "key", "text").mapInArrow(sets, "id long, key binary, size int, tokens array<long>")
+    own = nodes.select("node", "part", F.col("key").alias("k"), F.col("least.id").alias("own"))
+    held = rare.join(own, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("own"))).select("node", "part", "size", F.posexplode("tokens").alias("place", "value"))
+    held = held.select("node", "part", "size", "place", F.lit(0).alias("block"), "value")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return common.written(held.repartition(parts, "value").sortWithinPartitions("block", "value").mapInArrow(run, "a long, b long").distinct(), "missed")
+
+
 def near_copies(rows: DataFrame, turns: int = TURNS) -> DataFrame:
     """(key, rows, least, ties, head): for each distinct text of rows (id, key, text), `key` standing for the text, what it needs to know which rows stay.
 
@@ -379,8 +453,12 @@ def near_copies(rows: DataFrame, turns: int = TURNS) -> DataFrame:
     texts whose four-word fingerprints agree in one of twenty blocks and differ in few bits. Tasks
     pass on a spanning forest, of least differences, of their groups' candidates, and each node's
     nearest candidate is confirmed. In further turns nodes that had candidates are searched again by
-    other fingerprints, for candidates outside of the part they are in by then. A link may be missed by
-    chance, the fewer the more turns (README has the measured share); none is made below the similarity.
+    other fingerprints, for candidates outside of the part they are in by then.
+
+    These turns may miss links by chance; all that they leave are found at the end. Two texts so alike
+    share one of their rarest shingles (a fifth of each), in any one order of all shingles: texts of
+    different parts meet at these, and every pair whose sizes and places allow the similarity is
+    confirmed. So the parts are exactly those of all links, whatever the turns.
     """
     spark = rows.sparkSession
     common.prepare(spark)
@@ -413,6 +491,13 @@ def near_copies(rows: DataFrame, turns: int = TURNS) -> DataFrame:
         told = more if told is None else told.unionByName(more)
         if not more.where("alike").isEmpty():
             nodes = with_parts(nodes, more.where("alike"))
+    common.tidy(spark)
+    pairs = missed_pairs(rows, nodes)
+    named = common.written(found.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node"), "named")
+    texts = rows.alias("r").join(named.alias("w"), (F.col("r.key") == F.col("w.key")) & F.col("r.id").eqNullSafe(F.col("w.least")))
+    more = confirmed(pairs, shingle_sets(texts.select("node", "text")))
+    if not more.where("alike").isEmpty():
+        nodes = with_parts(nodes, more.where("alike"))
     heads = nodes.groupBy("part").agg(F.min("least").alias("head"))
     return nodes.join(heads, "part").select("key", "rows", F.col("least.id").alias("least"), F.col("least.ties").alias("ties"), (F.col("least.key") == F.col("head.key")).alias("head"))
 

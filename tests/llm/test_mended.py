@@ -1,11 +1,12 @@
 """Large capacities, ids at both ends of a long, tokenizers under other names."""
 
+import random
 import shutil
 
 import numpy as np
 import pytest
 
-from drywell.llm import common, fingerprint, media, packing, tokens
+from drywell.llm import common, fingerprint, media, packing, simhash, tokens
 
 from .test_cases import check_packed
 
@@ -71,3 +72,33 @@ def test_stages_remove_what_earlier_ones_wrote(spark, tmp_path):
         assert {int(x.split("-")[1]) for x in set(os.listdir(top)) - there if x.startswith("stage-")} <= {k}
     assert docs.count() > 0
     corpus_pipeline._left.clear()
+
+
+def test_no_link_of_short_near_copies_is_left_to_chance(spark):
+    rng, texts = random.Random(3), []
+    for _ in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(10)]
+        texts += [" ".join(words), " ".join(words[:-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(0, 800, 2))
+
+
+def test_exact_links_do_not_need_the_searches_by_chance(spark):
+    rng, texts = random.Random(4), [None, "", " \n", "one two", "two one"]
+    for _ in range(40):
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 60))]
+        for _ in range(3):
+            words = words[: rng.randrange(len(words))] + words[rng.randrange(len(words)) :] if rng.random() < 0.3 else [*words[:-1], f"w{rng.randrange(60)}"]
+            texts.append(" ".join(words))
+    rows = spark.createDataFrame([(i, str(i).encode(), t or "") for i, t in enumerate(dict.fromkeys(t or "" for t in texts))], "id long, key binary, text string")
+    heads = lambda turns: {bytes(r["key"]) for r in simhash.near_copies(rows, turns).where("head").collect()}
+    found = heads(0)
+    assert found == heads(1)
+    sets = [set(simhash.shingle_hashes(r["text"], simhash.NEAR_WORDS).tolist()) for r in rows.orderBy("id").collect()]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert found == {str(i).encode() for i in range(len(sets)) if root[i] == i}
