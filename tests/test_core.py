@@ -386,3 +386,14 @@ def test_variables_whose_keys_repeat_fail(spark):
     with pytest.raises(Exception, match="variable x: a key repeats"):
         features.combine_variables([a, b], keys).collect()
     assert {tuple(r) for r in features.combine_variables([a, b], keys, validate=False).collect()} == {("1", 2000, 1, 1.0, 5.0), ("2", 2000, 1, None, 6.0)}
+
+
+def test_nearest_fill_of_long_columns_ends_soon(spark):
+    import time
+
+    from drywell.operators import sampling
+
+    grid = spark.range(300_000).selectExpr("cast(id div 3 as int) AS lat_idx", "cast(id % 3 as int) AS lon_idx", "CASE WHEN id % 7 = 0 THEN cast(id as double) END AS value")
+    start = time.time()
+    r = sampling.fill_nearest(grid).agg(F.count("filled").alias("n")).first()
+    assert r["n"] == 300_000 and time.time() - start < 60
