@@ -39,7 +39,7 @@ def shapes(spark, d) -> DataFrame:
 def terrain_warp(spark, d):
     """Two tiles with a shared edge, cut to shapes with holes and warped to a sinusoidal grid."""
     found = regrid.terrain(tiles(spark, d), STEPS, (0.13, 0.0, 19.6, 0.0, -0.11, 11.02), 10, 16, lambda lon, lat: (lon * F.cos(F.radians(lat)), lat), shapes(spark, d))
-    return rounded(found).withColumn("dem_std_1km", F.round("dem_std_1km", 4))
+    return rounded(found.withColumn("dem_std_1km", F.round("dem_std_1km", 4)))
 
 
 _FINE = "fine AS (SELECT CAST(p_partkey // 50 AS INTEGER) AS \"row\", CAST(p_partkey % 50 AS INTEGER) AS col, CASE WHEN p_size % 7 > 0 THEN p_retailprice END AS value FROM part)"
