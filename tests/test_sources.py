@@ -255,3 +255,26 @@ def test_label_sets_have_all_three_tables(spark, tmp_path):
     assert all(stations.is_complete(spark, f"{tmp_path}/x/{n}") for n in ("labels", "audit", "summary"))
     with pytest.raises(FileExistsError):
         stations.write_label_set(one, one, one, str(tmp_path / "x"))
+
+
+def test_daily_files_of_many_blocks(spark, tmp_path, monkeypatch):
+    """Files longer than a block, of any line ends, give each line once and in order; names stay as they are."""
+    monkeypatch.setattr(stations, "BLOCK", 7)
+    lines = [f"{1990 + k % 30},{k % 365 + 1},{k / 8}" for k in range(300)]
+    for name, end in (("a b%20c", "\n"), ("d", "\r\n"), ("e", "\r")):
+        d = tmp_path / "spei_3monthscale"
+        d.mkdir(exist_ok=True)
+        (d / f"{name}.csv").write_bytes(end.join(lines).encode())
+    rows = stations.read_daily(spark, str(tmp_path)).orderBy("station_id", "line").collect()
+    want = [(name, 3, *(int(x) for x in row.split(",")[:2]), float(row.split(",")[2])) for name in ("a b%20c", "d", "e") for row in lines]
+    assert [tuple(r)[:5] for r in rows] == want
+
+
+def test_daily_files_are_read_many_a_task(spark, tmp_path):
+    """The number of tasks that read does not follow the number of files, nor do those that write follow the bytes."""
+    from drywell.plans.stored import write_series
+
+    rows = spark.range(400).selectExpr("cast(id as string) station_id", "3 scale", "2000 year", "cast(id % 300 as int) + 1 doy", "'1.5' spei")
+    write_series(rows, f"file://{tmp_path}/many")
+    found = stations.read_daily(spark, f"file://{tmp_path}/many")
+    assert found.count() == 400 and found.rdd.getNumPartitions() <= 8
