@@ -397,3 +397,34 @@ def test_nearest_fill_of_long_columns_ends_soon(spark):
     start = time.time()
     r = sampling.fill_nearest(grid).agg(F.count("filled").alias("n")).first()
     assert r["n"] == 300_000 and time.time() - start < 60
+
+
+def test_medians_of_columns_count_in_few_jobs(spark):
+    """Medians by column equal plain ones, with ties, missing, infinite and great values, and take as many jobs for ten columns as for one."""
+    import statistics
+
+    from drywell.operators import model
+
+    values = [[float("nan"), None, float("inf"), -1.7e308, 1.7e308, 0.5, 0.5, 2.0], [3.0] * 8, [None] * 8, [float(k * k % 7) for k in range(8)]]
+    df = spark.createDataFrame([tuple(float(v) if v is not None else None for v in row) for row in zip(*values)], "a double, b double, c double, d double").repartition(3)
+    finite = [[v for v in column if v is not None and abs(v) < float("inf")] for column in values]
+    want = {n: statistics.median(v) for n, v in zip("abcd", finite) if v}
+    assert model.medians(df, list("abcd")) == want
+    wide = spark.range(5000).selectExpr(*(f"hash(id, {k}) / 7 x{k}" for k in range(10)))
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for columns in (["x0"], [f"x{k}" for k in range(10)]):
+        spark.sparkContext.setJobGroup(f"medians {len(columns)}", "")
+        found = model.medians(wide, columns)
+        jobs.append(len(tracker.getJobIdsForGroup(f"medians {len(columns)}")))
+    rows = [tuple(r) for r in wide.collect()]
+    assert found == {f"x{k}": statistics.median(r[k] for r in rows) for k in range(10)}
+    assert jobs[1] <= jobs[0] + 4
+
+
+def test_stored_tables_are_read_by_many_tasks(spark):
+    """A table that one task stores is still dealt to many."""
+    from drywell.functions.store import settled
+
+    table = settled(spark.range(6_000_000).selectExpr("hash(id) * 1.5 a", "hash(id, 1) * 1.5 b").coalesce(1))
+    rows = table.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert sum(rows) == 6_000_000 and sum(1 for n in rows if n) > 2
