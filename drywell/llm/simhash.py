@@ -17,6 +17,7 @@ finds every link between different parts that is left.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,10 @@ PRINT_WORDS, PRINT_CUTS, WORD_LIMIT, PRINT_LIMIT = 4, 4, 13, 50
 TURNS = 3
 #: Bits of the buckets that shingles are counted in; the counts order shingles, rare first, and no result depends on them.
 BUCKET_BITS = 18
+#: Rare shingles that linked texts must share, if their sets are that large: pairs that share fewer are not confirmed.
+SHARED = 3
+#: Bits, as a power of two, that a filter of rows (`membership`) has at most, and for each row it is to tell.
+FILTER_BITS, BITS_A_ROW = 26, 16
 #: An odd factor whose odd multiples make further hashes of one (fixed value of a common mixer).
 FACTOR = 0x9E3779B97F4A7C15
 
@@ -329,26 +334,56 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return dealt.repartition(parts, "block", "value").sortWithinPartitions("block", "value").mapInArrow(run, "a long, b long, d long").distinct()
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles), one row per node of texts (node, text), stored: the sorted hashes of each text's distinct shingles."""
+def membership(hashes: DataFrame):
+    """A function of a column of longs, evenly spread: whether a value may be among the one column of hashes, true for all that are.
 
-    def run(batches):
-        for batch in batches:
-            for start, length in blocks(batch.column(1)):
-                sets = [np.unique(shingle_hashes(t, NEAR_WORDS)).view(np.int64) for t in batch.column(1).slice(start, length).to_pylist()]
-                lists = pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)])), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, length), lists.cast(pa.list_(pa.int64()))], names=["node", "shingles"])
+    It is a table of bits, of bounded size whatever the rows; where it gets crowded, more values pass that are not among them.
+    """
+    width = min(FILTER_BITS, max(10, (BITS_A_ROW * hashes.count()).bit_length()))
+    slots = hashes.select(F.shiftrightunsigned(hashes[0], 64 - width).alias("slot"))
+    found = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << (width - 6), np.int64)
+    table[np.asarray(found.column("word"))] = np.asarray(found.column("bits"))
+
+    @F.pandas_udf("boolean")
+    def may(value: pd.Series) -> pd.Series:
+        slot = value.to_numpy(np.int64).view(U) >> U(64 - width)
+        return pd.Series((table.view(U)[slot >> U(6)] >> (slot & U(63))) & U(1) == 1)
 
-    return common.written(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    return may
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, alike) of each pair of nodes, stored: whether the sets of their shingles have Jaccard similarity NEAR or more."""
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text), one row per node of wanted (node, key, least), stored, from rows (id, key, text). Of the rows only those that may be a node's least are moved."""
+    may = membership(wanted.select(F.xxhash64("key", "least")))
+    texts = rows.where(may(F.xxhash64("key", "id"))).select("key", "text").dropDuplicates(["key"])
+    return common.written(texts.join(wanted.select("key", "node"), "key").select("node", "text"), "texts")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, alike) of each pair of nodes, stored: whether the sets of their texts' shingles have Jaccard similarity NEAR or more. Texts are moved, which take less room than their sets."""
     pairs = common.written(pairs.select("a", "b"), "pairs")
-    # Only sets that the pairs name are moved.
-    x, y = (sets.join(pairs.select(F.col(k).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "x"), ("b", "y")))
-    found = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-    return common.written(found.select("a", "b", (F.col("both") >= F.lit(NEAR) * (F.size("x") + F.size("y") - F.col("both"))).alias("alike")), "confirmed")
+    x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
+
+    def run(batches):
+        last = {}  # by side, the node before and its set: rows come sorted by one of the two
+
+        def own(side, node, text):
+            if last.get(side, (None,))[0] != node:
+                last[side] = node, np.unique(shingle_hashes(text, NEAR_WORDS))
+            return last[side][1]
+
+        for batch in batches:
+            for start, length in blocks(batch.column(3)):
+                a, b, s, t = (batch.column(k).slice(start, length) for k in range(4))
+                alike = []
+                for i, j, v, w in zip(a.to_pylist(), b.to_pylist(), s, t):
+                    m, n = own(0, i, v.as_py()), own(1, j, w.as_py())
+                    both = len(np.intersect1d(m, n, assume_unique=True))
+                    alike.append(both >= NEAR * (len(m) + len(n) - both))
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
+
+    return common.written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, alike boolean"), "confirmed")
 
 
 def nearest(edges: DataFrame) -> DataFrame:
@@ -389,15 +424,18 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
 
 
 def rarest(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest of a set's shingles, in order: so many that two sets of similarity NEAR or more share one. Sets without shingles share 0."""
+    """The rarest of a set's shingles, in order: so many that two sets of similarity NEAR or more share SHARED, or all they have in common. Sets without shingles share 0."""
     if not len(hashes):
         return np.zeros(1, U)
     order = np.lexsort((hashes, counts[(hashes >> U(64 - BUCKET_BITS)).astype(np.int64)]))
-    return hashes[order[: len(hashes) - int(np.ceil(NEAR * len(hashes) - 1e-9)) + 1]]
+    return hashes[order[: len(hashes) - int(np.ceil(NEAR * len(hashes) - 1e-9)) + SHARED]]
 
 
 def crossing_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, place: np.ndarray, token: np.ndarray):
-    """(a, b) arrays, a < b, of nodes of different parts with one token, at its place in their sets of so many shingles, whose shingles from there on suffice for NEAR. No pair within a part is looked at."""
+    """(a, b, need) arrays, a < b, of nodes of different parts with one token, at its place in their sets of so many shingles, whose shingles from there on suffice for NEAR.
+
+    need is the number of tokens that the two share if they are so alike. No pair within a part is looked at.
+    """
     order = np.lexsort((part, token))
     node, part, size, place, token = (x[order] for x in (node, part, size, place, token))
     ends = lambda new: np.repeat(np.append(np.flatnonzero(new), len(new))[1:], np.diff(np.append(np.flatnonzero(new), len(new))))
@@ -410,10 +448,11 @@ def crossing_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, place:
         own, n = rows[start:stop], many[start:stop]
         x = np.repeat(own, n)
         y = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        # At their first common shingle, what follows in both bounds what they have in common.
-        keep = (1 + NEAR) * np.minimum(size[x] - place[x], size[y] - place[y]) >= NEAR * (size[x] + size[y]) - 1e-6
-        a, b = node[x[keep]], node[y[keep]]
-        yield np.minimum(a, b), np.maximum(a, b)
+        # At one of their first SHARED common shingles, what follows in both, and those before it, bound what they have in common.
+        keep = (1 + NEAR) * (np.minimum(size[x] - place[x], size[y] - place[y]) + SHARED - 1) >= NEAR * (size[x] + size[y]) - 1e-6
+        x, y = x[keep], y[keep]
+        need = np.clip(np.ceil(NEAR * np.maximum(size[x], size[y]) - 1e-9), 1, SHARED).astype(np.int32)
+        yield np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), need
 
 
 def missed_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -430,15 +469,16 @@ def missed_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for _, (node, part, size, place, _, token) in dealt_groups(batches, 6):
-            for a, b in crossing_pairs(node, part, size.astype(np.int64), place.astype(np.int64), token):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for a, b, need in crossing_pairs(node, part, size.astype(np.int64), place.astype(np.int64), token):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need)], names=["a", "b", "need"])
 
     rare = rows.select("id", "key", "text").mapInArrow(sets, "id long, key binary, size int, tokens array<long>")
     own = nodes.select("node", "part", F.col("key").alias("k"), F.col("least.id").alias("own"))
     held = rare.join(own, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("own"))).select("node", "part", "size", F.posexplode("tokens").alias("place", "value"))
     held = held.select("node", "part", "size", "place", F.lit(0).alias("block"), "value")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return common.written(held.repartition(parts, "value").sortWithinPartitions("block", "value").mapInArrow(run, "a long, b long").distinct(), "missed")
+    met = held.repartition(parts, "value").sortWithinPartitions("block", "value").mapInArrow(run, "a long, b long, need int")
+    return common.written(met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b"), "missed")
 
 
 def near_copies(rows: DataFrame, turns: int = TURNS) -> DataFrame:
@@ -456,9 +496,12 @@ def near_copies(rows: DataFrame, turns: int = TURNS) -> DataFrame:
     other fingerprints, for candidates outside of the part they are in by then.
 
     These turns may miss links by chance; all that they leave are found at the end. Two texts so alike
-    share one of their rarest shingles (a fifth of each), in any one order of all shingles: texts of
-    different parts meet at these, and every pair whose sizes and places allow the similarity is
-    confirmed. So the parts are exactly those of all links, whatever the turns.
+    share SHARED of their rarest shingles (a fifth of each, and as many more), or all they have, in any
+    one order of all shingles: texts of different parts meet at these, and every pair that meets so
+    often and whose sizes and places allow the similarity is confirmed. So the parts are exactly those
+    of all links, whatever the turns.
+
+    Whole texts are moved only for nodes that some pair names.
     """
     spark = rows.sparkSession
     common.prepare(spark)
@@ -478,40 +521,39 @@ def near_copies(rows: DataFrame, turns: int = TURNS) -> DataFrame:
     edges = common.written(candidates(nodes), "candidates")
     found = nodes.select("node", "key", F.col("least.id").alias("least"))
     wanted = common.written(found.join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node"), "wanted")
-    texts = rows.alias("r").join(wanted.alias("w"), (F.col("r.key") == F.col("w.key")) & F.col("r.id").eqNullSafe(F.col("w.least")))
-    sets = shingle_sets(texts.select("node", "text"))
+    texts = texts_of(rows, wanted)
     told = None  # all pairs looked at, so that none is twice
     for turn in range(turns):
         common.tidy(spark)
         if turn:
             live = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-            near = nodes.select("node", "part").join(live, "node", "left_semi").join(sets, "node")
-            edges = common.written(candidates(_printed(near, turn)), "candidates")
-        more = confirmed(nearest(edges if told is None else edges.join(told, ["a", "b"], "left_anti")), sets)
+            near = nodes.select("node", "part").join(live, "node", "left_semi")
+            edges = common.written(candidates(_printed(texts, turn).join(near, "node")), "candidates")
+        more = confirmed(nearest(edges if told is None else edges.join(told, ["a", "b"], "left_anti")), texts)
         told = more if told is None else told.unionByName(more)
         if not more.where("alike").isEmpty():
             nodes = with_parts(nodes, more.where("alike"))
     common.tidy(spark)
     pairs = missed_pairs(rows, nodes)
     named = common.written(found.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node"), "named")
-    texts = rows.alias("r").join(named.alias("w"), (F.col("r.key") == F.col("w.key")) & F.col("r.id").eqNullSafe(F.col("w.least")))
-    more = confirmed(pairs, shingle_sets(texts.select("node", "text")))
+    more = confirmed(pairs, texts_of(rows, named))
     if not more.where("alike").isEmpty():
         nodes = with_parts(nodes, more.where("alike"))
     heads = nodes.groupBy("part").agg(F.min("least").alias("head"))
     return nodes.join(heads, "part").select("key", "rows", F.col("least.id").alias("least"), F.col("least.ties").alias("ties"), (F.col("least.key") == F.col("head.key")).alias("head"))
 
 
-def _printed(near: DataFrame, turn: int) -> DataFrame:
-    """(node, part, w0, ...) of (node, part, shingles): fingerprints of the shingles by the hashes of this turn."""
+def _printed(texts: DataFrame, turn: int) -> DataFrame:
+    """(node, w0, ...) of (node, text): fingerprints of the texts' shingles by the hashes of this turn. No shuffle."""
 
     def run(batches):
         for batch in batches:
-            prints = np.array([long_print(np.asarray(x, np.int64).view(U), turn) for x in batch.column(2).to_numpy(zero_copy_only=False)], U).reshape(-1, PRINT_WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array(prints[:, k].copy()) for k in range(PRINT_WORDS)], names=["node", "part", *(f"w{k}" for k in range(PRINT_WORDS))])
+            for start, length in blocks(batch.column(1)):
+                prints = np.array([long_print(np.unique(shingle_hashes(t, NEAR_WORDS)), turn) for t in batch.column(1).slice(start, length).to_pylist()], U).reshape(-1, PRINT_WORDS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, length)] + [pa.array(prints[:, k].copy()) for k in range(PRINT_WORDS)], names=["node", *(f"w{k}" for k in range(PRINT_WORDS))])
 
     words = ", ".join(f"w{k} long" for k in range(PRINT_WORDS))
-    return near.select("node", "part", "shingles").mapInArrow(run, f"node long, part long, {words}")
+    return texts.select("node", "text").mapInArrow(run, f"node long, {words}")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -525,12 +567,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text, number = F.coalesce(docs[text_col].cast("string"), F.lit("")), docs[id_col].cast("long")
     keyed = docs.withColumn(key, F.unhex(F.md5(text))).withColumn(own, number)
     fates = near_copies(docs.select(number.alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text")))
-    # Only texts of which some row goes are joined.
+    # Only texts of which some row may go are moved and joined.
     fates = common.written(fates.where("not head or rows > 1"), "fates").select(F.col("key").alias("_k"), "head", F.col("least").alias("_least"), "ties")
+    may = membership(fates.select(F.xxhash64("_k")))
+    whole = keyed.where(~may(F.xxhash64(keyed[key]))).select(*(keyed[c] for c in docs.columns))
+    keyed = keyed.where(may(F.xxhash64(keyed[key])))
     told = keyed.join(fates, keyed[key] == fates["_k"], "left")
     stays = F.col("_k").isNull() | (F.col("head") & keyed[own].eqNullSafe(F.col("_least")))
     tied = F.coalesce(stays & (F.col("ties") > 1), F.lit(False))
-    kept = told.where(stays & ~tied).select(*(keyed[c] for c in docs.columns))
+    kept = whole.unionByName(told.where(stays & ~tied).select(*(keyed[c] for c in docs.columns)))
     if fates.where("head and ties > 1").isEmpty():
         return kept
     return kept.unionByName(told.where(tied).dropDuplicates([key]).select(*(keyed[c] for c in docs.columns)))

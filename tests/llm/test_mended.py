@@ -102,3 +102,34 @@ def test_exact_links_do_not_need_the_searches_by_chance(spark):
                 a, b = sorted((root[i], root[j]))
                 root = [a if x == b else x for x in root]
     assert found == {str(i).encode() for i in range(len(sets)) if root[i] == i}
+
+
+def test_near_dedup_moves_texts_only_where_pairs_name_them(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(1500)) for _ in range(80)]
+    texts += [texts[0], texts[1].rsplit(" ", 3)[0]]  # an exact and a near copy
+    docs = common.written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "t")
+    store, bus = spark._jsc.sc().statusStore(), spark._jsc.sc().listenerBus()
+
+    def moved():
+        bus.waitUntilEmpty()
+        return store.executorList(True).apply(0).totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for larger tables
+    try:
+        before = moved()
+        assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(80))
+        assert moved() - before < 2 * sum(map(len, texts))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_filters_of_rows_pass_all_that_are_named(spark):
+    from pyspark.sql import functions as F
+
+    rows = common.written(spark.range(20_000).select("id", F.xxhash64("id").alias("h")), "t")
+    may = simhash.membership(rows.where("id % 10 = 0").select("h"))
+    passed = {r["id"] for r in rows.where(may("h")).collect()}
+    assert set(range(0, 20_000, 10)) <= passed and len(passed) < 4000
+    none = simhash.membership(rows.where("id < 0").select("h"))
+    assert rows.where(none("h")).isEmpty()
