@@ -4,9 +4,9 @@ A paragraph is a run of up to RUN words that ends where a sentence or a line end
 size. A sketch is an array of cells (count, XOR of digests, XOR of check values); a paragraph's
 digest falls into one cell of each of three thirds. Two versions' sketches subtract cell by cell, and
 only the digests that differ are left; peeling takes digests from cells that hold a single one until
-no cell is left. Where that stalls, a larger sketch takes its place: the digests are dealt by value
-into groups of a dozen, each with cells of its own, and a group that stalls is sketched again with more
-cells and another seed. The work grows with the text, not its square; all of a row's stays in the row.
+no cell is left. Where that stalls, a larger sketch takes its place, whose parts have cells by the
+number of digests that earlier parts left. The work grows with the text, not its square; all of a
+row's stays in the row.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Cells of the stored sketch (a multiple of three), and rounds of peeling after which a larger sketch is tried, of it and of groups.
-CELLS, ROUNDS, FEW_ROUNDS = 24, 10, 6
-#: Words of a paragraph at most; digests of both versions in a group, and in a first deal before the groups.
-RUN, GROUP, DEAL = 16, 12, 1024
-CHECK = "(xxhash64({k}, 77) & 4294967295L)"
+#: Cells of the stored sketch (a multiple of three), and rounds of peeling after which a larger sketch is tried.
+CELLS, ROUNDS = 24, 10
+#: Cells for each digest of both versions in a part of a larger sketch, and parts at most.
+EACH, PARTS = 3, 24
+#: Words of a paragraph at most.
+RUN = 16
+CHECK, LARGE_CHECK = "(xxhash64({k}, 77) & 4294967295L)", "xxhash64({k}, 77)"
 #: Quantiles of the ids that the buckets of the order are made of: at least, at most, and rows for each; and rows of a bucket.
 KNOTS, MOST_KNOTS, KNOT_ROWS, BUCKET_ROWS = 64, 4096, 250_000, 20_000
 
@@ -34,7 +36,7 @@ def digests(text: Column) -> Column:
 
 def let(value: str, name: str, body: str) -> str:
     """body with `name` for the value, computed once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+    return f"aggregate(array(), {value}, (a, e) -> a, {name} -> {body})"
 
 
 def third(cells: str) -> str:
@@ -78,19 +80,32 @@ def peeled(a: str, b: str, cells: str = str(CELLS), seed: str = "0", rounds: int
     return f"aggregate(sequence(1, {rounds}), {zero}, (s, r) -> {step}, {finish})"
 
 
-def dealt(a: str, b: str) -> str:
-    """Two digest arrays of any size as an array of groups (a, b), dealt by value, of about GROUP digests each."""
-    own = lambda x, by, n, of: f"filter({x}, k -> pmod({by}, {n}) = {of})"
-    first = let(f"greatest(1, (size({a}) + size({b})) div {DEAL})", "many", f"transform(sequence(0, many - 1), i -> struct({own(a, 'k', 'many', 'i')} AS a, {own(b, 'k', 'many', 'i')} AS b))")
-    second = let(f"greatest(1, (size(u.a) + size(u.b)) div {GROUP})", "many", f"transform(sequence(0, many - 1), i -> struct({own('u.a', 'shiftright(k, 24)', 'many', 'i')} AS a, {own('u.b', 'shiftright(k, 24)', 'many', 'i')} AS b))")
-    return f"flatten(transform({first}, u -> {second}))"
+def larger(a: str, b: str) -> str:
+    """(ok, added, removed) between digest arrays a and b of any size, from the difference of two larger sketches; ok if all cells came empty.
 
-
-def again(groups: str, times: int) -> str:
-    """groups (a, b, d) with d, (ok, added, removed), from sketches of `times` half as many cells again as digests (of about as many as digests for 0) where it isn't ok yet."""
-    cells = f"{times} * 3 * (4 + (size(p.a) + size(p.b)) div 2)" if times else "3 * (2 + (size(p.a) + size(p.b)) div 6)"
-    found = let(cells, "m", let(f"struct({sketch('p.a', 'm', str(times))} AS u, {sketch('p.b', 'm', str(times))} AS v)", "both", peeled("both.u", "both.v", "m", str(times), FEW_ROUNDS)))
-    return f"transform({groups}, p -> CASE WHEN coalesce(p.d.ok, false) THEN p ELSE named_struct('a', p.a, 'b', p.b, 'd', {found}) END)"
+    Such a sketch has parts instead of thirds, which are peeled in turn, and a digest falls into one cell
+    of each. Taking what earlier parts gave out of a part's cells is the same as not adding it, so a part
+    sums only digests of cells that are neither empty nor pure in the one before, and has cells by their
+    number. A part's places are sorted: its work grows with its digests, not with digests times cells.
+    """
+    digest = lambda v: f"ks[cast({v} & 4294967295L as int)]"
+    same = lambda v, w: f"shiftright({v}, 32) <=> shiftright({w}, 32)"
+    placed = f"sort_array(transform(s.rest, n -> shiftleft(pmod(xxhash64(ks[n], r), {EACH} * size(s.rest) + {EACH}L), 32) | n))"
+    sole = f"filter(o, (v, n) -> NOT {same('v', 'get(o, n - 1)')} AND NOT {same('v', 'get(o, n + 1)')})"
+    ends = f"CASE WHEN size(w) = 0 THEN cast(array() as array<int>) ELSE filter(sequence(1, size(w)), n -> NOT {same('w[n - 1]', 'get(w, n)')}) END"
+    summed = (
+        "aggregate(sequence(f, e - 1), named_struct('c', 0, 'k', 0L, 'x', 0L), "
+        f"(t, n) -> named_struct('c', t.c + CASE WHEN w[n] & 4294967295L < size({a}) THEN 1 ELSE -1 END, 'k', t.k ^ {digest('w[n]')}, 'x', t.x ^ {LARGE_CHECK.format(k=digest('w[n]'))}), "
+        f"t -> named_struct('c', t.c, 'k', t.k, 'f', f, 'e', e, 'done', t.c = 0 AND t.k = 0 AND t.x = 0 OR abs(t.c) = 1 AND t.x = {LARGE_CHECK.format(k='t.k')}))"
+    )
+    cells = f"transform(es, (e, j) -> {let('coalesce(get(es, j - 1), 0)', 'f', summed)})"
+    own = lambda sign, c: f"transform(filter(u, v -> v & 4294967295L {sign} size({a})), v -> {digest('v')}), transform(filter(cs, c -> c.done AND c.c = {c}), c -> c.k)"
+    left = "flatten(transform(filter(cs, c -> NOT c.done), c -> transform(slice(w, c.f + 1, c.e - c.f), v -> cast(v & 4294967295L as int))))"
+    found = f"named_struct('rest', {left}, 'up', concat(s.up, {own('<', 1)}), 'down', concat(s.down, {own('>=', -1)}))"
+    part = let(placed, "o", let(sole, "u", let("array_except(o, u)", "w", let(ends, "es", let(cells, "cs", found)))))
+    zero = "named_struct('rest', transform(ks, (k, n) -> n), 'up', cast(array() as array<bigint>), 'down', cast(array() as array<bigint>))"
+    finish = "s -> named_struct('ok', size(s.rest) = 0, 'added', s.up, 'removed', s.down)"
+    return let(f"concat({a}, {b})", "ks", f"aggregate(sequence(1, {PARTS}), {zero}, (s, r) -> CASE WHEN size(s.rest) = 0 THEN s ELSE {part} END, {finish})")
 
 
 def as_text(cells: Column) -> Column:
@@ -98,23 +113,18 @@ def as_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda u: F.concat(F.lpad(F.hex(u["c"]), 3, "0"), F.lpad(F.hex(u["k"]), 16, "0"), F.lpad(F.hex(u["x"]), 8, "0"))), "")
 
 
-def differences(rows: DataFrame, name: str, a: str, b: str, sa: str, sb: str, few: bool = False) -> DataFrame:
+def differences(rows: DataFrame, name: str, a: str, b: str, sa: str, sb: str) -> DataFrame:
     """rows with `name`, (ok, added, removed) between two digest arrays a and b, whose stored sketches are sa and sb.
 
-    First the stored sketches. Where they don't peel, the digests are dealt into groups, which are
-    sketched with more and more cells; a group that stalls each time is told apart by its digests. All
-    differences are recovered: ok is always true. few: most digests are expected on both sides, so
-    the first sketches of groups have fewer cells.
+    First the stored sketches. Where they don't peel, larger ones take their place; versions whose
+    larger sketches stall in every part are told apart by their digests. All differences are
+    recovered: ok is always true.
     """
-    none = "cast(null as struct<ok:boolean,added:array<bigint>,removed:array<bigint>>)"
     # Sketches whose sizes alone differ by more than their cells can't peel.
     own = rows.withColumns({"_a": F.col(a), "_b": F.col(b), "_u": F.col(sa), "_v": F.col(sb)}).withColumn("_d", F.expr(f"CASE WHEN abs(size(_a) - size(_b)) <= {CELLS} THEN {peeled('_u', '_v')} END"))
-    own = own.withColumn("_g", F.expr(f"CASE WHEN NOT coalesce(_d.ok, false) THEN transform({dealt('_a', '_b')}, p -> named_struct('a', p.a, 'b', p.b, 'd', {none})) END"))
-    for times in (*([0] if few else []), 1, 2, 4, 8):
-        own = own.withColumn("_g", F.expr(again("_g", times)))
-    own = own.withColumn("_g", F.expr("transform(_g, p -> CASE WHEN p.d.ok THEN p.d ELSE named_struct('ok', true, 'added', array_except(p.a, p.b), 'removed', array_except(p.b, p.a)) END)"))
-    own = own.withColumn(name, F.expr("CASE WHEN _g IS NULL THEN _d ELSE named_struct('ok', true, 'added', flatten(transform(_g, d -> d.added)), 'removed', flatten(transform(_g, d -> d.removed))) END"))
-    return own.drop("_a", "_b", "_u", "_v", "_d", "_g")
+    own = own.withColumn("_d", F.expr(f"CASE WHEN coalesce(_d.ok, false) THEN _d ELSE {larger('_a', '_b')} END"))
+    own = own.withColumn(name, F.expr("CASE WHEN _d.ok THEN _d ELSE named_struct('ok', true, 'added', array_except(_a, _b), 'removed', array_except(_b, _a)) END"))
+    return own.drop("_a", "_b", "_u", "_v", "_d")
 
 
 def likeness(name: str, a: str, b: str) -> Column:
@@ -178,7 +188,7 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         *(digests(F.col(text)).alias(name) for text, name in (("text", "own"), ("edited", "changed"), ("next", "following"))),
     )
     rows = rows.withColumns({f"sketch{k}": F.expr(sketch(name)) for k, name in enumerate(("own", "changed", "following"))})
-    rows = differences(rows, "edit", "own", "changed", "sketch0", "sketch1", few=True)
+    rows = differences(rows, "edit", "own", "changed", "sketch0", "sketch1")
     rows = differences(rows, "step", "own", "following", "sketch0", "sketch2")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch0")).alias("fingerprint"), as_text(F.col("sketch1")).alias("edited_fingerprint"),
