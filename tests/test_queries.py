@@ -53,3 +53,26 @@ def test_halves_are_rounded_up_whatever_the_order_of_sums(spark):
     """Means over 64 pairs that are exactly 110.8125 and 111.4625; DuckDB's own sums fall on either side by threads and runs."""
     rows = {r["month"]: r["MAE"] for r in catalog.QUERIES["mainland_pairs"](spark, "/root/testdata/sf0.01").where("month IN ('2001-08', '1995-12')").collect()}
     assert rows == {"2001-08": 110.813, "1995-12": 111.463}
+
+
+def test_gbt_predict_fits_all_trees_to_all_rows(spark, monkeypatch):
+    """What the query asks its trees for; they are not grown here."""
+    asked, model = {}, catalog.model
+
+    class Asked(Exception):
+        pass
+
+    class Trees:
+        def __init__(self, **settings):
+            asked.update(settings)
+
+        def fit(self, data):
+            asked["n"] = data.count()
+            raise Asked
+
+    monkeypatch.setattr(model, "GBTRegressor", Trees)
+    with pytest.raises(Asked):
+        catalog.QUERIES["gbt_predict"](spark, DATA)
+    assert {k: asked[k] for k in ("maxIter", "stepSize", "maxDepth", "subsamplingRate")} == {k: model.PARAMS[k] for k in ("maxIter", "stepSize", "maxDepth", "subsamplingRate")}
+    assert asked["maxIter"] == 800
+    assert asked["n"] == catalog.history(spark, DATA).where("year < 2000").count()
